@@ -19,24 +19,29 @@ def analyze(
 ) -> DataFrame:
     """``(keys, rule, ruleset, line, message, error)``.
 
-    A batch that fails is analyzed again file by file, so one bad file costs one
-    error row and nothing else.
+    A batch that fails is halved until the bad files stand alone, so one bad file
+    costs one error row and a few repeated calls, and nothing else.
     """
     keys = list(keys)
     columns = [*keys, *FINDING_COLUMNS, "error"]
 
+    def shaped(found: pd.DataFrame) -> pd.DataFrame:
+        return found.reindex(columns=columns).astype(object)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         analyzer = factory()
         for batch in batches:
-            try:
-                yield analyzer(batch).reindex(columns=columns)
-            except Exception:
-                for i in range(len(batch)):
-                    one = batch.iloc[[i]].reset_index(drop=True)
-                    try:
-                        yield analyzer(one).reindex(columns=columns)
-                    except Exception as error:
-                        yield one[keys].assign(error=str(error)).reindex(columns=columns)
+            pending = [batch]
+            while pending:
+                part = pending.pop()
+                try:
+                    yield shaped(analyzer(part))
+                except Exception as error:
+                    half = len(part) // 2
+                    if half == 0:
+                        yield shaped(part[keys].assign(error=str(error)))
+                    else:
+                        pending += [part.iloc[half:].reset_index(drop=True), part.iloc[:half].reset_index(drop=True)]
 
     text = T.StringType()
     found = [T.StructField(c, T.IntegerType() if c == "line" else text) for c in [*FINDING_COLUMNS, "error"]]

@@ -12,7 +12,7 @@ _CORRUPT = "_corrupt"
 
 def read_documents(spark: SparkSession, path: str, pattern: str = "*.json") -> DataFrame:
     """``(file_name, text)``, one row per JSON file; an empty file has empty text."""
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", pattern).text(path)
+    files = spark.read.text(path, wholetext=True, pathGlobFilter=pattern)
     return files.select(F.col("_metadata.file_name").alias("file_name"), F.col("value").alias("text"))
 
 

@@ -45,7 +45,6 @@ def check_rules(spark: SparkSession, rules: Iterable[Rule]) -> list[Rule]:
         raise ValueError(f"{len(rules)} rules, at most {MAX_RULES} are supported")
     if len({rule.rule for rule in rules}) != len(rules):
         raise ValueError("rule names must be unique")
-    probe = spark.createDataFrame([("", 0, 0)], "text STRING, n_lines INT, n_chars INT")
     for rule in rules:
         if not rule.rule:
             raise ValueError("a rule needs a name")
@@ -55,6 +54,8 @@ def check_rules(spark: SparkSession, rules: Iterable[Rule]) -> list[Rule]:
             raise ValueError(f"rule {rule.rule}: {rule.kind} needs a pattern")
         if rule.kind == "line_length" and rule.threshold is None:
             raise ValueError(f"rule {rule.rule}: line_length needs a threshold")
+    # a literal row: the driver evaluates it while planning, no job is started
+    probe = spark.sql("SELECT * FROM VALUES ('', 0, 0) AS t(text, n_lines, n_chars)")
     try:
         probe.select(
             F.lit(True),
