@@ -179,7 +179,7 @@ def cache_misses(spark, sf):
 
 
 def _content_tallies(spark, sf):
-    return scan.rule_tally(scan.scan_contents(V.snapshots(spark, sf), V.RULES))
+    return scan.rule_tally(scan.scan_contents(V.contents(spark, sf), V.RULES))
 
 
 def _cache(spark, sf):
@@ -190,7 +190,7 @@ def _cache(spark, sf):
 @query
 def cache_backfill(spark, sf):
     files = V.snapshots(spark, sf).select("seq", "path", "hash")
-    reported = reports.findings_by_file(files, scan.scan_contents(V.snapshots(spark, sf), V.RULES))
+    reported = reports.findings_by_file(files, scan.scan_contents(V.contents(spark, sf), V.RULES))
     return cache.backfill(reported, files)
 
 
@@ -230,17 +230,17 @@ def cache_merge(spark, sf):
 
 @query
 def rule_scan(spark, sf):
-    return scan.scan_contents(V.snapshots(spark, sf), V.RULES).select("hash", "rule", "ruleset", "line")
+    return scan.scan_contents(V.contents(spark, sf), V.RULES).select("hash", "rule", "ruleset", "line")
 
 
 @query
 def rule_scan_table(spark, sf):
     """The same with rules from a user's table, over every file instead of every content."""
     table = spark.createDataFrame(
-        [(r.rule, r.ruleset, r.kind, r.pattern, r.threshold, r.message) for r in V.RULES], S.RULES
+        [(r.rule, r.ruleset, r.kind, r.pattern, r.threshold, r.message, r.needle) for r in V.RULES], S.RULES
     )
     rules = sources.load_rules(table.where(F.col("kind").isin("line_regex", "line_length")))
-    return scan.rule_scan(V.snapshots(spark, sf), rules, ["seq", "path"]).select("seq", "path", "rule", "line", "message")
+    return scan.rule_scan(V.contents(spark, sf), rules, ["seq", "path"]).select("seq", "path", "rule", "line", "message")
 
 
 @query
@@ -250,12 +250,12 @@ def rule_tally_file(spark, sf):
 
 @query
 def findings_by_commit(spark, sf):
-    found = scan.scan_contents(V.snapshots(spark, sf), V.RULES)
+    found = scan.scan_contents(V.contents(spark, sf), V.RULES)
     return reports.findings_by_file(V.snapshots(spark, sf), found).select("seq", "path", "rule", "line")
 
 
 def _distinct_contents(spark, sf):
-    files = V.snapshots(spark, sf)
+    files = V.contents(spark, sf)
     firsts = materialize(content.content_index(files).select("seq", "path"), "firsts")
     return fn.pick_rows(files.select("seq", "path", "hash", "content"), firsts, ["seq", "path"])
 
@@ -313,13 +313,13 @@ def _sizes(documents, *columns):
 
 @query
 def nest_reports(spark, sf):
-    nested = reports.nest_reports(V.findings(spark, sf))
+    nested = reports.nest_reports(_stored_findings(spark, sf))
     return _sizes(nested, "commit", F.col("files").getItem(0)["filename"].alias("first_file"))
 
 
 @query
 def flatten_findings(spark, sf):
-    nested = reports.nest_reports(V.findings(spark, sf))
+    nested = reports.nest_reports(_stored_findings(spark, sf))
     flat = nested.select("commit", F.transform(reports.flatten_findings("files"), lambda v: fn.rule_key(v["rule"], v["ruleSet"])).alias("rules"))
     return flat.select(
         "commit",
@@ -329,8 +329,13 @@ def flatten_findings(spark, sf):
     )
 
 
+def _stored_findings(spark, sf):
+    """The findings as a table; reports pass over them more than once."""
+    return materialize(V.findings(spark, sf), "findings")
+
+
 def _order_reports(spark, sf):
-    log, found = V.order_commits(spark, sf), V.findings(spark, sf)
+    log, found = V.order_commits(spark, sf), _stored_findings(spark, sf)
     per_file = reports.tally_fallback(found, "commit", "path")
     tallies = per_file.groupBy("commit", "rule").agg(F.sum("n").alias("n"))
     headers = reports.report_headers(log, per_file.select("commit", "path").distinct(), tallies)
@@ -571,7 +576,7 @@ def stream_dedup(spark, sf):
 
 
 def _mine(spark, sf, **options):
-    return plans.mine_history(V.commits(spark, sf), V.snapshots(spark, sf), V.RULES, **options)
+    return plans.mine_history(V.commits(spark, sf), V.snapshots(spark, sf).drop("hash"), V.RULES, **options)
 
 
 @query

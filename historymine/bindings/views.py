@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from historymine.functions.scalars import content_hash
 from historymine.functions.skew import spread_join
 from historymine.sources.rules import Rule
+from historymine.sources.snapshots import spread_scan
 
 FILES_PER_COMMIT = 20
 FIRST_DAY = "2024-01-01"
@@ -15,7 +16,7 @@ RULES = [
     Rule("LongNumber", "numbers", "line_regex", "[0-9]{3,}", message="long number"),
     Rule("LongLine", "layout", "line_length", threshold=120.0, message="line too long"),
     Rule("LicenseText", "legal", "line_regex", "(?i)licen[sc]e|copyright", message="license text"),
-    Rule("MailAddress", "privacy", "line_regex", "[a-zA-Z0-9_.]+@[a-zA-Z0-9_.]+", message="mail address"),
+    Rule("MailAddress", "privacy", "line_regex", "[a-zA-Z0-9_.]+@[a-zA-Z0-9_.]+", message="mail address", needle="@"),
     Rule("RepeatedLine", "layout", "duplicate_line", message="line repeated"),
     Rule("LongFile", "layout", "file_metric", "n_lines > 60", message="file too long"),
 ]
@@ -55,6 +56,11 @@ def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _document_files(table(spark, sf_dir, "documents"))
 
 
+def contents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, spread over all cores where the table is read by fewer tasks; for scans."""
+    return _document_files(spread_scan(table(spark, sf_dir, "documents")))
+
+
 def snapshot_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same as a stream; the path is a pattern because a file source reads no single file."""
     schema = table(spark, sf_dir, "documents").schema

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
 FINDING_COLUMNS = ["rule", "ruleset", "line", "message"]
+FILES_PER_CALL = 128
 
 # Takes the files of a batch, returns their findings: the key columns of a file
 # plus FINDING_COLUMNS. A factory makes one analyzer per task.
@@ -19,8 +20,9 @@ def analyze(
 ) -> DataFrame:
     """``(keys, rule, ruleset, line, message, error)``.
 
-    A batch that fails is halved until the bad files stand alone, so one bad file
-    costs one error row and a few repeated calls, and nothing else.
+    The analyzer gets up to FILES_PER_CALL files at a time. A call that fails is
+    halved until the bad files stand alone, so one bad file costs one error row
+    and a few repeated calls, and nothing else.
     """
     keys = list(keys)
     columns = [*keys, *FINDING_COLUMNS, "error"]
@@ -31,7 +33,7 @@ def analyze(
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         analyzer = factory()
         for batch in batches:
-            pending = [batch]
+            pending = [batch.iloc[i : i + FILES_PER_CALL].reset_index(drop=True) for i in range(0, len(batch), FILES_PER_CALL)]
             while pending:
                 part = pending.pop()
                 try:

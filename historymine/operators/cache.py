@@ -42,7 +42,7 @@ def cache_entries(contents: DataFrame, tallies: DataFrame, ruleset: str, version
     The map has an entry per rule, so its size is bounded by the rule set.
     """
     by_rule = tallies.groupBy("hash").agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("rule", "n")))).alias("warnings_by_rule")
+        F.map_from_entries(F.sort_array(F.collect_list(F.struct("rule", "n")))).alias("warnings_by_rule")
     )
     return (
         contents.select("hash")

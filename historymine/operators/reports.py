@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from historymine.functions.scalars import rule_key
-from historymine.functions.skew import ROWS_PER_SLICE, spread_join
+from historymine.functions.skew import ROWS_PER_SLICE, is_short, spread_join
+from historymine.session import materialize
 
 # A document holds about this many findings; a larger commit gets several.
 FINDINGS_PER_PART = 100_000
@@ -42,7 +43,7 @@ def fan_counts(files: DataFrame, tallies: DataFrame, rows_per_slice: int = ROWS_
     copies = files.groupBy("seq", "hash").agg(
         F.count(F.lit(1)).alias("copies"), F.count_if(~F.col("is_hit")).alias("fresh_copies")
     )
-    by_content = tallies.groupBy("hash").agg(F.array_sort(F.collect_list(F.struct("rule", "n"))).alias("tallies"))
+    by_content = tallies.groupBy("hash").agg(F.sort_array(F.collect_list(F.struct("rule", "n"))).alias("tallies"))
     joined = spread_join(copies, by_content, ["hash"], ["seq"], rows_per_slice=rows_per_slice)
     long = joined.select("seq", "copies", "fresh_copies", F.posexplode("tallies").alias("i", "t"))
     return long.groupBy("seq", F.col("t.rule").alias("rule")).agg(
@@ -60,7 +61,7 @@ def merge_maps(rows: DataFrame, keys: Sequence[str], counts: str) -> DataFrame:
 
 def count_maps(tallies: DataFrame, keys: Sequence[str], name: str = "warnings_by_rule") -> DataFrame:
     """Fold ``(keys, rule, n)`` into one map per key; as many entries as there are rules."""
-    entries = F.array_sort(F.collect_list(F.struct("rule", "n")))
+    entries = F.sort_array(F.collect_list(F.struct("rule", "n")))
     return tallies.groupBy(*keys).agg(F.map_from_entries(entries).alias(name))
 
 
@@ -74,78 +75,99 @@ def flatten_findings(files: str | Column = "files", top_level: str | Column | No
     return F.coalesce(F.col(top_level) if isinstance(top_level, str) else top_level, flat)
 
 
-def file_entries(
-    findings: DataFrame, findings_per_part: int = FINDINGS_PER_PART, rows_per_slice: int = ROWS_PER_SLICE
-) -> DataFrame:
-    """``(commit, part, parts, filename, violations)``: the file entries of the documents.
+def _part_rows(findings: DataFrame, findings_per_part: int, rows_per_slice: int) -> tuple[DataFrame, list[str]]:
+    """``(commit, part, parts, filename, _v, _k)``: findings with the part of the document they go
+    to, and the columns by which to bring a document together.
 
-    A commit of ordinary size is one part. A larger one is cut into as many
-    parts as it needs by a hash of the finding, and a file of it may occur in
-    several; no task ever collects more than about a part. Equal findings travel
-    as one row with a multiplicity.
+    The commits that do not fit into one part are listed and counted first.
+    Usually there are none, and the findings go on as they are. Otherwise the
+    list is broadcast if it is short and joined by shuffle if not, and the
+    findings of large commits are spread over their parts by a hash; equal ones
+    travel as one row with a multiplicity ``_k``.
     """
     columns = ["commit", "path", "rule", "ruleset", "line", "message"]
-    counted = findings.groupBy(*columns).agg(F.count(F.lit(1)).alias("_n"))
-    parts = counted.groupBy("commit").agg(F.ceil(F.sum("_n") / findings_per_part).cast("int").alias("parts"))
-    sized = spread_join(counted, parts, ["commit"], columns[1:], rows_per_slice=rows_per_slice)
+    violation = F.struct("rule", F.col("ruleset").alias("ruleSet"), "line", "message").cast(_VIOLATION)
+    whole = [
+        F.lit(0).alias("part"),
+        F.lit(None).cast("int").alias("parts"),
+        F.col("path").alias("filename"),
+        violation.alias("_v"),
+        F.lit(1).alias("_k"),
+    ]
+    per_commit = findings.groupBy("commit").agg(F.count(F.lit(1)).alias("_n"))
+    large = materialize(
+        per_commit.where(F.col("_n") > findings_per_part).select(
+            "commit", F.ceil(F.col("_n") / findings_per_part).cast("int").alias("parts")
+        ),
+        "large-commits",
+    )
+    if large.isEmpty():
+        return findings.select("commit", *whole), ["commit"]
+    if is_short(large):
+        sized = findings.join(F.broadcast(large), "commit", "left")
+    else:
+        sized = spread_join(findings, large, ["commit"], columns[1:], "left", rows_per_slice)
 
     copies = min(_COPIES, findings_per_part)
+    counted = sized.where(F.col("parts").isNotNull()).groupBy(*columns, "parts").agg(F.count(F.lit(1)).alias("_n"))
     runs = F.sequence(F.lit(0), F.ceil(F.col("_n") / copies).cast("int") - 1)
-    cut = sized.select(*columns, "parts", "_n", F.explode(runs).alias("_run")).select(
+    cut = counted.select(*columns, "parts", "_n", F.explode(runs).alias("_run")).select(
         "commit",
         F.pmod(F.xxhash64(*columns[1:], "_run"), F.col("parts")).cast("int").alias("part"),
         "parts",
         F.col("path").alias("filename"),
-        F.struct("rule", F.col("ruleset").alias("ruleSet"), "line", "message").alias("_v"),
+        violation.alias("_v"),
         F.least(F.lit(copies), F.col("_n") - F.col("_run") * copies).cast("int").alias("_k"),
     )
-    repeated = F.transform(
-        F.array_sort(F.collect_list(F.struct("_v", "_k"))), lambda x: F.array_repeat(x["_v"], x["_k"])
+    return sized.where(F.col("parts").isNull()).select("commit", *whole).unionByName(cut), ["commit", "part"]
+
+
+def _nest(rows: DataFrame, together: list[str], *also: Column) -> DataFrame:
+    """Group part rows to files and files to documents, both on one shuffle."""
+    files = (
+        rows.repartition(*together)
+        .select("*", F.explode_outer(F.array_repeat("_v", F.col("_k"))).alias("_one"))
+        .groupBy("commit", "part", "filename")
+        .agg(F.max("parts").alias("parts"), F.sort_array(F.collect_list("_one")).alias("violations"), *also)
     )
-    return cut.groupBy("commit", "part", "filename").agg(
-        F.max("parts").alias("parts"), F.flatten(repeated).alias("violations")
+    entry = F.when(F.col("filename").isNotNull(), F.struct("filename", "violations"))
+    return files.groupBy("commit", "part").agg(
+        F.max("parts").alias("parts"), F.sort_array(F.collect_list(entry)).alias("files"), *also
     )
 
 
-def nest_reports(findings: DataFrame, **limits: int) -> DataFrame:
-    """``(commit, part, parts, files)`` with all findings nested in their files."""
-    entries = file_entries(findings, **limits)
-    return entries.groupBy("commit", "part").agg(
-        F.max("parts").alias("parts"), F.array_sort(F.collect_list(F.struct("filename", "violations"))).alias("files")
-    )
+def nest_reports(
+    findings: DataFrame, findings_per_part: int = FINDINGS_PER_PART, rows_per_slice: int = ROWS_PER_SLICE
+) -> DataFrame:
+    """``(commit, part, parts, files)`` with all findings nested in their files.
+
+    A commit of ordinary size is one part. A larger one is cut into as many
+    parts as it needs, and a file of it may occur in several; no task ever
+    collects much more than a part.
+    """
+    return _nest(*_part_rows(findings, findings_per_part, rows_per_slice))
 
 
 def commit_reports(
-    headers: DataFrame, findings: DataFrame, metadata: Sequence[str] = (), with_warnings: bool = True, **limits: int
+    headers: DataFrame,
+    findings: DataFrame,
+    metadata: Sequence[str] = (),
+    with_warnings: bool = True,
+    findings_per_part: int = FINDINGS_PER_PART,
+    rows_per_slice: int = ROWS_PER_SLICE,
 ) -> DataFrame:
     """One document per commit; further parts only for commits that do not fit into one.
 
     ``headers`` has a row per commit: ``commit, num_java_files, warnings_by_rule``
-    and the ``metadata`` columns. Header and file entries meet in one grouping
-    by ``(commit, part)``; a commit without findings keeps an empty list.
-    ``part`` and ``parts`` are null on documents that are whole.
+    and the ``metadata`` columns. Header and findings meet in the grouping by
+    ``(commit, part)``; a commit without findings keeps an empty list. ``part``
+    and ``parts`` are null on documents that are whole.
     """
     carried = ["num_java_files", "warnings_by_rule", *metadata]
-    entry = f"STRUCT<filename: STRING, violations: ARRAY<{_VIOLATION}>>"
-    head = headers.select(
-        "commit",
-        F.lit(0).alias("part"),
-        F.lit(None).cast("int").alias("parts"),
-        F.lit(None).cast(entry).alias("_file"),
-        F.struct(*carried).alias("_head"),
-    )
-    body = file_entries(findings, **limits).select(
-        "commit", "part", "parts", F.struct("filename", "violations").cast(entry).alias("_file")
-    )
-    documents = (
-        head.unionByName(body, allowMissingColumns=True)
-        .groupBy("commit", "part")
-        .agg(
-            F.max("parts").alias("parts"),
-            F.array_sort(F.collect_list("_file")).alias("files"),
-            F.first("_head", ignorenulls=True).alias("_head"),
-        )
-    )
+    head = headers.select("commit", F.lit(0).alias("part"), F.lit(0).alias("_k"), F.struct(*carried).alias("_head"))
+    body, together = _part_rows(findings, findings_per_part, rows_per_slice)
+    rows = body.unionByName(head, allowMissingColumns=True)
+    documents = _nest(rows, together, F.first("_head", ignorenulls=True).alias("_head"))
     in_parts = F.coalesce(F.col("parts") > 1, F.lit(False)) | (F.col("part") > 0)
     return documents.select(
         "commit",

@@ -23,7 +23,8 @@ def _finding(rule: Rule, line: Column) -> Column:
 def _condition(rule: Rule) -> Column:
     text = F.col("_text")
     if rule.kind == "line_regex":
-        return text.rlike(rule.pattern)
+        match = text.rlike(rule.pattern)
+        return match if rule.needle is None else text.contains(rule.needle) & match
     if rule.kind == "line_length":
         return F.length(text) > rule.threshold
     if rule.kind == "duplicate_line":
@@ -46,7 +47,7 @@ def rule_scan(
         raise ValueError("no rules to scan for")
     if any(rule.kind == "duplicate_line" for rule in rules):
         # (text, position) sorted, next to the text before it in that order
-        lines = F.array_sort(F.transform(F.col("_lines"), lambda text, i: F.struct(text.alias("text"), i.alias("pos"))))
+        lines = F.sort_array(F.transform(F.col("_lines"), lambda text, i: F.struct(text.alias("text"), i.alias("pos"))))
         before = F.concat(F.array(F.lit(None).cast("string")), F.transform("_sorted", lambda x: x["text"]))
         unfolded = (
             files.select(*keys, F.length(content).alias("n_chars"), F.split(content, "\n").alias("_lines"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from historymine.functions.scalars import has_suffix, rule_key, safe_ratio
 from historymine.operators.reports import count_per_commit, tally_drop, tally_fallback
+from historymine.session import materialize
 
 
 def files_in_tree(commits: DataFrame, trees: DataFrame, suffix: str = ".java") -> DataFrame:
@@ -30,7 +31,7 @@ def _stat_of_repository(**fields: Column) -> Column:
 
 def _with_rule_map(stats: DataFrame, tally: DataFrame, location: str) -> DataFrame:
     """One row ``location, stat_of_repository, stat_of_warnings``; the map has an entry per rule."""
-    entries = F.array_sort(F.collect_list(F.struct("rule", "n")))
+    entries = F.sort_array(F.collect_list(F.struct("rule", "n")))
     rules = tally.agg(F.map_from_entries(entries).alias("m")).scalar()
     return stats.select(F.lit(location).alias("location"), "stat_of_repository", rules.alias("stat_of_warnings"))
 
@@ -59,22 +60,34 @@ def summarize_reports(reports: DataFrame, location: str) -> DataFrame:
     Documents in parts belong to one commit, and a file may recur in them: files
     of such commits are counted by name.
     """
-    files = F.coalesce("files", F.array().cast(reports.schema["files"].dataType))
-    in_parts = F.coalesce(F.col("parts") > 1, F.lit(False)) | (F.coalesce("part", F.lit(0)) > 0)
-    found = F.aggregate(
-        files, F.lit(0).cast("bigint"), lambda acc, f: acc + F.coalesce(F.array_size(f["violations"]), F.lit(0))
+    rules_of = lambda f: F.transform(f["violations"], lambda v: rule_key(v["rule"], v["ruleSet"]))
+    entries = F.transform("files", lambda f: F.struct(f["filename"].alias("filename"), rules_of(f).alias("rules")))
+    # one parse of the documents; what follows reads names and rules from columns
+    slim = materialize(
+        reports.select(
+            "commit",
+            (F.coalesce("part", F.lit(0)) == 0).alias("is_head"),
+            (F.coalesce(F.col("parts") > 1, F.lit(False)) | (F.coalesce("part", F.lit(0)) > 0)).alias("in_parts"),
+            F.coalesce(entries, F.array()).alias("files"),
+        ),
+        "slim-reports",
     )
     recurring = (
-        reports.where(in_parts).select("commit", F.explode("files.filename").alias("f")).distinct()
+        slim.where("in_parts").select("commit", F.explode("files.filename").alias("f")).distinct()
         .agg(F.count(F.lit(1)).alias("n")).scalar()
+    )
+    stats = slim.agg(
+        F.count_if("is_head").alias("c"),
+        F.coalesce(F.sum(F.when(~F.col("in_parts"), F.size("files"))), F.lit(0)).alias("f"),
     )
-    stats = reports.agg(
-        F.count_if(F.coalesce("part", F.lit(0)) == 0).alias("c"),
-        F.coalesce(F.sum(F.when(~in_parts, F.size(files))), F.lit(0)).alias("f"),
-        F.coalesce(F.sum(found), F.lit(0)).alias("w"),
-    ).select("c", (F.col("f") + recurring).alias("f"), "w")
-    violations = reports.select(F.explode("files").alias("f")).select(F.explode("f.violations").alias("v"))
-    tally = violations.groupBy(rule_key("v.rule", "v.ruleSet").alias("rule")).agg(F.count(F.lit(1)).alias("n"))
+    tally = (
+        slim.select(F.explode("files.rules").alias("rules"))
+        .select(F.explode("rules").alias("rule"))
+        .groupBy("rule")
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+    found = tally.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).scalar()
+    stats = stats.select("c", (F.col("f") + recurring).alias("f"), found.alias("w"))
     return _with_rule_map(stats.select(parallel_stats("c", "f", "w").alias("stat_of_repository")), tally, location)
 
 

@@ -9,7 +9,7 @@ CHANGES = "seq BIGINT, path STRING, kind STRING, hash STRING, prev_hash STRING"
 FINDINGS = "commit STRING, path STRING, rule STRING, ruleset STRING, line INT, message STRING"
 CACHE = "hash STRING, ruleset_id STRING, warnings_by_rule MAP<STRING,BIGINT>, num_files BIGINT, version BIGINT"
 RUN_LOG = "commit STRING, ok BOOLEAN, code INT, duration_ms BIGINT"
-RULES = "rule STRING, ruleset STRING, kind STRING, pattern STRING, threshold DOUBLE, message STRING"
+RULES = "rule STRING, ruleset STRING, kind STRING, pattern STRING, threshold DOUBLE, message STRING, needle STRING"
 
 # Field names of the JSON documents that analyzers and earlier
 # runs leave behind. They have to be spelled exactly like this.
@@ -27,7 +27,7 @@ CACHE_JSON = "MAP<STRING, STRUCT<warnings_by_rule: MAP<STRING,BIGINT>, num_java_
 COMMIT_REPORT_JSON = (
     "commit STRING, num_java_files BIGINT, warnings_by_rule MAP<STRING,BIGINT>, "
     "warnings ARRAY<STRUCT<rule: STRING, ruleSet: STRING, line: INT, message: STRING>>, "
-    "files ARRAY<STRUCT<filename: STRING, chunk: INT, "
+    "files ARRAY<STRUCT<filename: STRING, "
     "violations: ARRAY<STRUCT<rule: STRING, ruleSet: STRING, line: INT, message: STRING>>>>, "
     "formatVersion BIGINT, pmdVersion STRING, timestamp STRING, metrics STRING, part INT, parts INT"
 )

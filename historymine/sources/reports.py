@@ -24,8 +24,9 @@ def parse_reports(documents: DataFrame, text: str = "text", schema: str = S.RAW_
     """Parse JSON text into the column ``report``; unreadable text leaves it null and sets ``corrupt``."""
     parsed = F.from_json(text, f"{schema}, {_CORRUPT} STRING", {"columnNameOfCorruptRecord": _CORRUPT})
     broken = (F.trim(text) != "") & F.col(f"_parsed.{_CORRUPT}").isNotNull()
+    # unfolding an array of one keeps the parse from being repeated for every field taken from it
     return (
-        documents.withColumn("_parsed", parsed)
+        documents.select("*", F.explode(F.array(parsed)).alias("_parsed"))
         .withColumn("corrupt", F.coalesce(broken, F.lit(False)))
         .withColumn("report", F.when(~F.col("corrupt"), F.col("_parsed").dropFields(_CORRUPT)))
         .drop("_parsed")

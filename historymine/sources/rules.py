@@ -18,10 +18,13 @@ MAX_RULES = 1_000  # every rule becomes an expression of the plan
 class Rule:
     """One rule.
 
-    ``line_regex``      a finding per line that matches ``pattern``
+    ``line_regex``      a finding per line that matches ``pattern`` (and contains ``needle``, if given)
     ``line_length``     a finding per line longer than ``threshold`` characters
     ``file_metric``     a finding where the SQL condition ``pattern`` over ``n_lines`` and ``n_chars`` holds
     ``duplicate_line``  a finding per non-blank line that repeats an earlier line of its file
+
+    ``needle`` is a literal text that every match contains. It is looked for
+    first, which spares most lines a slow pattern.
     """
 
     rule: str
@@ -30,6 +33,7 @@ class Rule:
     pattern: str | None = None
     threshold: float | None = None
     message: str | None = None
+    needle: str | None = None
 
 
 def ruleset_id(rules: Iterable[Rule]) -> str:
@@ -69,5 +73,5 @@ def check_rules(spark: SparkSession, rules: Iterable[Rule]) -> list[Rule]:
 
 def load_rules(rules: DataFrame) -> list[Rule]:
     """Rules from a user's table. The table is limited to MAX_RULES rows, more are an error."""
-    rows = rules.select("rule", "ruleset", "kind", "pattern", "threshold", "message").limit(MAX_RULES + 1).collect()
+    rows = rules.select("rule", "ruleset", "kind", "pattern", "threshold", "message", "needle").limit(MAX_RULES + 1).collect()
     return check_rules(rules.sparkSession, [Rule(**row.asDict()) for row in rows])

@@ -30,3 +30,14 @@ def read_trees(spark: SparkSession, root: str, suffix: str | None = ".java") ->
         F.decode("content", "UTF-8").alias("content"),
         F.sha1("content").alias("hash"),
     )
+
+
+def spread_scan(table: DataFrame) -> DataFrame:
+    """Repartition a table as read, if it has fewer partitions than there are cores.
+
+    A few large row groups would keep a few tasks busy matching patterns while
+    all other cores wait. A table of many partitions is left alone. Call it on a
+    plain scan: there, counting the partitions starts no job.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table if table.rdd.getNumPartitions() >= cores else table.repartition(cores)

@@ -65,11 +65,12 @@ def test_bad_rules_fail_before_the_job(spark, rules, message):
 
 
 def test_rules_from_a_table(spark):
-    table = spark.createDataFrame([("N", "s", "line_regex", "[0-9]", None, "m"), ("L", "s", "line_length", None, 3.0, None)], S.RULES)
+    table = spark.createDataFrame([("N", "s", "line_regex", "[0-9]", None, "m", None), ("L", "s", "line_length", None, 3.0, None, None)], S.RULES)
     assert load_rules(table) == [Rule("N", "s", "line_regex", "[0-9]", None, "m"), Rule("L", "s", "line_length", None, 3.0)]
     many = spark.range(2000).selectExpr(
         "concat('R', id) AS rule", "'s' AS ruleset", "'line_length' AS kind", "CAST(NULL AS STRING) AS pattern",
         "1.0D AS threshold", "CAST(NULL AS STRING) AS message",
+        "CAST(NULL AS STRING) AS needle",
     )
     with pytest.raises(ValueError, match="at most"):
         load_rules(many)

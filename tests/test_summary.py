@@ -30,11 +30,11 @@ def _documents(spark):
     v = lambda rule, ruleset: {"rule": rule, "ruleSet": ruleset, "line": None, "message": None}
     files = {
         "c1": [
-            {"filename": "f1", "chunk": None, "violations": [v("R1", None), v("R1", None), v("", "S1")]},
-            {"filename": "f2", "chunk": None, "violations": [v(None, None)]},
+            {"filename": "f1", "violations": [v("R1", None), v("R1", None), v("", "S1")]},
+            {"filename": "f2", "violations": [v(None, None)]},
         ],
         "c2": None,
-        "c4": [{"filename": "f1", "chunk": None, "violations": []}],
+        "c4": [{"filename": "f1", "violations": []}],
     }
     return spark.createDataFrame(
         [(c, 0, {}, [], f, None, None, None, None, None, None) for c, f in files.items()], S.COMMIT_REPORT_JSON
