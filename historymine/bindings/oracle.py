@@ -11,7 +11,7 @@ commits AS (
 SNAPS = """
 snaps AS (
   SELECT doc_id // 20 AS seq,
-         source || '/File' || CASE lang WHEN 'en' THEN '.java' WHEN 'de' THEN '.JAVA'
+         source || '/File' || doc_id % 20 || CASE lang WHEN 'en' THEN '.java' WHEN 'de' THEN '.JAVA'
                                         WHEN 'fr' THEN '.py' ELSE '.txt' END AS path,
          text AS content, sha1(text) AS hash
   FROM documents)"""

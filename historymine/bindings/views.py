@@ -37,6 +37,7 @@ def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _document_files(documents: DataFrame) -> DataFrame:
+    """Documents as files; the position in the commit is part of the name, so paths are unique in a tree."""
     ext = (
         F.when(F.col("lang") == "en", ".java")
         .when(F.col("lang") == "de", ".JAVA")
@@ -45,7 +46,7 @@ def _document_files(documents: DataFrame) -> DataFrame:
     )
     return documents.select(
         F.expr(f"doc_id div {FILES_PER_COMMIT}").alias("seq"),
-        F.concat("source", F.lit("/File"), ext).alias("path"),
+        F.concat("source", F.lit("/File"), (F.col("doc_id") % FILES_PER_COMMIT).cast("string"), ext).alias("path"),
         F.col("text").alias("content"),
         content_hash("text").alias("hash"),
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from historymine.functions.ordinals import number_rows
 from historymine.functions.scalars import has_suffix
@@ -10,6 +10,7 @@ from historymine.session import materialize
 
 ADDED, MODIFIED, DELETED, COPIED, RENAMED, UNCHANGED = "A", "M", "D", "C", "R", "U"
 ANALYZED_KINDS = (ADDED, COPIED, MODIFIED)
+BLOCK = 64  # commits per window of the diff
 
 
 def commit_pairs(commits: DataFrame) -> DataFrame:
@@ -21,52 +22,75 @@ def commit_pairs(commits: DataFrame) -> DataFrame:
 def snapshot_diff(trees: DataFrame, commits: DataFrame) -> DataFrame:
     """Classify every path of adjacent commits as A, M, D or U (unchanged).
 
-    One full outer join on ``(seq, path)``, a key that occurs once on each side,
-    so the rows spread evenly. Only hashes travel, never contents. The commit
-    before the first is the empty tree: all its files are A.
+    ``(seq, path)`` is unique in ``trees``. The commit before the first is the
+    empty tree: all its files are A.
+
+    The trees are read and shuffled once, hashes only, never contents. Commits
+    are cut into blocks of BLOCK, and the last tree of a block is repeated at the
+    start of the next; so each file finds its predecessor and successor in a
+    window of at most BLOCK + 1 rows, however many commits a path lives through.
     """
-    current = trees.select("seq", "path", "hash", F.lit(True).alias("_now"))
-    previous = trees.select(
-        (F.col("seq") + 1).alias("seq"), "path", F.col("hash").alias("prev_hash"), F.lit(True).alias("_before")
+    block = F.floor(F.col("seq") / BLOCK)
+    next_block = F.floor((F.col("seq") + 1) / BLOCK)
+    blocks = F.when(block == next_block, F.array(block)).otherwise(F.array(block, next_block))
+    life = Window.partitionBy("_block", "path").orderBy("seq")
+    rows = trees.select("seq", "path", "hash", F.explode(blocks).alias("_block")).select(
+        "*",
+        F.lag("seq").over(life).alias("_before"),
+        F.lag("hash").over(life).alias("_before_hash"),
+        F.lead("seq").over(life).alias("_after"),
     )
-    last = commits.agg(F.max("seq").alias("last")).scalar()
-    kind = (
-        F.when(F.col("_before").isNull(), ADDED)
-        .when(F.col("_now").isNull(), DELETED)
-        .when(F.equal_null("hash", "prev_hash"), UNCHANGED)
-        .otherwise(MODIFIED)
+
+    follows = F.coalesce(F.col("_before") == F.col("seq") - 1, F.lit(False))
+    kind = F.when(~follows, ADDED).when(F.equal_null("hash", "_before_hash"), UNCHANGED).otherwise(MODIFIED)
+    here = F.when(
+        F.col("_block") == block,
+        F.struct(
+            "seq", kind.alias("kind"), "hash", F.when(follows, F.col("_before_hash")).alias("prev_hash")
+        ),
     )
-    return (
-        current.join(previous, ["seq", "path"], "full_outer")
-        .where(F.col("_now").isNotNull() | (F.col("seq") <= last))
-        .select("seq", "path", kind.alias("kind"), "hash", "prev_hash")
+    last = commits.agg(F.max("seq").alias("last")).scalar()
+    ends = F.coalesce(F.col("_after") != F.col("seq") + 1, F.lit(True)) & (F.col("seq") < last)
+    gone = F.when(
+        (F.col("_block") == next_block) & ends,
+        F.struct(
+            (F.col("seq") + 1).alias("seq"),
+            F.lit(DELETED).alias("kind"),
+            F.lit(None).cast("string").alias("hash"),
+            F.col("hash").alias("prev_hash"),
+        ),
     )
+    found = rows.select("path", F.explode(F.array_compact(F.array(here, gone))).alias("_c"))
+    return found.select("_c.seq", "path", "_c.kind", "_c.hash", "_c.prev_hash")
 
 
-def exact_renames(changes: DataFrame) -> DataFrame:
-    """``(seq, old_path, new_path, hash)``: deleted and added paths of one commit with equal content.
+def _moves(changes: DataFrame) -> DataFrame:
+    """``(seq, hash, added, deleted)``: the i-th added and the i-th deleted path of a content side by side.
 
-    The i-th deleted path of a content is paired with its i-th added path, in
-    path order. The numbering copes with one content filling a whole commit.
+    Added and deleted paths of a commit with equal content are numbered in path
+    order, which copes with one content filling a whole commit.
     """
     moved = changes.where(F.col("kind").isin(ADDED, DELETED)).select(
         "seq", F.coalesce("hash", "prev_hash").alias("hash"), "kind", "path"
     )
     numbered = number_rows(moved, ["path"], "n", within=["seq", "hash", "kind"])
-    deleted = numbered.where(F.col("kind") == DELETED).select("seq", "hash", "n", F.col("path").alias("old_path"))
-    added = numbered.where(F.col("kind") == ADDED).select("seq", "hash", "n", F.col("path").alias("new_path"))
-    return deleted.join(added, ["seq", "hash", "n"]).select("seq", "old_path", "new_path", "hash")
+    side = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("path")))
+    return numbered.groupBy("seq", "hash", "n").agg(side(ADDED).alias("added"), side(DELETED).alias("deleted")).drop("n")
+
+
+def exact_renames(changes: DataFrame) -> DataFrame:
+    """``(seq, old_path, new_path, hash)``: deleted and added paths of one commit with equal content."""
+    paired = _moves(changes).where(F.col("added").isNotNull() & F.col("deleted").isNotNull())
+    return paired.select("seq", F.col("deleted").alias("old_path"), F.col("added").alias("new_path"), "hash")
 
 
 def mark_renames(changes: DataFrame) -> DataFrame:
-    """Turn the added side of an exact rename into R and drop its deleted side."""
-    renames = exact_renames(changes)
-    new = renames.select("seq", F.col("new_path").alias("path"), F.lit(True).alias("_new"))
-    old = renames.select("seq", F.col("old_path").alias("path"))
-    gone = changes.where(F.col("kind") == DELETED).join(old, ["seq", "path"], "left_anti")
-    rest = changes.where(F.col("kind") != DELETED).join(new, ["seq", "path"], "left")
-    marked = rest.withColumn("kind", F.when(F.col("_new"), RENAMED).otherwise(F.col("kind"))).drop("_new")
-    return marked.unionByName(gone)
+    """``(seq, path, kind, hash)``: exact renames become one R at the new path, the rest stays."""
+    moves = _moves(changes)
+    kind = F.when(F.col("added").isNull(), DELETED).when(F.col("deleted").isNull(), ADDED).otherwise(RENAMED)
+    moved = moves.select("seq", F.coalesce("added", "deleted").alias("path"), kind.alias("kind"), "hash")
+    others = changes.where(~F.col("kind").isin(ADDED, DELETED)).select("seq", "path", "kind", "hash")
+    return others.unionByName(moved)
 
 
 def keep_kinds(changes: DataFrame, kinds: tuple[str, ...] = ANALYZED_KINDS) -> DataFrame:

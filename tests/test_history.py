@@ -1,5 +1,9 @@
 """Commit log, diffs, renames and selection."""
 
+import random
+
+import pytest
+
 from historymine.operators import history, summary
 from historymine.sources import read_commit_log
 
@@ -83,3 +87,29 @@ def test_commit_log_keeps_line_order(spark, tmp_path, rows):
     log = read_commit_log(spark, str(tmp_path / "log.txt"))
     assert [r.commit for r in log.orderBy("seq").collect()] == hashes
     assert [r.seq for r in log.select("seq").orderBy("seq").collect()] == list(range(2000))
+
+
+@pytest.mark.parametrize("block", [1, 2, 64])
+def test_diff_equals_comparison_of_neighbours(spark, rows, monkeypatch, block):
+    """Against a plain comparison of adjacent trees, whatever the block size."""
+    monkeypatch.setattr(history, "BLOCK", block)
+    rng = random.Random(5)
+    trees = [{f"p{p}": rng.choice("abc") for p in range(12) if rng.random() < 0.7} for _ in range(9)] + [{}]
+    trees[4] = {}
+    expected = []
+    for seq, now in enumerate(trees):
+        before = trees[seq - 1] if seq else {}
+        for path in now.keys() | before.keys():
+            new, old = now.get(path), before.get(path)
+            kind = "A" if old is None else "D" if new is None else "U" if new == old else "M"
+            expected.append((seq, path, kind, new, old))
+    files = [(seq, path, h) for seq, now in enumerate(trees) for path, h in now.items()]
+    df = spark.createDataFrame(files, "seq BIGINT, path STRING, hash STRING")
+    log = spark.createDataFrame([(i, f"c{i}") for i in range(len(trees))], "seq BIGINT, commit STRING")
+    assert rows(history.snapshot_diff(df, log), "seq", "path", "kind", "hash", "prev_hash") == sorted(expected, key=repr)
+
+
+def test_marked_renames(spark, rows):
+    trees, log = _inputs(spark)
+    marked = history.mark_renames(history.snapshot_diff(trees, log)).where("seq = 1")
+    assert rows(marked, "path", "kind") == [("A2.java", "R"), ("B.java", "M"), ("C.txt", "U"), ("D.JAVA", "A")]
