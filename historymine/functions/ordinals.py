@@ -53,7 +53,7 @@ def running_totals(blocks: DataFrame, block: str, values: Sequence[str]) -> Data
     Two levels: totals inside ranges of BLOCKS_PER_RANGE blocks, plus what all
     earlier ranges hold. The single-task window sees one row per range.
     """
-    ranged = blocks.withColumn("_range", F.floor(F.col(block) / BLOCKS_PER_RANGE))
+    ranged = blocks.withColumn("_range", F.expr(f"`{block}` div {BLOCKS_PER_RANGE}"))
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     bases = (
         ranged.groupBy("_range")

@@ -22,7 +22,8 @@ def analyze(
 
     The analyzer gets up to FILES_PER_CALL files at a time. A call that fails is
     halved until the bad files stand alone, so one bad file costs one error row
-    and a few repeated calls, and nothing else.
+    and a few repeated calls, and nothing else. Large files need a session with
+    ``spark.sql.execution.arrow.maxBytesPerBatch`` set.
     """
     keys = list(keys)
     columns = [*keys, *FINDING_COLUMNS, "error"]

@@ -30,8 +30,7 @@ def snapshot_diff(trees: DataFrame, commits: DataFrame) -> DataFrame:
     start of the next; so each file finds its predecessor and successor in a
     window of at most BLOCK + 1 rows, however many commits a path lives through.
     """
-    block = F.floor(F.col("seq") / BLOCK)
-    next_block = F.floor((F.col("seq") + 1) / BLOCK)
+    block, next_block = F.expr(f"seq div {BLOCK}"), F.expr(f"(seq + 1) div {BLOCK}")
     blocks = F.when(block == next_block, F.array(block)).otherwise(F.array(block, next_block))
     life = Window.partitionBy("_block", "path").orderBy("seq")
     rows = trees.select("seq", "path", "hash", F.explode(blocks).alias("_block")).select(

@@ -83,7 +83,7 @@ def progress_checkpoints(run_log: DataFrame, order_by: str = "commit", every: in
     """
     log = run_log.select(order_by, outcome_class(run_log).alias("outcome"))
     numbered = number_rows(log, [order_by], "_n")
-    blocks = numbered.groupBy(F.floor(F.col("_n") / every).alias("block")).agg(
+    blocks = numbered.groupBy(F.expr(f"_n div {every}").alias("block")).agg(
         F.count(F.lit(1)).alias("processed"), *[F.count_if(F.col("outcome") == c).alias(c) for c in CLASSES]
     )
     return running_totals(blocks, "block", ["processed", *CLASSES]).drop("block")

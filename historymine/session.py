@@ -18,6 +18,7 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8, **conf: s
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "16g")
+        .config("spark.sql.execution.arrow.maxBytesPerBatch", str(64 << 20))
     )
     for key, value in conf.items():
         builder = builder.config(key, value)
