@@ -459,6 +459,18 @@ FROM commits LEFT JOIN failed USING (seq) LEFT JOIN numbers USING (seq)""",
         SCAN,
         body="""
 SELECT seq, rule, count(*) AS findings FROM snaps JOIN found USING (hash) WHERE path LIKE '%.java' GROUP BY seq, rule""",
+    ),
+    "mine_full_tree_summary": _with(
+        COMMITS,
+        SNAPS,
+        SCAN,
+        body="""
+, java AS (SELECT hash FROM snaps WHERE path LIKE '%.java'), java_found AS (SELECT rule FROM java JOIN found USING (hash))
+SELECT (SELECT count(*) FROM commits) AS n_commits,
+       round((SELECT count(*) FROM java) / (SELECT count(*) FROM commits), 2) AS avg_files,
+       round((SELECT count(*) FROM java_found) / (SELECT count(*) FROM commits), 2) AS avg_warnings,
+       rule, count(*) AS n
+FROM java_found GROUP BY rule""",
     ),
     "mine_full_tree": _with(
         COMMITS,

@@ -611,11 +611,26 @@ def mine_history_analyzer(spark, sf):
     return counted.unionByName(failed)
 
 
+def _mine_full_tree(spark, sf):
+    return plans.mine_full_tree(V.commits(spark, sf), V.contents(spark, sf), V.RULES)
+
+
+@query
+def mine_full_tree(spark, sf):
+    return _mine_full_tree(spark, sf).commits
+
+
 @query
 def mine_full_tree_by_rule(spark, sf):
-    return plans.mine_full_tree(V.commits(spark, sf), V.snapshots(spark, sf), V.RULES)[1]
+    return _mine_full_tree(spark, sf).by_rule
 
 
 @query
-def mine_full_tree(spark, sf):
-    return plans.mine_full_tree(V.commits(spark, sf), V.snapshots(spark, sf), V.RULES)[0]
+def mine_full_tree_summary(spark, sf):
+    stat = "stat_of_repository"
+    return _mine_full_tree(spark, sf).summary("documents").select(
+        F.col(f"{stat}.number_of_commits_analyzed").alias("n_commits"),
+        F.col(f"{stat}.avg_of_num_java_files").alias("avg_files"),
+        F.col(f"{stat}.avg_of_num_warnings").alias("avg_warnings"),
+        F.explode("stat_of_warnings").alias("rule", "n"),
+    )

@@ -17,6 +17,7 @@ from historymine.operators.reports import commit_reports, count_maps, fan_counts
 from historymine.operators.scan import rule_tally, scan_contents
 from historymine.operators.summary import files_in_tree, parallel_stats
 from historymine.session import materialize
+from historymine.sinks import save_cache, write_errors, write_reports, write_summary
 from historymine.sources.rules import Rule, ruleset_id
 from historymine.sources.snapshots import with_hash
 
@@ -71,6 +72,14 @@ class MiningRun:
         files = spread_join(self.files, self.commits.select("seq", "commit"), ["seq"], ["path"])
         return commit_reports(headers, findings_by_file(files, self.findings, "commit"), **limits)
 
+    def write(self, root: str, location: str) -> str:
+        """Write reports, errors and summary below ``root``; returns the path of the saved cache."""
+        write_reports(self.reports(), f"{root}/reports")
+        if self.errors is not None:
+            write_errors(self.errors, f"{root}/errors")
+        write_summary(self.summary(location), f"{root}/summary")
+        return save_cache(self.cache, f"{root}/cache")
+
 
 def _scan(
     snapshots: DataFrame, wanted: DataFrame, rules: Iterable[Rule] | None, analyzer: Callable[[], Analyzer] | None
@@ -92,6 +101,7 @@ def mine_history(
     renames: str = "exact",
     cache: DataFrame | None = None,
     cache_version: int = 0,
+    done: DataFrame | None = None,
     analyzer: Callable[[], Analyzer] | None = None,
     analyzer_id: str | None = None,
 ) -> MiningRun:
@@ -100,17 +110,28 @@ def mine_history(
     ``log`` is ``(seq, commit)`` with ``seq`` dense from 0, ``snapshots`` is
     ``(seq, path, content)``, with ``hash`` if it is stored. Only keys, hashes
     and counts are shuffled; contents are read where they lie.
+
+    ``cache`` holds results of earlier runs, ``done`` the commits they reported
+    or failed on: those are skipped, and trees older than needed are not read.
     """
     rules = list(rules)
     identity = analyzer_id if analyzer is not None else ruleset_id(rules)
     if identity is None:
         raise ValueError("analyzer_id is needed to key the cache of an analyzer")
+    pending = log
+    if done is not None:
+        pending = materialize(log.join(done.select("commit"), "commit", "left_anti"), "pending")
+        oldest = pending.agg((F.min("seq") - 1).alias("seq")).scalar()
+        snapshots = snapshots.where(F.col("seq") >= oldest)
     trees = with_hash(snapshots).select("seq", "path", "hash")
     if "hash" not in snapshots.columns:
         trees = materialize(trees, "trees")  # read the contents once for their hashes
     snapshots = with_hash(snapshots)
 
-    selected = materialize(select_changes(trees, log, suffix, renames).select("seq", "path", "hash"), "selected")
+    changes = select_changes(trees, log, suffix, renames).select("seq", "path", "hash")
+    if done is not None:
+        changes = spread_join(changes, pending.select("seq"), ["seq"], ["path"])
+    selected = materialize(changes, "selected")
     misses = materialize(cache_misses(content_index(selected), cache, identity), "misses")
     files = mark_hits(selected, misses)
 
@@ -122,7 +143,7 @@ def mine_history(
     scanned, errors = misses, None
     if failed is not None:
         scanned = misses.join(failed, "hash", "left_anti")
-        errors = _commit_errors(log, files, failed)
+        errors = _commit_errors(pending, files, failed)
     fresh_cache = cache_entries(scanned, tallies, identity, cache_version)
     if cache is None:
         new_cache, known = fresh_cache, tallies
@@ -130,9 +151,9 @@ def mine_history(
         new_cache = cache_merge(cache, fresh_cache)
         known = cache_tallies(cache.where(F.col("ruleset_id") == identity)).unionByName(tallies)
 
-    by_rule, reported = fan_counts(files, known), log
+    by_rule, reported = fan_counts(files, known), pending
     if errors is not None:
-        by_rule, reported = by_rule.join(errors, "seq", "left_anti"), log.join(errors, "seq", "left_anti")
+        by_rule, reported = by_rule.join(errors, "seq", "left_anti"), pending.join(errors, "seq", "left_anti")
     by_rule = materialize(by_rule, "by-rule")
     return MiningRun(
         files=files,
@@ -186,14 +207,36 @@ def _commit_counts(log: DataFrame, trees: DataFrame, files: DataFrame, by_rule:
     )
 
 
-def mine_full_tree(
-    log: DataFrame, snapshots: DataFrame, rules: Iterable[Rule], *, suffix: str = ".java"
-) -> tuple[DataFrame, DataFrame]:
-    """Analyze the whole tree of every commit: ``(commits, by_rule)``.
+@dataclass
+class FullTreeRun:
+    """``commits``: ``seq, commit, files_in_tree, findings``; ``by_rule``: ``seq, rule, findings``."""
+
+    commits: DataFrame
+    by_rule: DataFrame
+
+    def summary(self, location: str) -> DataFrame:
+        """Repository summary with means rounded to two decimals."""
+        stats = self.commits.agg(
+            F.count(F.lit(1)).alias("n"), F.sum("files_in_tree").alias("files"), F.sum("findings").alias("found")
+        )
+        per_rule = self.by_rule.groupBy("rule").agg(F.sum("findings").alias("n"))
+        return stats.select(
+            F.lit(location).alias("location"),
+            F.struct(
+                F.col("n").alias("number_of_commits_analyzed"),
+                F.col("n").alias("total_commits_in_repo"),
+                F.round(safe_ratio("files", "n"), 2).alias("avg_of_num_java_files"),
+                F.round(safe_ratio("found", "n"), 2).alias("avg_of_num_warnings"),
+            ).alias("stat_of_repository"),
+            count_maps(per_rule, [], "m").select("m").scalar().alias("stat_of_warnings"),
+        )
+
+
+def mine_full_tree(log: DataFrame, snapshots: DataFrame, rules: Iterable[Rule], *, suffix: str = ".java") -> FullTreeRun:
+    """Analyze the whole tree of every commit.
 
-    ``commits`` has ``seq, commit, files_in_tree, findings``. There is no diff
-    and no cache, yet each distinct content counts its findings only once and
-    the copies multiply them.
+    There is no diff and no cache, yet each distinct content counts its findings
+    only once and the copies multiply them.
     """
     snapshots = with_hash(snapshots).where(has_suffix("path", suffix))
     files = snapshots.select("seq", "path", "hash", F.lit(False).alias("is_hit"))
@@ -206,4 +249,4 @@ def mine_full_tree(
         .join(found, "seq", "left")
         .select("seq", "commit", "files_in_tree", F.coalesce("findings", F.lit(0)).alias("findings"))
     )
-    return commits, by_rule
+    return FullTreeRun(commits, by_rule)

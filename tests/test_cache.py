@@ -1,12 +1,15 @@
 """Content cache, mining runs and their invariants."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
+from historymine import schema as S
 from historymine.bindings import views as V
 from historymine.operators import analyzers, cache, content, reports, summary
 from historymine.plans import mine_full_tree, mine_history
-from historymine.sources import Rule, empty_cache, ruleset_id
+from historymine.sources import Rule, empty_cache, read_cache, ruleset_id
 
 FILES = [(0, "x", "h1"), (0, "y", "h2"), (1, "v", "h1"), (1, "z", "h3"), (2, "y", "h2"), (2, "w", "h2")]
 TALLIES = [("h1", "R1", 2), ("h2", "R1", 1), ("h2", "R2", 1)]
@@ -94,7 +97,7 @@ def test_reports_of_a_run(run):
 
 
 def test_first_commit_agrees_with_full_tree(run, documents):
-    full, _ = mine_full_tree(*documents, V.RULES)
+    full = mine_full_tree(*documents, V.RULES).commits
     first = run.commits.where("seq = 0").first()
     assert full.where("seq = 0").first().findings == first.findings
     assert full.where("seq = 0").first().files_in_tree == first.files_changed
@@ -139,3 +142,25 @@ def test_commit_with_a_failing_file_becomes_an_error(spark, rows):
     assert rows(run.commits, "commit", "findings") == [("c1", 1)]
     assert run.summary("x").first().stat_of_repository.number_of_commits == 1
     assert len(rows(run.cache)) == 2
+
+
+def test_resumed_run_completes_the_first(run, documents, rows):
+    """A run over the older half, then one over everything that skips what is done."""
+    log, snapshots = documents
+    older = log.where("seq < 5")
+    first = mine_history(older, snapshots.where("seq < 5"), V.RULES)
+    second = mine_history(log, snapshots, V.RULES, cache=first.cache, cache_version=1, done=first.commits)
+    assert rows(second.commits, "seq") == [(i,) for i in range(5, 10)]
+    assert rows(first.commits.unionByName(second.commits)) == rows(run.commits)
+    assert rows(second.cache, "hash", "warnings_by_rule") == rows(run.cache, "hash", "warnings_by_rule")
+    nothing = mine_history(log, snapshots, V.RULES, cache=second.cache, done=run.commits)
+    assert nothing.commits.count() == 0 and nothing.findings.count() == 0
+
+
+def test_written_run(run, spark, tmp_path):
+    cache_path = run.write(str(tmp_path), "docs")
+    stored = spark.read.schema(S.COMMIT_REPORT_JSON).json(str(tmp_path / "reports"))
+    from_documents = summary.summarize_reports(stored, "docs").first()
+    assert from_documents.stat_of_repository == run.summary("docs").first().stat_of_repository
+    assert json.loads(spark.read.text(str(tmp_path / "summary")).first().value)["location"] == "docs"
+    assert read_cache(spark, cache_path).count() == run.cache.count()
