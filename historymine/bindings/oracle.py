@@ -260,7 +260,7 @@ JOIN (VALUES ('LongNumber', '[0-9]{3,}', NULL, 'long number'),
     "nest_reports": _with(
         FINDINGS,
         body="""
-SELECT commit, min(path) AS first_file, count(DISTINCT path) AS n_files, count(*) AS n_findings FROM keyed GROUP BY commit""",
+SELECT commit, count(DISTINCT path) AS n_files, count(*) AS n_findings FROM keyed GROUP BY commit""",
     ),
     "flatten_findings": _with(
         FINDINGS,

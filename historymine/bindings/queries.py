@@ -306,26 +306,42 @@ def map_merge_sum(spark, sf):
     return reports.merge_maps(maps, ["commit"], "warnings_by_rule")
 
 
-def _sizes(documents, *columns):
-    n = F.aggregate("files", F.lit(0).cast("bigint"), lambda acc, f: acc + F.size(f["violations"]))
-    return documents.select(*columns, F.size("files").cast("bigint").alias("n_files"), n.alias("n_findings"))
+def _sizes(documents, **per_document):
+    """Sizes of the documents of each commit, whether whole or in parts; names count once per commit.
+
+    ``per_document`` are sums over the documents of a commit.
+    """
+    values = [value.cast("bigint").alias(name) for name, value in per_document.items()]
+    entries = documents.select("commit", *values, F.posexplode_outer("files").alias("i", "f"))
+    once = F.coalesce(F.col("i"), F.lit(0)) == 0
+    files = entries.groupBy("commit", F.col("f.filename").alias("filename")).agg(
+        F.sum(F.size("f.violations")).alias("n"),
+        *[F.sum(F.when(once, F.col(name))).alias(name) for name in per_document],
+    )
+    return files.groupBy("commit").agg(
+        *[F.sum(name).alias(name) for name in per_document],
+        F.count("filename").alias("n_files"),
+        F.coalesce(F.sum("n"), F.lit(0)).alias("n_findings"),
+    )
 
 
 @query
 def nest_reports(spark, sf):
-    nested = reports.nest_reports(_stored_findings(spark, sf))
-    return _sizes(nested, "commit", F.col("files").getItem(0)["filename"].alias("first_file"))
+    return _sizes(reports.nest_reports(_stored_findings(spark, sf)))
 
 
 @query
 def flatten_findings(spark, sf):
     nested = reports.nest_reports(_stored_findings(spark, sf))
-    flat = nested.select("commit", F.transform(reports.flatten_findings("files"), lambda v: fn.rule_key(v["rule"], v["ruleSet"])).alias("rules"))
-    return flat.select(
-        "commit",
-        F.size("rules").cast("bigint").alias("n_warnings"),
-        F.array_min("rules").alias("first_rule"),
-        F.array_max("rules").alias("last_rule"),
+    rules = F.transform(reports.flatten_findings("files"), lambda v: fn.rule_key(v["rule"], v["ruleSet"]))
+    return (
+        nested.select("commit", rules.alias("rules"))
+        .groupBy("commit")
+        .agg(
+            F.sum(F.size("rules")).alias("n_warnings"),
+            F.min(F.array_min("rules")).alias("first_rule"),
+            F.max(F.array_max("rules")).alias("last_rule"),
+        )
     )
 
 
@@ -344,13 +360,11 @@ def _order_reports(spark, sf):
 
 @query
 def commit_reports(spark, sf):
-    documents = _order_reports(spark, sf)
     return _sizes(
-        documents,
-        "commit",
-        "num_java_files",
-        F.size("warnings_by_rule").cast("bigint").alias("n_rules"),
-        F.size("warnings").cast("bigint").alias("n_warnings"),
+        _order_reports(spark, sf),
+        num_java_files=F.col("num_java_files"),
+        n_rules=F.when(F.col("warnings_by_rule").isNotNull(), F.size("warnings_by_rule")),
+        n_warnings=F.size("warnings"),
     )
 
 
@@ -358,7 +372,8 @@ def commit_reports(spark, sf):
 def sink_reports(spark, sf):
     path = scratch_path(spark, "reports")
     sinks.write_reports(_order_reports(spark, sf), path)
-    return _sizes(spark.read.schema(S.COMMIT_REPORT_JSON).json(path), "commit", "num_java_files")
+    stored = spark.read.schema(S.COMMIT_REPORT_JSON).json(path)
+    return _sizes(stored, num_java_files=F.col("num_java_files"))
 
 
 @query
@@ -599,7 +614,7 @@ def mine_history_summary(spark, sf):
 
 @query
 def mine_history_reports(spark, sf):
-    return _sizes(_mine(spark, sf).reports(), "commit", "num_java_files")
+    return _sizes(_mine(spark, sf).reports(), num_java_files=F.col("num_java_files"))
 
 
 @query
