@@ -173,9 +173,9 @@ def cache_hits(spark, sf):
 
 @query
 def cache_misses(spark, sf):
-    index = content.content_index(_selected_files(spark, sf))
-    known = sources.empty_cache(spark)
-    return cache.cache_misses(index, known, sources.ruleset_id(V.RULES)).select("seq", "path", "hash")
+    index = materialize(content.content_index(_selected_files(spark, sf)), "contents")
+    known = cache.known_entries(sources.empty_cache(spark), sources.ruleset_id(V.RULES), index)
+    return cache.cache_misses(index, known).select("seq", "path", "hash")
 
 
 def _content_tallies(spark, sf):

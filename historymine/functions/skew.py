@@ -57,9 +57,9 @@ def spread_join(
     return joined.drop("_slice")
 
 
-def is_short(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> bool:
-    """Whether ``df`` has at most ``max_rows`` rows; counts no further than that."""
-    return df.limit(max_rows + 1).count() <= max_rows
+def is_short(stored: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> bool:
+    """Whether a stored table has at most ``max_rows`` rows; Parquet answers from its footers."""
+    return stored.count() <= max_rows
 
 
 def pick_rows(

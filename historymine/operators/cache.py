@@ -4,15 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from historymine.functions.skew import pick_rows
 from historymine.operators.scan import rule_tally
 
 
-def cache_misses(index: DataFrame, cache: DataFrame | None, ruleset: str) -> DataFrame:
-    """First occurrences whose content is not cached under this rule set; one row per content."""
-    if cache is None:
-        return index
-    known = cache.where(F.col("ruleset_id") == ruleset).select("hash")
-    return index.join(known, "hash", "left_anti")
+def known_entries(cache: DataFrame, ruleset: str, index: DataFrame) -> DataFrame:
+    """The latest cache entry of each content in ``index`` (a stored table) under this rule set.
+
+    The contents of a short run are broadcast, so that a large cache is read but not shuffled.
+    """
+    return cache_merge(pick_rows(cache.where(F.col("ruleset_id") == ruleset), index, ["hash"]))
+
+
+def cache_misses(index: DataFrame, known: DataFrame | None) -> DataFrame:
+    """First occurrences whose content has no known entry; one row per content."""
+    return index if known is None else index.join(known.select("hash"), "hash", "left_anti")
 
 
 def mark_hits(files: DataFrame, misses: DataFrame) -> DataFrame:

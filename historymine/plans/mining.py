@@ -10,7 +10,14 @@ from pyspark.sql import DataFrame, functions as F
 from historymine.functions.scalars import has_suffix, safe_ratio
 from historymine.functions.skew import pick_rows, spread_join
 from historymine.operators.analyzers import Analyzer, analyze, analyzer_errors, analyzer_findings
-from historymine.operators.cache import cache_entries, cache_merge, cache_misses, cache_tallies, mark_hits
+from historymine.operators.cache import (
+    cache_entries,
+    cache_merge,
+    cache_misses,
+    cache_tallies,
+    known_entries,
+    mark_hits,
+)
 from historymine.operators.content import content_index
 from historymine.operators.history import select_changes
 from historymine.operators.reports import commit_reports, count_maps, fan_counts, findings_by_file
@@ -132,7 +139,11 @@ def mine_history(
     if done is not None:
         changes = spread_join(changes, pending.select("seq"), ["seq"], ["path"])
     selected = materialize(changes, "selected")
-    misses = materialize(cache_misses(content_index(selected), cache, identity), "misses")
+    misses = index = materialize(content_index(selected), "contents")
+    known = None
+    if cache is not None:
+        known = materialize(known_entries(cache, identity, index), "known")
+        misses = materialize(cache_misses(index, known), "misses")
     files = mark_hits(selected, misses)
 
     scannable = snapshots.where(has_suffix("path", suffix)).select("seq", "path", "hash", "content")
@@ -145,13 +156,11 @@ def mine_history(
         scanned = misses.join(failed, "hash", "left_anti")
         errors = _commit_errors(pending, files, failed)
     fresh_cache = cache_entries(scanned, tallies, identity, cache_version)
-    if cache is None:
-        new_cache, known = fresh_cache, tallies
-    else:
-        new_cache = cache_merge(cache, fresh_cache)
-        known = cache_tallies(cache.where(F.col("ruleset_id") == identity)).unionByName(tallies)
+    new_cache = fresh_cache if cache is None else cache_merge(cache, fresh_cache)
+    if known is not None:
+        tallies = tallies.unionByName(cache_tallies(known))
 
-    by_rule, reported = fan_counts(files, known), pending
+    by_rule, reported = fan_counts(files, tallies), pending
     if errors is not None:
         by_rule, reported = by_rule.join(errors, "seq", "left_anti"), pending.join(errors, "seq", "left_anti")
     by_rule = materialize(by_rule, "by-rule")

@@ -7,7 +7,9 @@ from collections.abc import Callable, Iterable, Sequence
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from historymine.functions.skew import pick_rows
 from historymine.operators.scan import rule_scan
+from historymine.session import materialize
 from historymine.sources.rules import Rule
 
 
@@ -39,8 +41,9 @@ def _append_new(table: str, keys: Sequence[str]) -> Callable[[DataFrame, int], N
 
     Repeats inside the batch are folded with map-side combine before they are
     shuffled, so a key that fills a batch does not fill a task. The table itself
-    is the state: nothing has to fit an executor, and nothing is forgotten. Each
-    batch owns a directory, which a replay after a failure writes again.
+    is the state: nothing has to fit an executor, and nothing is forgotten. The
+    keys of a short batch are broadcast to it, so it is read but not shuffled.
+    Each batch owns a directory, which a replay after a failure writes again.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -48,9 +51,9 @@ def _append_new(table: str, keys: Sequence[str]) -> Callable[[DataFrame, int], N
         others = [c for c in batch.columns if c not in keys]
         # the least payload per key, so that a replay picks the same row
         once = batch.groupBy(*keys).agg(F.min(F.struct(*others)).alias("_row")) if others else batch.select(*keys).distinct()
-        rows = once.select(*keys, *[f"_row.{c}" for c in others])
-        known = _earlier(spark, table, batch.schema, batch_id).select(*keys)
-        rows.join(known, list(keys), "left_anti").write.mode("overwrite").parquet(f"{table}/batch_id={batch_id}")
+        once = materialize(once.select(*keys, *[f"_row.{c}" for c in others]), "batch")
+        seen = pick_rows(_earlier(spark, table, batch.schema, batch_id).select(*keys), once, keys)
+        once.join(seen, list(keys), "left_anti").write.mode("overwrite").parquet(f"{table}/batch_id={batch_id}")
 
     return write
 

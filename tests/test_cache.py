@@ -9,6 +9,7 @@ from historymine import schema as S
 from historymine.bindings import views as V
 from historymine.operators import analyzers, cache, content, reports, summary
 from historymine.plans import mine_full_tree, mine_history
+from historymine.session import materialize
 from historymine.sources import Rule, empty_cache, read_cache, ruleset_id
 
 FILES = [(0, "x", "h1"), (0, "y", "h2"), (1, "v", "h1"), (1, "z", "h3"), (2, "y", "h2"), (2, "w", "h2")]
@@ -29,7 +30,7 @@ def tallies(spark):
 def test_first_seen_hits_and_counts(spark, files, tallies, rows):
     index = content.content_index(files)
     assert rows(index) == [("h1", 0, "x", 2), ("h2", 0, "y", 3), ("h3", 1, "z", 1)]
-    marked = cache.mark_hits(files, cache.cache_misses(index, None, "r"))
+    marked = cache.mark_hits(files, cache.cache_misses(index, None))
     hits = marked.groupBy("seq").agg(F.count_if("is_hit"), F.count_if(~F.col("is_hit")))
     assert rows(hits) == [(0, 0, 2), (1, 1, 1), (2, 2, 0)]
     log = files.select("seq").distinct()
@@ -48,9 +49,11 @@ def test_dedup_stats(files, rows):
 
 
 def test_known_contents_are_not_missed_again(spark, files, rows):
-    known = spark.createDataFrame([("h1", "r", {"R1": 2}, 1, 0), ("h3", "other", {}, 1, 0)], empty_cache(spark).schema)
-    misses = cache.cache_misses(content.content_index(files), known, "r")
-    assert rows(misses, "hash") == [("h2",), ("h3",)]
+    stored = [("h1", "r", {"R1": 2}, 1, 1), ("h1", "r", {"R1": 7}, 1, 0), ("h3", "other", {}, 1, 0), ("h9", "r", {}, 1, 0)]
+    index = materialize(content.content_index(files), "contents")
+    known = cache.known_entries(spark.createDataFrame(stored, S.CACHE), "r", index)
+    assert rows(known, "hash", "warnings_by_rule") == [("h1", {"R1": 2})]
+    assert rows(cache.cache_misses(index, known), "hash") == [("h2",), ("h3",)]
 
 
 def test_merge_takes_latest_version(spark, rows):
