@@ -46,7 +46,7 @@ def parallel_stats(n_commits: str, n_files: str, n_findings: str) -> Column:
 
 def summarize_findings(commits: DataFrame, findings: DataFrame, location: str) -> DataFrame:
     """Summary over commits and long-form findings, without building documents."""
-    per_file = tally_fallback(findings, "commit", "path")  # the one pass over the findings
+    per_file = materialize(tally_fallback(findings, "commit", "path"), "per-file")  # the one pass over the findings
     n_files = per_file.select("commit", "path").distinct().agg(F.count(F.lit(1)).alias("n")).scalar()
     n_findings = per_file.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).scalar()
     stats = commits.agg(F.count(F.lit(1)).alias("c")).select("c", n_files.alias("f"), n_findings.alias("w"))
