@@ -590,8 +590,8 @@ def stream_dedup(spark, sf):
 # --- whole runs -------------------------------------------------------------
 
 
-def _mine(spark, sf, **options):
-    return plans.mine_history(V.commits(spark, sf), V.snapshots(spark, sf).drop("hash"), V.RULES, **options)
+def _mine(spark, sf, snapshots=V.snapshots, **options):
+    return plans.mine_history(V.commits(spark, sf), snapshots(spark, sf).drop("hash"), V.RULES, **options)
 
 
 @query
@@ -620,7 +620,7 @@ def mine_history_reports(spark, sf):
 @query
 def mine_history_analyzer(spark, sf):
     factory = analyzers.line_pattern_analyzer("[0-9]{3,}", "LongNumber", "numbers", fail_on="@")
-    run = _mine(spark, sf, analyzer=factory, analyzer_id="numbers")
+    run = _mine(spark, sf, V.contents, analyzer=factory, analyzer_id="numbers")
     counted = run.commits.select("commit", "findings", F.lit(None).cast("string").alias("error"))
     failed = run.errors.select("commit", F.lit(None).cast("bigint").alias("findings"), "error")
     return counted.unionByName(failed)

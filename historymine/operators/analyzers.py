@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
 FINDING_COLUMNS = ["rule", "ruleset", "line", "message"]
-FILES_PER_CALL = 128
+FILES_PER_CALL = 32
 
 # Takes the files of a batch, returns their findings: the key columns of a file
 # plus FINDING_COLUMNS. A factory makes one analyzer per task.
