@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from historymine.llm import bpe
+from historymine.llm import bpe, warc
 from historymine.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,3 +31,18 @@ def token_digests(encoded: DataFrame) -> DataFrame:
 @_query
 def op7_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
+
+
+@_query
+def op2_warc_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+ORACLE["op2_warc_dictionary"] = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+     d AS (SELECT page_id, octet_length(payload) AS n, sha1(payload) AS sha1, max(page_id) OVER (PARTITION BY payload) AS winner FROM p)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, sha1 AS payload_digest,
+       CASE WHEN n >= 1000 AND page_id <> winner THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 1000 AND page_id <> winner THEN winner END AS refers_to
+FROM d
+"""
