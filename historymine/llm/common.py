@@ -29,7 +29,8 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[tuple], Iterator[tuple]
 
     ``make`` builds the row function once per task. Only a few rows are Python
     objects at a time and output leaves in small batches, so a task's memory
-    does not depend on how many long texts an Arrow batch holds.
+    does not depend on how many long texts an Arrow batch holds. If the row
+    function has an attribute ``finish``, that is called after the last row.
     """
     out = to_arrow_schema(StructType.fromDDL(schema))
 
@@ -52,6 +53,7 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[tuple], Iterator[tuple]
                         if weight >= FLUSH_BYTES:
                             yield flush()
                             rows, weight = [], 0
+        rows += getattr(row_of, "finish", tuple)()
         if rows:
             yield flush()
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from historymine.llm import bpe, warc
+from historymine.llm import bpe, minhash, warc
 from historymine.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,6 +28,11 @@ def token_digests(encoded: DataFrame) -> DataFrame:
     )
 
 
+@_query
+def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), minhash.MinHash(words=3, percent=85))
+
+
 @_query
 def op7_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
