@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from historymine.llm import bpe, minhash, warc
+from historymine.llm import bpe, minhash, secrets, warc
 from historymine.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,3 +51,10 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, sha1 AS payload_digest,
        CASE WHEN n >= 1000 AND page_id <> winner THEN winner END AS refers_to
 FROM d
 """
+
+
+@_query
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(table(spark, sf_dir, "documents"))
+    counts = [secrets.counted("base", k).alias(f"n_{name}") for k, (name, *_) in enumerate(secrets.BASE)]
+    return found.select("doc_id", *counts, F.sha2(secrets.listed("base").cast("binary"), 256).alias("base_sha256"), secrets.listed("spans").alias("spans"))
