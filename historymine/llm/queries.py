@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from historymine.llm import bpe, chat, minhash, mixing, secrets, warc
+from historymine.llm import bpe, chat, forest, minhash, mixing, secrets, warc
 from historymine.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,6 +73,25 @@ def op7_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
 
 
+@_query
+def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+ORACLE["op1_embedding_near_dedup"] = """
+WITH RECURSIVE parts AS (
+  SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS k FROM embeddings),
+lengths AS (SELECT vec_id, sqrt(sum(x * x)) AS n FROM parts GROUP BY vec_id),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM parts a JOIN parts b ON a.k = b.k AND a.vec_id <> b.vec_id
+  JOIN lengths la ON la.vec_id = a.vec_id JOIN lengths lb ON lb.vec_id = b.vec_id
+  GROUP BY a.vec_id, b.vec_id, la.n, lb.n HAVING sum(a.x * b.x) / (la.n * lb.n) >= 0.95),
+reached AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM reached r JOIN links l ON l.a = r.b)
+SELECT r.a AS vec_id, (SELECT count(*) FROM links l WHERE l.a = r.a) AS n_links, min(r.b) AS component_id, min(r.b) = r.a AS kept
+FROM reached r GROUP BY r.a
+"""
+
+
 @_query
 def op2_warc_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
