@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from historymine.llm import bpe, chat, forest, minhash, mixing, secrets, warc
+from historymine.llm import bpe, chat, forest, minhash, mixing, secrets, topk, warc
 from historymine.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -112,6 +112,22 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+@_query
+def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
+ORACLE["op9_exact_topk"] = """
+WITH parts AS (
+  SELECT vec_id, CAST(floor(256 * CAST(unnest(embedding) AS DOUBLE)) AS BIGINT) AS x, generate_subscripts(embedding, 1) AS k FROM embeddings),
+scores AS (
+  SELECT q.vec_id AS query_id, c.vec_id, sum(q.x * c.x) AS score FROM parts q JOIN parts c ON q.k = c.k AND q.vec_id <> c.vec_id
+  WHERE q.vec_id % 50 = 0 GROUP BY q.vec_id, c.vec_id)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, CAST(score AS BIGINT) AS score
+FROM scores QUALIFY rank <= 5
+"""
+
+
 @_query
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find_secrets(table(spark, sf_dir, "documents"))
