@@ -8,14 +8,15 @@ member with the smallest one, so pairs grow with the members and not with their
 square. A pair becomes a link only after its full shingle sets were compared.
 
 A star can miss a link between two members that are both unlike its centre.
-Buckets that still hold several components are therefore searched further by
-their members' signatures until no pair that could be a link is untested.
+Where a bucket still holds several components, members whose signatures look
+alike form families, and inside a family every pair that looks similar enough
+and is in two components is compared in full, block by block.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,7 +26,6 @@ from historymine.llm.common import components, map_rows, stored
 
 MEMBERS_PER_SLICE = 128
 BLOCK = 256
-KEPT_BYTES = 48 << 20
 _MIX = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB], dtype=np.uint64)
 
 
@@ -129,99 +129,144 @@ def signatures(docs: DataFrame, how: MinHash, id_col: str = "doc_id", text_col:
     return map_rows(rows, make, "id bigint, n_shingles bigint, set_1 bigint, set_2 bigint, keys array<bigint>, signature binary")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, how: MinHash) -> DataFrame:
+def _similar(one: np.ndarray, other: np.ndarray, percent: int) -> bool:
+    low, high = sorted((len(one), len(other)))
+    if 100 * low < percent * high:
+        return False
+    both = len(np.intersect1d(one, other, assume_unique=True))
+    return both > 0 and 100 * both >= percent * (low + high - both)
+
+
+def _agreeing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many bins agree, for each row of ``a`` with each row of ``b``."""
+    same = np.zeros((len(a), len(b)), dtype=np.int16)
+    for column in range(a.shape[1]):
+        same += a[:, column, None] == b[None, :, column]
+    return same
+
+
+def _in_block_pairs(members: DataFrame, group: str, block: int, *columns: str) -> DataFrame:
+    """Rows ``(group, i, j, own, id, *columns)``, ordered within their unit, for each pair of blocks of a group.
+
+    ``members`` has the group's ``size``; a unit holds about two blocks however large the group is.
+    """
+    placed = members.withColumn("blocks", F.ceil(F.col("size") / block).cast("int")).withColumn("own", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    unit = spread.select(group, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", *columns)
+    return unit.repartition(group, "i", "j").sortWithinPartitions(group, "i", "j", "own", "id")
+
+
+def _by_unit(rows: DataFrame, make: Callable[[], Callable[[list[tuple]], list[tuple]]], schema: str) -> DataFrame:
+    """Apply a function to each unit of ``_in_block_pairs``."""
+
+    def start():
+        of_unit, unit = make(), []
+
+        def one(row) -> Iterator[tuple]:
+            if unit and row[:3] != unit[0][:3]:
+                yield from of_unit(unit)
+                unit.clear()
+            unit.append(row)
+
+        one.finish = lambda: of_unit(unit) if unit else []
+        return one
+
+    return map_rows(rows, start, schema)
+
+
+def confirmed(pairs: DataFrame, texts: DataFrame, how: MinHash) -> DataFrame:
     """The pairs ``(a, b)`` whose full sets are similar enough.
 
     Members of a centre ``a`` are cut into slices, each with its own copy of the
-    centre's text, and stream past it: a task holds two sets at a time, and
-    ``KEPT_BYTES`` of sets that it may see again.
+    centre's text, and stream past it: a task holds two sets at a time.
     """
     sliced = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / MEMBERS_PER_SLICE).cast("int").alias("slices"))
     members = pairs.join(sliced, "a").select("a", F.pmod(F.xxhash64("b"), "slices").cast("int").alias("slice"), F.col("b").alias("id"), F.lit(1).alias("member"))
     centres = sliced.select("a", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), F.col("a").alias("id"), F.lit(0).alias("member"))
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("id"), "text")
-    streamed = (
-        members.union(centres).join(texts, "id").select("a", "slice", "member", "id", "text").repartition("a", "slice").sortWithinPartitions("a", "slice", "member", "id")
-    )
+    streamed = members.union(centres).join(texts, "id").select("a", "slice", "member", "id", "text")
 
     def make():
-        hashes, kept, kept_bytes = WordHashes(), {}, 0
+        hashes = WordHashes()
         at, sets = None, []
 
         def one(row) -> Iterator[tuple]:
-            nonlocal at, sets, kept_bytes
+            nonlocal at, sets
             a, piece, member, b, text = row
-            if (found := kept.get((b, text))) is None:
-                found = kept[b, text] = shingle_set(text, how.words, hashes)
-                kept_bytes += found.nbytes + 4 * len(text)
-                if kept_bytes > KEPT_BYTES:
-                    kept.clear()
-                    kept_bytes = 0
+            found = shingle_set(text, how.words, hashes)
             if (a, piece) != at:
                 at, sets = (a, piece), []
             if not member:
                 sets.append(found)  # several only where rows share an id
-                return
-            for other in sets:
-                low, high = sorted((len(found), len(other)))
-                if 100 * low >= how.percent * high:
-                    both = len(np.intersect1d(found, other, assume_unique=True))
-                    if both and 100 * both >= how.percent * (low + high - both):
-                        yield a, b
-                        return
+            elif any(_similar(found, centre, how.percent) for centre in sets):
+                yield a, b
 
         return one
 
-    return map_rows(streamed, make, "a bigint, b bigint")
+    return map_rows(streamed.repartition("a", "slice").sortWithinPartitions("a", "slice", "member", "id"), make, "a bigint, b bigint")
 
 
-def _unlike(members: DataFrame, how: MinHash, best_only: bool) -> DataFrame:
-    """Pairs ``(a, b)`` of one bucket and two components whose signatures look similar enough.
+def _families(members: DataFrame, how: MinHash) -> DataFrame:
+    """``(a, b)`` that connect the members of a bucket whose signatures look similar enough, a tree for each unit.
 
-    ``members`` has ``(key, size, id, component, n_shingles, signature)``. Buckets are cut
-    into blocks, and each pair of blocks is one unit of work, so none grows with
-    its bucket. With ``best_only`` each member names its most similar partner alone.
+    ``members`` has ``(key, size, id, signature)``.
+    """
+    least = how.percent / 100 - how.margin
+
+    def make():
+        def roots(unit: list[tuple]) -> list[tuple]:
+            signature = np.frombuffer(b"".join(r[5] for r in unit), dtype="<u2").reshape(len(unit), -1)
+            near = _agreeing(signature, signature) >= least * signature.shape[1]
+            root = np.arange(len(unit))
+            while True:
+                lower = np.where(near, root[None, :], len(unit)).min(axis=1)
+                lower = lower[lower]
+                if (lower == root).all():
+                    return [(r[4], unit[k][4]) for r, k in zip(unit, root.tolist()) if r[4] != unit[k][4]]
+                root = lower
+
+        return roots
+
+    return _by_unit(_in_block_pairs(members, "key", BLOCK, "signature"), make, "a bigint, b bigint")
+
+
+def _missed(members: DataFrame, how: MinHash) -> DataFrame:
+    """Links ``(a, b)`` between components of a family: all its pairs that look similar enough, compared in full.
+
+    ``members`` has ``(family, size, id, component, text)``. A pair of which a link
+    found before in the same unit has joined the components is passed over.
     """
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    placed = members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "component", "n_shingles", "signature"
-    )
-    ordered = spread.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "block", "id")
     least = how.percent / 100 - how.margin
 
     def make():
-        unit: list[tuple] = []
+        hashes, densified = WordHashes(), Densified(how.bins)
 
-        def compare() -> list[tuple]:
+        def links(unit: list[tuple]) -> list[tuple]:
             first = [r for r in unit if r[3] == unit[0][1]]
             second = [r for r in unit if r[3] == unit[0][2]]
-            if not first or not second:
+            if not first or not second or len({r[5] for r in unit}) == 1:
                 return []
-            a, b = (np.frombuffer(b"".join(r[7] for r in rows), dtype="<u2").reshape(len(rows), -1) for rows in (first, second))
-            same = np.zeros((len(a), len(b)), dtype=np.int16)
-            for column in range(a.shape[1]):
-                same += a[:, column, None] == b[None, :, column]
-            (ids_a, ids_b), (comp_a, comp_b), (n_a, n_b) = ([np.array([r[k] for r in rows], dtype=np.int64) for rows in (first, second)] for k in (4, 5, 6))
-            n_low, n_high = np.minimum.outer(n_a, n_b), np.maximum.outer(n_a, n_b)
-            same[(comp_a[:, None] == comp_b) | (100 * n_low < how.percent * n_high) | (same < least * a.shape[1])] = 0
-            if best_only:
-                rows_best, cols_best = same.argmax(axis=1), same.argmax(axis=0)
-                found = {(i, int(j)) for i, j in enumerate(rows_best) if same[i, j]} | {(int(i), j) for j, i in enumerate(cols_best) if same[i, j]}
-            else:
-                found = set(zip(*(x.tolist() for x in np.nonzero(same))))
-            return [(int(min(ids_a[i], ids_b[j])), int(max(ids_a[i], ids_b[j]))) for i, j in found]
+            sets = [[shingle_set(r[6], how.words, hashes) for r in rows] for rows in (first, second)]
+            a, b = (np.array([densified(x) & np.uint64(0xFFFF) for x in side], dtype=np.uint16) for side in sets)
+            same = _agreeing(a, b)
+            joined = {r[5]: r[5] for r in unit}
 
-        def one(row) -> Iterator[tuple]:
-            if unit and row[:3] != unit[0][:3]:
-                yield from compare()
-                unit.clear()
-            unit.append(row)
+            def root(c: int) -> int:
+                while joined[c] != c:
+                    c = joined[c]
+                return c
 
-        one.finish = lambda: compare() if unit else []
-        return one
+            found = []
+            near = np.argwhere(same >= least * a.shape[1])
+            for x, y in near[np.argsort(-same[near[:, 0], near[:, 1]], kind="stable")].tolist():
+                low, high = sorted((root(first[x][5]), root(second[y][5])))
+                if low != high and _similar(sets[0][x], sets[1][y], how.percent):
+                    joined[high] = low
+                    found.append((first[x][4], second[y][4]))
+            return found
+
+        return links
 
-    return map_rows(ordered, make, "a bigint, b bigint").distinct()
+    return _by_unit(_in_block_pairs(members, "family", BLOCK // 2, "component", "text"), make, "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, how: MinHash = MinHash()) -> DataFrame:
@@ -244,27 +289,31 @@ def near_duplicates(docs: DataFrame, how: MinHash = MinHash()) -> DataFrame:
     buckets = reps.select("id", "n_shingles", F.explode("keys").alias("key"))
 
     centres = buckets.groupBy("key").agg(F.min(F.struct("id", "n_shingles")).alias("centre"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    star = buckets.join(centres, "key").where("id <> centre.id")
     able = F.least("n_shingles", "centre.n_shingles") * 100 >= F.greatest("n_shingles", "centre.n_shingles") * how.percent
-    tested = stored(star.where(able).select(F.col("centre.id").alias("a"), F.col("id").alias("b")).distinct(), "minhash-pairs")
+    star = stored(
+        buckets.join(centres, "key").where("id <> centre.id").select(F.col("centre.id").alias("a"), F.col("id").alias("b"), able.alias("able")).distinct(), "minhash-pairs"
+    )
+    # Texts move once, for the documents that share a bucket; a fixed join keeps the plan alike at every size.
+    sharing = star.select(F.col("a").alias("id")).union(star.select("b")).distinct()
+    texts = stored(docs.withColumnRenamed("doc_id", "id").join(sharing.hint("merge"), "id", "left_semi"), "minhash-texts")
 
     # Rows that share an id tie their classes together.
     repeated = entered.groupBy("id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("id")
     ties = entered.join(repeated, "id").join(classes, same).where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    links = stored(confirmed(tested, docs, how).unionByName(ties), "minhash-links")
+    links = stored(confirmed(star.where("able").select("a", "b"), texts, how).unionByName(ties), "minhash-links")
     label = components(links, "minhash")
-    for best_only in (True, False):
-        labelled = buckets.join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        split = (
-            labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size")).where("low <> high")
-        )
-        members = labelled.join(split.select("key", "size"), "key").join(reps.select("id", "signature"), "id")
-        pairs = stored(_unlike(members, how, best_only).join(tested, ["a", "b"], "left_anti"), "minhash-pairs")
-        more = stored(confirmed(pairs, docs, how), "minhash-links")
-        tested = tested.unionByName(pairs)
-        if not more.isEmpty():
-            links = links.unionByName(more)
-            label = components(links, "minhash")
+
+    # Where a bucket still holds several components, what its star missed.
+    labelled = buckets.join(label, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+    split = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size")).where("low <> high")
+    members = labelled.join(split.select("key", "size"), "key").join(reps.select("id", "signature"), "id")
+    alike = stored(_families(members, how), "minhash-alike")
+    family = components(alike.unionByName(links), "minhash").select("id", F.col("component").alias("family"))
+    inside = stored(family.join(label, "id", "left").select("id", "family", F.coalesce("component", "id").alias("component")), "minhash-families")
+    several = inside.groupBy("family").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size")).where("low <> high")
+    missed = stored(_missed(inside.join(several.select("family", "size"), "family").join(texts, "id"), how), "minhash-links")
+    if not missed.isEmpty():
+        label = components(links.unionByName(missed), "minhash")
 
     of_rep = classes.join(label.withColumnRenamed("id", "rep"), "rep", "left").select(*same, F.coalesce("component", "rep").alias("component"))
     placed = entered.join(of_rep, same).select("id", "n_shingles", "component")
