@@ -30,7 +30,8 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[tuple], Iterator[tuple]
     ``make`` builds the row function once per task. Only a few rows are Python
     objects at a time and output leaves in small batches, so a task's memory
     does not depend on how many long texts an Arrow batch holds. If the row
-    function has an attribute ``finish``, that is called after the last row.
+    function has an attribute ``finish``, that is called after the last row, if
+    ``prepare``, that is called with each list of rows before they are mapped.
     """
     out = to_arrow_schema(StructType.fromDDL(schema))
 
@@ -46,7 +47,9 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[tuple], Iterator[tuple]
         for batch in batches:
             for start in range(0, batch.num_rows, ROWS_AT_ONCE):
                 part = batch.slice(start, ROWS_AT_ONCE)
-                for row in zip(*[c.to_pylist() for c in part.columns]):
+                taken = list(zip(*[c.to_pylist() for c in part.columns]))
+                getattr(row_of, "prepare", len)(taken)
+                for row in taken:
                     for made in row_of(row):
                         rows.append(made)
                         weight += 64 + sum(len(v) for v in made if isinstance(v, (str, bytes, list)))

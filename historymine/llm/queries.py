@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from historymine.llm import bpe, chat, forest, minhash, mixing, secrets, topk, warc
-from historymine.llm.common import table
+from historymine.llm import bpe, chat, forest, langid, minhash, mixing, secrets, topk, warc
+from historymine.llm.common import crc_mod5, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -68,6 +68,17 @@ FROM escaped GROUP BY conv_id
 """
 
 
+def language_model(docs: DataFrame) -> langid.Model:
+    return langid.fit(docs, public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@_query
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    predicted = langid.predict(docs, language_model(docs))
+    return predicted.select("doc_id", (crc_mod5("doc_id") == 0).alias("held_out"), "lang_pred", "score")
+
+
 @_query
 def op7_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
