@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from historymine.llm import bpe, chat, forest, langid, minhash, mixing, secrets, topk, warc
+from historymine.llm import bpe, chat, forest, langid, minhash, mixing, secrets, topk, toxicity, warc
 from historymine.llm.common import crc_mod5, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,6 +68,13 @@ FROM escaped GROUP BY conv_id
 """
 
 
+@_query
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.predict(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", (crc_mod5("doc_id") == 0).alias("held_out"), "score", "predicted")
+
+
 def language_model(docs: DataFrame) -> langid.Model:
     return langid.fit(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
