@@ -1,30 +1,77 @@
-"""From raw documents to token sequences: the stages of a training corpus, each written as a table."""
+"""From raw documents to token sequences: the stages of a training corpus, each written as a table.
+
+Every stage takes the documents that its predecessor kept and returns documents
+with the same columns; the last one returns what was encoded. A text changes
+only where a secret is masked, and then ``n_chars`` follows it.
+"""
 
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from historymine.llm import bpe
+from historymine.llm import bpe, langid, minhash, mixing, secrets
 from historymine.llm.common import stored, table
-from historymine.llm.queries import token_digests
+from historymine.llm.queries import language_model, token_digests
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents whose language cannot be told: no text or no letter. A missing label is filled in."""
+    found = langid.predict(docs.select(*COLUMNS), language_model(docs), carried=COLUMNS)
+    lang = F.coalesce("lang", "lang_pred").alias("lang")
+    return found.where(F.col("lang_pred") != langid.UNDETERMINED).select(*[lang if c == "lang" else F.col(c) for c in COLUMNS])
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the smallest id of each group of documents alike at 0.8 or more in shingles of five words; rows without id stay.
+
+    Rows that repeat the kept id are repeats of it, so one of them is kept, the smallest by its columns.
+    """
+    docs = docs.select(*COLUMNS)
+    kept = minhash.near_duplicates(docs).where("kept").select("doc_id").distinct()
+    ided = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi")
+    one = ided.groupBy("doc_id").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("row"))
+    return one.select("doc_id", "row.*").unionByName(docs.where("doc_id is null"))
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replace every secret found by a mark; all documents stay."""
+    found = secrets.find_secrets(docs, carried=COLUMNS).withColumn("text", F.when(F.col("text").isNotNull(), secrets.redacted("text", "spans")))
+    n_chars = F.when(F.size("spans") > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars")).alias("n_chars")
+    return found.select(*[n_chars if c == "n_chars" else F.col(c) for c in COLUMNS])
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeat or leave out whole documents so that sources come near their shares.
 
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+    The mix takes up to twice a document's words; the document enters as many times
+    as that is of its size, rounded. Documents without words are in no share and go.
+    """
+    mixed = mixing.mix(docs, carried=COLUMNS)
+    times = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
+    return mixed.select(*COLUMNS, F.explode(F.array_repeat(F.lit(0), times)).alias("_copy")).select(*COLUMNS)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Encode every remaining text; returns digests of the tokens per document."""
+    """Encode every text that is left, once per time that it was mixed in; returns digests of the tokens per document."""
     return token_digests(bpe.encode(docs, public_tokenizers.path("word_bpe_49k.json")))
 
 
-STAGES = [("tokens", tokens)]
-ORACLE_SQL = None  # hashing, models and tokenizers are beyond SQL; tests hold each stage against brute force
+STAGES = [
+    ("language", languages),
+    ("near_duplicates", near_duplicates),
+    ("secrets", mask_secrets),
+    ("mix", mix_sources),
+    ("tokens", tokens),
+]
+ORACLE_SQL = None  # models, hashing and tokenizers are beyond SQL; tests hold each stage against brute force
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; what one returns is written and read again for the next."""
     docs = table(spark, sf_dir, "documents")
-    for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i + 1 < len(STAGES):
-            docs = stored(docs, f"pipeline-{name}")
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -22,6 +22,7 @@ from historymine.llm.common import stored
 
 WORD = r"[^\x20\x09-\x0D]+"
 CANDIDATES = 32
+OWN = ("size", "source", "source_size", "target", "taken")
 
 
 @dataclass(frozen=True)
@@ -125,7 +126,8 @@ def mix(docs: DataFrame, how: Mix = Mix(), carried: tuple[str, ...] = ("doc_id",
     A null text has no words; a null source is the last source. A row without
     id is ordered by its size. Repeated rows are documents of their own, taken
     each for itself. Without any words all targets are 0, and an empty table
-    gives an empty result. Columns that are not carried are ignored.
+    gives an empty result. Columns that are not carried are ignored, carried ones
+    that are named like a result column give way to it.
     """
     rows = docs.select(F.struct(*carried).alias("row"), F.col("doc_id").cast("bigint").alias("id"), "source", n_words(F.col("text")).alias("size"))
     sized = stored(rows, "mix-sizes")
@@ -154,4 +156,5 @@ def mix(docs: DataFrame, how: Mix = Mix(), carried: tuple[str, ...] = ("doc_id",
     rounds = F.expr("coalesce(words div nullif(cell_size, 0), 0)")
     rest = F.col("words") - rounds * F.col("cell_size")
     part = F.greatest(F.least(F.col("start") + F.col("size"), rest) - F.col("start"), F.lit(0))
-    return laid.select("row.*", "size", "source", "source_size", "target", (rounds * F.col("size") + part).cast("bigint").alias("taken"))
+    others = [F.col("row")[c].alias(c) for c in carried if c not in OWN]
+    return laid.select(*others, "size", "source", "source_size", "target", (rounds * F.col("size") + part).cast("bigint").alias("taken"))
