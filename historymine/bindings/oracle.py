@@ -99,6 +99,8 @@ REPORTS = """
 whole AS (
   SELECT event_id, ts,
     '{' || CASE WHEN event_id % 5 = 0 THEN '"timestamp":"' || strftime(ts, '%Y-%m-%d %H:%M:%S') || '",' ELSE '' END
+    || CASE WHEN event_id % 4 = 0 THEN '"formatVersion":' || event_id % 3 || ',"pmdVersion":"7.' || event_id % 9
+              || '","metrics":"m' || event_type || '",' ELSE '' END
     || '"' || CASE WHEN event_id % 3 = 0 THEN 'fileReports' ELSE 'files' END || '":[{"'
     || CASE WHEN event_id % 13 = 0 THEN 'other' WHEN event_id % 2 = 0 THEN 'filename' ELSE 'file' END
     || '":"f' || user_id || '.java","violations":[{"rule":"' || event_type
@@ -112,7 +114,8 @@ docs AS (
 parsed AS (
   SELECT event_id, file_name,
     coalesce(json_extract(text, '$.fileReports[0]'), json_extract(text, '$.files[0]')) AS f,
-    json_extract_string(text, '$.timestamp') AS stamp
+    json_extract_string(text, '$.timestamp') AS stamp, CAST(json_extract(text, '$.formatVersion') AS BIGINT) AS format_version,
+    json_extract_string(text, '$.pmdVersion') AS tool_version, json_extract_string(text, '$.metrics') AS metrics
   FROM docs WHERE json_valid(text))"""
 
 
@@ -206,11 +209,15 @@ SELECT count(*) AS n_files, count(DISTINCT hash) AS n_contents, count(*) - count
 FROM snaps""",
     ),
     "cache_hits": _with(
-        COMMITS, SNAPS, DOC_DIFF, RENAMES, SELECTED, MARKED, body="SELECT seq, path, hash FROM marked WHERE is_hit"
-    ),
+        COMMITS, SNAPS, DOC_DIFF, RENAMES, SELECTED, MARKED,
+        body="""
+SELECT seq, path, hash FROM marked WHERE is_hit OR hash IN (SELECT hash FROM marked WHERE seq % 2 = 0)""",
+    ),
     "cache_misses": _with(
-        COMMITS, SNAPS, DOC_DIFF, RENAMES, SELECTED, MARKED, body="SELECT seq, path, hash FROM marked WHERE NOT is_hit"
-    ),
+        COMMITS, SNAPS, DOC_DIFF, RENAMES, SELECTED, MARKED,
+        body="""
+SELECT seq, path, hash FROM marked WHERE NOT is_hit AND hash NOT IN (SELECT hash FROM marked WHERE seq % 2 = 0)""",
+    ),
     "cache_backfill": _with(SNAPS, SCAN, body="SELECT hash, rule, n FROM tally"),
     "cache_load": _with(
         SNAPS,
@@ -220,21 +227,17 @@ FROM snaps""",
     "cache_save": _with(SNAPS, SCAN, body="SELECT hash, rule, n FROM tally"),
     "cache_merge": _with(
         SNAPS,
-        body="SELECT hash, max(seq) AS version, 'chars' AS rule, max(length(content)) AS n FROM snaps GROUP BY hash",
+        body="SELECT hash, max(seq) AS version, 'chars' AS rule, max(length(content) + seq) AS n FROM snaps GROUP BY hash",
     ),
     # --- scans
     "rule_scan": _with(SNAPS, SCAN, body="SELECT hash, rule, ruleset, line FROM found"),
     "rule_scan_table": _with(
         SNAPS,
+        SCAN,
         body="""
-SELECT seq, path, r.rule, line, r.message
-FROM (SELECT seq, path, unnest(l) AS txt, CAST(generate_subscripts(l, 1) AS INTEGER) AS line
-      FROM (SELECT seq, path, string_split(content, chr(10)) AS l FROM snaps)) t
-JOIN (VALUES ('LongNumber', '[0-9]{3,}', NULL, 'long number'),
-             ('LongLine', NULL, 120, 'line too long'),
-             ('LicenseText', '(?i)licen[sc]e|copyright', NULL, 'license text'),
-             ('MailAddress', '[a-zA-Z0-9_.]+@[a-zA-Z0-9_.]+', NULL, 'mail address')) r(rule, pattern, threshold, message)
-  ON regexp_matches(txt, r.pattern) OR length(txt) > r.threshold""",
+SELECT seq, path, rule, line, message FROM snaps JOIN found USING (hash)
+JOIN (VALUES ('LongNumber', 'long number'), ('LongLine', 'line too long'), ('LicenseText', 'license text'),
+             ('MailAddress', 'mail address'), ('RepeatedLine', 'line repeated'), ('LongFile', 'file too long')) r(rule, message) USING (rule)""",
     ),
     "rule_tally_file": _with(SNAPS, SCAN, body="SELECT hash, rule, n FROM tally"),
     "findings_by_commit": _with(SNAPS, SCAN, body="SELECT seq, path, rule, line FROM snaps JOIN found USING (hash)"),
@@ -257,28 +260,22 @@ JOIN (VALUES ('LongNumber', '[0-9]{3,}', NULL, 'long number'),
     "map_merge_sum": _with(
         FINDINGS, body="SELECT commit, rule_key AS rule, count(*) AS n FROM keyed GROUP BY ALL"
     ),
-    "nest_reports": _with(
-        FINDINGS,
-        body="""
-SELECT commit, count(DISTINCT path) AS n_files, count(*) AS n_findings FROM keyed GROUP BY commit""",
-    ),
+    "nest_reports": _with(FINDINGS, body="SELECT commit, path, rule, ruleset, line FROM findings"),
     "flatten_findings": _with(
         FINDINGS,
         body="""
-SELECT commit, count(*) AS n_warnings, min(rule_key) AS first_rule, max(rule_key) AS last_rule FROM keyed GROUP BY commit""",
+, placed AS (
+  SELECT *, row_number() OVER (PARTITION BY commit ORDER BY path, rule NULLS FIRST, ruleset NULLS FIRST, line) AS k FROM keyed)
+SELECT commit, count(*) AS n_warnings, min(rule_key) AS first_rule, max(rule_key) AS last_rule
+FROM placed WHERE k = 1 OR CAST(commit AS BIGINT) % 3 <> 0 GROUP BY commit""",
     ),
     "commit_reports": _with(
         FINDINGS,
         body="""
-SELECT l.commit, count(DISTINCT path) AS num_java_files, count(DISTINCT rule_key) AS n_rules,
-       count(f.commit) AS n_warnings, count(DISTINCT path) AS n_files, count(f.commit) AS n_findings
-FROM log l LEFT JOIN keyed f USING (commit) GROUP BY l.commit""",
-    ),
-    "sink_reports": _with(
-        FINDINGS,
-        body="""
-SELECT l.commit, count(DISTINCT path) AS num_java_files, count(DISTINCT path) AS n_files, count(f.commit) AS n_findings
-FROM log l LEFT JOIN keyed f USING (commit) GROUP BY l.commit""",
+, heads AS (
+  SELECT l.commit, count(DISTINCT path) AS num_java_files, count(DISTINCT rule_key) AS n_rules, count(f.commit) AS n_warnings
+  FROM log l LEFT JOIN keyed f USING (commit) GROUP BY l.commit)
+SELECT h.commit, num_java_files, n_rules, n_warnings, path, rule, ruleset, line FROM heads h LEFT JOIN findings f ON f.commit = h.commit""",
     ),
     "sink_errors": _with(
         RUN_LOG,
@@ -291,7 +288,7 @@ FROM log l LEFT JOIN keyed f USING (commit) GROUP BY l.commit""",
 SELECT event_id, file_name, coalesce(json_extract_string(f, '$.file'), json_extract_string(f, '$.filename')) AS path,
        json_extract_string(f, '$.violations[0].rule') AS rule,
        CAST(json_extract(f, '$.violations[0].beginline') AS INTEGER) AS line
-FROM parsed""",
+FROM parsed WHERE coalesce(json_extract_string(f, '$.file'), json_extract_string(f, '$.filename')) IS NOT NULL""",
     ),
     "report_parse_status": _with(
         REPORTS,
@@ -301,7 +298,10 @@ SELECT event_id, CASE WHEN text <> '' AND NOT json_valid(text) THEN 'failed' ELS
 FROM docs""",
     ),
     "report_metadata": _with(
-        REPORTS, body="SELECT event_id, stamp AS timestamp FROM parsed WHERE stamp IS NOT NULL"
+        REPORTS,
+        body="""
+SELECT event_id, stamp AS timestamp, format_version AS "formatVersion", tool_version AS "pmdVersion", metrics
+FROM parsed WHERE stamp IS NOT NULL OR tool_version IS NOT NULL""",
     ),
     "report_bad_entries": _with(
         REPORTS,
@@ -438,9 +438,11 @@ FROM marked JOIN tally USING (hash) GROUP BY rule""",
         *MINED,
         PER_COMMIT,
         body="""
-SELECT c.commit, coalesce(files_changed, 0) AS num_java_files, coalesce(files_reported, 0) AS n_files,
-       coalesce(findings, 0) AS n_findings
-FROM commits c LEFT JOIN per_commit USING (seq)""",
+, rules AS (SELECT seq, count(DISTINCT rule) AS n_rules FROM marked JOIN tally USING (hash) GROUP BY seq),
+rows AS (SELECT seq, path, rule, ruleset, line FROM marked JOIN found USING (hash))
+SELECT c.commit, coalesce(files_changed, 0) AS num_java_files, coalesce(n_rules, 0) AS n_rules, coalesce(findings, 0) AS n_warnings,
+       path, rule, ruleset, line
+FROM commits c LEFT JOIN per_commit USING (seq) LEFT JOIN rules USING (seq) LEFT JOIN rows USING (seq)""",
     ),
     "mine_history_analyzer": _with(
         *MINED,
@@ -483,3 +485,16 @@ GROUP BY c.seq, c.commit""",
     ),
 }
 ORACLE["summary_json"] = ORACLE["summary_parallel"]
+ORACLE["sink_reports"] = ORACLE["commit_reports"]
+ORACLE["mine_history_warm"] = ORACLE["mine_history_reports"]
+ORACLE["mine_history_resumed"] = ORACLE["mine_history"]
+ORACLE["mine_history_resumed_summary"] = _with(
+    *MINED,
+    PER_COMMIT,
+    body="""
+SELECT (SELECT count(*) FROM commits) AS number_of_commits,
+       (SELECT sum(files_reported) FROM per_commit) / (SELECT count(*) FROM commits) AS avg_files,
+       (SELECT sum(findings) FROM per_commit) / (SELECT count(*) FROM commits) AS avg_warnings,
+       rule, CAST(sum(n) AS BIGINT) AS n
+FROM marked JOIN tally USING (hash) GROUP BY rule""",
+)

@@ -98,8 +98,9 @@ def snapshot_diff(spark, sf):
 
 @query
 def first_commit_full(spark, sf):
-    changes = history.snapshot_diff(V.snapshots(spark, sf), V.commits(spark, sf))
-    return history.keep_suffix(changes).where(F.col("seq") == 0).select("path", "kind")
+    first = V.snapshots(spark, sf).where(F.col("seq") == 0)
+    changes = history.snapshot_diff(first, V.commits(spark, sf).where(F.col("seq") == 0))
+    return history.keep_suffix(changes).select("path", "kind")
 
 
 @query
@@ -165,17 +166,25 @@ def _selected_files(spark, sf):
     return materialize(history.select_changes(trees, V.commits(spark, sf)).select("seq", "path", "hash"), "selected")
 
 
+def _against_cache(spark, sf):
+    """Files, and their contents that a cache of all even-numbered commits does not know."""
+    files = _selected_files(spark, sf)
+    index = materialize(content.content_index(files), "contents")
+    older = content.content_index(files.where(F.col("seq") % 2 == 0))
+    filled = cache.cache_entries(older, _content_tallies(spark, sf), sources.ruleset_id(V.RULES))
+    path = sinks.save_cache(filled, scratch_path(spark, "cache"))
+    known = cache.known_entries(sources.read_cache(spark, path), sources.ruleset_id(V.RULES), index)
+    return files, cache.cache_misses(index, known)
+
+
 @query
 def cache_hits(spark, sf):
-    files = _selected_files(spark, sf)
-    return cache.mark_hits(files, content.content_index(files)).where("is_hit").select("seq", "path", "hash")
+    return cache.mark_hits(*_against_cache(spark, sf)).where("is_hit").select("seq", "path", "hash")
 
 
 @query
 def cache_misses(spark, sf):
-    index = materialize(content.content_index(_selected_files(spark, sf)), "contents")
-    known = cache.known_entries(sources.empty_cache(spark), sources.ruleset_id(V.RULES), index)
-    return cache.cache_misses(index, known).select("seq", "path", "hash")
+    return _against_cache(spark, sf)[1].select("seq", "path", "hash")
 
 
 def _content_tallies(spark, sf):
@@ -217,7 +226,7 @@ def cache_merge(spark, sf):
     versions = V.snapshots(spark, sf).select(
         "hash",
         F.lit("rules").alias("ruleset_id"),
-        F.create_map(F.lit("chars"), F.length("content").cast("bigint")).alias("warnings_by_rule"),
+        F.create_map(F.lit("chars"), F.length("content").cast("bigint") + F.col("seq")).alias("warnings_by_rule"),
         F.lit(1).cast("bigint").alias("num_files"),
         F.col("seq").alias("version"),
     )
@@ -239,7 +248,7 @@ def rule_scan_table(spark, sf):
     table = spark.createDataFrame(
         [(r.rule, r.ruleset, r.kind, r.pattern, r.threshold, r.message, r.needle) for r in V.RULES], S.RULES
     )
-    rules = sources.load_rules(table.where(F.col("kind").isin("line_regex", "line_length")))
+    rules = sources.load_rules(table)
     return scan.rule_scan(V.contents(spark, sf), rules, ["seq", "path"]).select("seq", "path", "rule", "line", "message")
 
 
@@ -306,42 +315,33 @@ def map_merge_sum(spark, sf):
     return reports.merge_maps(maps, ["commit"], "warnings_by_rule")
 
 
-def _sizes(documents, **per_document):
-    """Sizes of the documents of each commit, whether whole or in parts; names count once per commit.
+def _long(documents):
+    """Findings of the documents, one row each."""
+    found = documents.where(~reports.is_header()).select("commit", F.col("filename").alias("path"), F.explode("violations").alias("v"))
+    return found.select("commit", "path", "v.rule", F.col("v.ruleSet").alias("ruleset"), "v.line")
 
-    ``per_document`` are sums over the documents of a commit.
-    """
-    values = [value.cast("bigint").alias(name) for name, value in per_document.items()]
-    entries = documents.select("commit", *values, F.posexplode_outer("files").alias("i", "f"))
-    once = F.coalesce(F.col("i"), F.lit(0)) == 0
-    files = entries.groupBy("commit", F.col("f.filename").alias("filename")).agg(
-        F.sum(F.size("f.violations")).alias("n"),
-        *[F.sum(F.when(once, F.col(name))).alias(name) for name in per_document],
-    )
-    return files.groupBy("commit").agg(
-        *[F.sum(name).alias(name) for name in per_document],
-        F.count("filename").alias("n_files"),
-        F.coalesce(F.sum("n"), F.lit(0)).alias("n_findings"),
+
+def _with_headers(documents):
+    """The same next to the header counts of each commit, one row of nulls for a commit without findings."""
+    head = documents.where(reports.is_header()).select(
+        "commit", "num_java_files", F.size("warnings_by_rule").cast("bigint").alias("n_rules"), F.aggregate(F.map_values("warnings_by_rule"), F.lit(0).cast("bigint"), lambda a, n: a + n).alias("n_warnings")
     )
+    return head.join(_long(documents), "commit", "left")
 
 
 @query
 def nest_reports(spark, sf):
-    return _sizes(reports.nest_reports(_stored_findings(spark, sf)))
+    return _long(reports.nest_reports(_stored_findings(spark, sf)))
 
 
 @query
 def flatten_findings(spark, sf):
-    nested = reports.nest_reports(_stored_findings(spark, sf))
-    rules = F.transform(reports.flatten_findings("files"), lambda v: fn.rule_key(v["rule"], v["ruleSet"]))
-    return (
-        nested.select("commit", rules.alias("rules"))
-        .groupBy("commit")
-        .agg(
-            F.sum(F.size("rules")).alias("n_warnings"),
-            F.min(F.array_min("rules")).alias("first_rule"),
-            F.max(F.array_max("rules")).alias("last_rule"),
-        )
+    """Whole documents: every third has a list of its own at the top, which wins over those of its files."""
+    whole = reports.assemble_documents(_order_reports(spark, sf))
+    own = F.when(F.col("commit").cast("bigint") % 3 == 0, F.slice("warnings", 1, 1))
+    rules = F.transform(reports.flatten_findings("files", own), lambda v: fn.rule_key(v["rule"], v["ruleSet"]))
+    return whole.where(F.size("files") > 0).select(
+        "commit", F.size(rules).cast("bigint").alias("n_warnings"), F.array_min(rules).alias("first_rule"), F.array_max(rules).alias("last_rule")
     )
 
 
@@ -360,20 +360,14 @@ def _order_reports(spark, sf):
 
 @query
 def commit_reports(spark, sf):
-    return _sizes(
-        _order_reports(spark, sf),
-        num_java_files=F.col("num_java_files"),
-        n_rules=F.when(F.col("warnings_by_rule").isNotNull(), F.size("warnings_by_rule")),
-        n_warnings=F.size("warnings"),
-    )
+    return _with_headers(_order_reports(spark, sf))
 
 
 @query
 def sink_reports(spark, sf):
     path = scratch_path(spark, "reports")
     sinks.write_reports(_order_reports(spark, sf), path)
-    stored = spark.read.schema(S.COMMIT_REPORT_JSON).json(path)
-    return _sizes(stored, num_java_files=F.col("num_java_files"))
+    return _with_headers(spark.read.schema(S.COMMIT_REPORT_JSON).json(path))
 
 
 @query
@@ -410,7 +404,7 @@ def report_parse_status(spark, sf):
 @query
 def report_metadata(spark, sf):
     meta = sources.report_metadata(_parsed(spark, sf), "event_id")
-    return meta.where(F.col("timestamp").isNotNull()).select("event_id", "timestamp")
+    return meta.where(F.col("timestamp").isNotNull() | F.col("pmdVersion").isNotNull()).select("event_id", "timestamp", "formatVersion", "pmdVersion", "metrics")
 
 
 @query
@@ -562,28 +556,29 @@ def resume_pending(spark, sf):
 
 @query
 def stream_ingest(spark, sf):
-    """Documents as deliveries of reports, run twice: the second run finds nothing new."""
+    """Documents as deliveries of reports in several micro-batches, run twice: the second run finds nothing new."""
     table, checkpoint = scratch_path(spark, "ingested"), scratch_path(spark, "ingest-checkpoint")
+    arriving = V.deliveries(V.snapshots(spark, sf).select(F.col("hash").alias("commit"), F.length("content").cast("bigint").alias("n_chars")))
     for _ in range(2):
-        arriving = V.snapshot_stream(spark, sf).select(
-            F.col("hash").alias("commit"), F.length("content").cast("bigint").alias("n_chars")
-        )
-        streaming.ingest_reports(arriving, table, checkpoint)
+        streaming.ingest_reports(arriving(), table, checkpoint)
     return spark.read.parquet(table).select("commit", "n_chars")
 
 
 @query
 def stream_rule_tally(spark, sf):
     table = scratch_path(spark, "tally")
-    streaming.running_tally(V.snapshot_stream(spark, sf), V.RULES, table, scratch_path(spark, "tally-checkpoint"))
+    arriving = V.deliveries(V.snapshots(spark, sf).select("hash", "content"))
+    streaming.running_tally(arriving(), V.RULES, table, scratch_path(spark, "tally-checkpoint"))
     return latest_tally(spark, table)
 
 
 @query
 def stream_dedup(spark, sf):
+    """Contents in several micro-batches, then all of them again under another checkpoint."""
     table = scratch_path(spark, "contents")
-    arriving = V.snapshot_stream(spark, sf).select("hash", F.lit(sources.ruleset_id(V.RULES)).alias("ruleset_id"))
-    streaming.dedup_contents(arriving, table, scratch_path(spark, "contents-checkpoint"))
+    arriving = V.deliveries(V.snapshots(spark, sf).select("hash", F.lit(sources.ruleset_id(V.RULES)).alias("ruleset_id")))
+    for _ in range(2):
+        streaming.dedup_contents(arriving(), table, scratch_path(spark, "contents-checkpoint"))
     return spark.read.parquet(table).select("hash")
 
 
@@ -614,7 +609,42 @@ def mine_history_summary(spark, sf):
 
 @query
 def mine_history_reports(spark, sf):
-    return _sizes(_mine(spark, sf).reports(), num_java_files=F.col("num_java_files"))
+    return _with_headers(_mine(spark, sf).reports())
+
+
+def _halves(spark, sf):
+    """A run over the older half of the log, written, and one over all of it that resumes and reuses the first."""
+    log, root = V.commits(spark, sf), scratch_path(spark, "runs")
+    middle = log.agg((F.max("seq") / 2).cast("bigint").alias("seq")).scalar()
+    trees = V.snapshots(spark, sf).drop("hash")
+    first = plans.mine_history(log.where(F.col("seq") <= middle), trees, V.RULES)
+    path = first.write(root, "documents")
+    done, findings = (plans.stored_runs(spark, root, name) for name in ("commits", "findings"))
+    second = plans.mine_history(log, trees, V.RULES, cache=sources.read_cache(spark, path), earlier_findings=findings, done=done)
+    second.write(root, "documents")
+    return root, first, second
+
+
+@query
+def mine_history_warm(spark, sf):
+    """The whole history once more with a full cache: nothing is scanned, documents are complete."""
+    root = scratch_path(spark, "runs")
+    cache_path = _mine(spark, sf).write(root, "documents")
+    again = _mine(spark, sf, cache=sources.read_cache(spark, cache_path), earlier_findings=plans.stored_runs(spark, root, "findings"))
+    return _with_headers(again.reports())
+
+
+@query
+def mine_history_resumed(spark, sf):
+    root, *_ = _halves(spark, sf)
+    return plans.stored_runs(spark, root, "commits")
+
+
+@query
+def mine_history_resumed_summary(spark, sf):
+    """What the second run left as the summary of both."""
+    root, *_ = _halves(spark, sf)
+    return _flat_summary(spark.read.text(f"{root}/summary").select(F.from_json("value", S.SUMMARY_JSON).alias("s")).select("s.*"))
 
 
 @query

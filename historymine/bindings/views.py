@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from historymine.functions.scalars import content_hash
 from historymine.functions.skew import spread_join
+from historymine.session import scratch_path
 from historymine.sources.rules import Rule
 from historymine.sources.snapshots import spread_scan
 
@@ -62,10 +65,11 @@ def contents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _document_files(spread_scan(table(spark, sf_dir, "documents")))
 
 
-def snapshot_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same as a stream; the path is a pattern because a file source reads no single file."""
-    schema = table(spark, sf_dir, "documents").schema
-    return _document_files(spark.readStream.schema(schema).parquet(f"{sf_dir}/documents.parque[t]"))
+def deliveries(rows: DataFrame, files: int = 4) -> Callable[[], DataFrame]:
+    """Write ``rows`` as several files; each call gives a stream that takes one file per micro-batch."""
+    path = scratch_path(rows.sparkSession, "deliveries")
+    rows.repartition(files).write.parquet(path)
+    return lambda: rows.sparkSession.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
 def daily_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,8 +135,9 @@ def report_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     name_field = F.when(id_ % 13 == 0, "other").when(id_ % 2 == 0, "filename").otherwise("file")
     list_field = F.when(id_ % 3 == 0, "fileReports").otherwise("files")
     stamp = F.when(id_ % 5 == 0, F.concat(text('"timestamp":"'), F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), text('",')))
+    tool = F.when(id_ % 4 == 0, F.concat(text('"formatVersion":'), (id_ % 3).cast("string"), text(',"pmdVersion":"7.'), (id_ % 9).cast("string"), text('","metrics":"m'), F.col("event_type"), text('",')))
     whole = F.concat(
-        text("{"), F.coalesce(stamp, text("")), text('"'), list_field, text('":[{"'), name_field, text('":"f'),
+        text("{"), F.coalesce(stamp, text("")), F.coalesce(tool, text("")), text('"'), list_field, text('":[{"'), name_field, text('":"f'),
         F.col("user_id").cast("string"), text('.java","violations":[{"rule":"'), F.col("event_type"),
         text('","beginline":'), F.get_json_object("props", "$.k"), text("}]}]}"),
     )

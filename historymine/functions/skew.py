@@ -6,26 +6,21 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
+from historymine.session import materialize
+
 # A key is sliced once it has more rows than this.
 ROWS_PER_SLICE = 1_000_000
-# Only this many keys are sliced, the most frequent ones: every other key then
-# holds less than 1 / MAX_HOT_KEYS of the rows, and the broadcast list of sliced
-# keys cannot grow with the data.
-MAX_HOT_KEYS = 10_000
-# A wanted-list is broadcast up to this many rows; beyond that it is shuffled.
-MAX_BROADCAST_ROWS = 500_000
+# ... and more than this share of the rows of all such keys. Fewer than 10,000 keys can
+# hold that much each, so the list of sliced keys is small by counting alone.
+HOT_SHARE = 1e-4
 
 
 def hot_keys(facts: DataFrame, on: Sequence[str], rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
-    """The keys worth slicing and the number of slices of each; bounded by MAX_HOT_KEYS rows."""
-    return (
-        facts.groupBy(*on)
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .where(F.col("_rows") > rows_per_slice)
-        .orderBy(F.desc("_rows"), *on)
-        .limit(MAX_HOT_KEYS)
-        .select(*on, F.ceil(F.col("_rows") / rows_per_slice).cast("int").alias("_slices"))
-    )
+    """The keys worth slicing and the number of slices of each, as a stored table of fewer than 10,000 rows."""
+    counted = facts.groupBy(*on).agg(F.count(F.lit(1)).alias("_rows"))
+    many = materialize(counted.where(F.col("_rows") > rows_per_slice), "hot-keys")
+    share = many.agg(F.coalesce(F.sum("_rows"), F.lit(0)) * HOT_SHARE).scalar()
+    return many.where(F.col("_rows") > share).select(*on, F.ceil(F.col("_rows") / rows_per_slice).cast("int").alias("_slices"))
 
 
 def spread_join(
@@ -41,11 +36,15 @@ def spread_join(
     Rows of a hot key are cut into slices by a hash of ``spread_by``, and only
     the lookup rows of that key are repeated, once per slice. The slice is a
     function of the row, so a task that is run again places it alike. ``how``
-    is ``inner`` or ``left``: the slices keep both exact.
+    is ``inner`` or ``left``: the slices keep both exact. The keys are counted
+    in a job of their own; without a hot one the result is a plain join.
     """
     if how not in ("inner", "left"):
         raise ValueError(f"spread_join does not support how={how!r}")
-    hot = F.broadcast(hot_keys(facts, on, rows_per_slice))
+    hot = hot_keys(facts, on, rows_per_slice)
+    if hot.isEmpty():
+        return facts.join(lookup, list(on), how)
+    hot = F.broadcast(hot)
     slices = F.coalesce("_slices", F.lit(1))
     sliced = facts.join(hot, list(on), "left").withColumn(
         "_slice", F.pmod(F.xxhash64(*spread_by), slices).cast("int")
@@ -57,20 +56,13 @@ def spread_join(
     return joined.drop("_slice")
 
 
-def is_short(stored: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> bool:
-    """Whether a stored table has at most ``max_rows`` rows; Parquet answers from its footers."""
-    return stored.count() <= max_rows
-
-
-def pick_rows(
-    rows: DataFrame, wanted: DataFrame, on: Sequence[str], max_broadcast_rows: int = MAX_BROADCAST_ROWS
-) -> DataFrame:
+def pick_rows(rows: DataFrame, wanted: DataFrame, on: Sequence[str]) -> DataFrame:
     """Keep the ``rows`` whose key is in ``wanted``, a stored table with one row per key.
 
-    A list counted as short is broadcast, so wide rows are filtered where they
-    are read; a long one is joined by shuffle, evenly since its keys are unique.
+    Spark knows the bytes of a stored table: a list below its broadcast threshold
+    filters wide rows where they are read, a longer one is joined by shuffle, evenly
+    since its keys are unique. For lists of many megabytes raise
+    ``spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold``, so that a
+    Bloom filter of the list spares most rows the shuffle.
     """
-    keys = wanted.select(*on)
-    if is_short(keys, max_broadcast_rows):
-        keys = F.broadcast(keys)
-    return rows.join(keys, list(on), "left_semi")
+    return rows.join(wanted.select(*on), list(on), "left_semi")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import operator
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
@@ -22,7 +23,8 @@ def analyze(
 
     The analyzer gets up to FILES_PER_CALL files at a time. A call that fails is
     halved until the bad files stand alone, so one bad file costs one error row
-    and a few repeated calls, and nothing else. Large files need a session with
+    and a few repeated calls, and nothing else; a result of wrong types or for
+    files that were not given is such a failure. Large files need a session with
     ``spark.sql.execution.arrow.maxBytesPerBatch`` set.
     """
     keys = list(keys)
@@ -31,6 +33,18 @@ def analyze(
     def shaped(found: pd.DataFrame) -> pd.DataFrame:
         return found.reindex(columns=columns).astype(object)
 
+    def checked(found: pd.DataFrame, part: pd.DataFrame) -> pd.DataFrame:
+        """What the analyzer returned, or an error here: Arrow would end the job on a wrong type."""
+        given = set(part[keys].itertuples(index=False, name=None))
+        if not set(found.reindex(columns=keys).itertuples(index=False, name=None)) <= given:
+            raise ValueError("the analyzer returned a finding for a file that it was not given")
+        found = shaped(found.drop(columns="error", errors="ignore"))
+        found["line"] = [None if pd.isna(v) else operator.index(v) for v in found["line"]]
+        for name in FINDING_COLUMNS:
+            if name != "line" and not all(v is None or isinstance(v, str) or pd.isna(v) for v in found[name]):
+                raise ValueError(f"the analyzer returned a {name} that is no text")
+        return found
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         analyzer = factory()
         for batch in batches:
@@ -38,7 +52,7 @@ def analyze(
             while pending:
                 part = pending.pop()
                 try:
-                    yield shaped(analyzer(part))
+                    yield checked(analyzer(part), part)
                 except Exception as error:
                     half = len(part) // 2
                     if half == 0:

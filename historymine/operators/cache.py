@@ -69,12 +69,13 @@ def cache_tallies(cache: DataFrame) -> DataFrame:
 
 
 def cache_merge(*caches: DataFrame) -> DataFrame:
-    """Union of cache tables; per content and rule set the highest version wins."""
+    """Union of cache tables; per content and rule set the highest version wins, among equal ones the greatest entry."""
     merged = caches[0]
     for other in caches[1:]:
         merged = merged.unionByName(other)
     names = ["warnings_by_rule", "num_files"]
     latest = merged.groupBy("hash", "ruleset_id").agg(
-        F.max_by(F.struct(*names), "version").alias("_entry"), F.max("version").alias("version")
+        F.max_by(F.struct(*names), F.struct("version", F.array_sort(F.map_entries("warnings_by_rule")), "num_files")).alias("_entry"),
+        F.max("version").alias("version"),
     )
     return latest.select("hash", "ruleset_id", *[f"_entry.{n}" for n in names], "version")

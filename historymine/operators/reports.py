@@ -7,12 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from historymine.functions.scalars import rule_key
-from historymine.functions.skew import ROWS_PER_SLICE, is_short, spread_join
-from historymine.session import materialize
-
-# A document holds about this many findings; a larger commit gets several.
-FINDINGS_PER_PART = 100_000
-_COPIES = 10_000  # equal findings of a file are kept as one row up to this many
+from historymine.functions.skew import ROWS_PER_SLICE, spread_join
 
 _VIOLATION = "STRUCT<rule: STRING, ruleSet: STRING, line: INT, message: STRING>"
 
@@ -75,108 +70,52 @@ def flatten_findings(files: str | Column = "files", top_level: str | Column | No
     return F.coalesce(F.col(top_level) if isinstance(top_level, str) else top_level, flat)
 
 
-def _part_rows(findings: DataFrame, findings_per_part: int, rows_per_slice: int) -> tuple[DataFrame, list[str]]:
-    """``(commit, part, parts, filename, _v, _k)``: findings with the part of the document they go
-    to, and the columns by which to bring a document together.
+def nest_reports(findings: DataFrame) -> DataFrame:
+    """``(commit, filename, violations)``: the findings of each file of each commit as one document.
 
-    The commits that do not fit into one part are listed and counted first.
-    Usually there are none, and the findings go on as they are. Otherwise the
-    list is broadcast if it is short and joined by shuffle if not, and the
-    findings of large commits are spread over their parts by a hash; equal ones
-    travel as one row with a multiplicity ``_k``.
+    A file's findings come from a text that fits one row, so documents are
+    bounded whatever the size of the commit; nothing gathers a whole commit.
     """
-    columns = ["commit", "path", "rule", "ruleset", "line", "message"]
     violation = F.struct("rule", F.col("ruleset").alias("ruleSet"), "line", "message").cast(_VIOLATION)
-    whole = [
-        F.lit(0).alias("part"),
-        F.lit(None).cast("int").alias("parts"),
-        F.col("path").alias("filename"),
-        violation.alias("_v"),
-        F.lit(1).alias("_k"),
-    ]
-    per_commit = findings.groupBy("commit").agg(F.count(F.lit(1)).alias("_n"))
-    large = materialize(
-        per_commit.where(F.col("_n") > findings_per_part).select(
-            "commit", F.ceil(F.col("_n") / findings_per_part).cast("int").alias("parts")
-        ),
-        "large-commits",
-    )
-    if large.isEmpty():
-        return findings.select("commit", *whole), ["commit"]
-    if is_short(large):
-        sized = findings.join(F.broadcast(large), "commit", "left")
-    else:
-        sized = spread_join(findings, large, ["commit"], columns[1:], "left", rows_per_slice)
-
-    copies = min(_COPIES, findings_per_part)
-    counted = sized.where(F.col("parts").isNotNull()).groupBy(*columns, "parts").agg(F.count(F.lit(1)).alias("_n"))
-    runs = F.sequence(F.lit(0), F.ceil(F.col("_n") / copies).cast("int") - 1)
-    cut = counted.select(*columns, "parts", "_n", F.explode(runs).alias("_run")).select(
-        "commit",
-        F.pmod(F.xxhash64(*columns[1:], "_run"), F.col("parts")).cast("int").alias("part"),
-        "parts",
-        F.col("path").alias("filename"),
-        violation.alias("_v"),
-        F.least(F.lit(copies), F.col("_n") - F.col("_run") * copies).cast("int").alias("_k"),
-    )
-    return sized.where(F.col("parts").isNull()).select("commit", *whole).unionByName(cut), ["commit", "part"]
+    return findings.groupBy("commit", F.col("path").alias("filename")).agg(F.sort_array(F.collect_list(violation)).alias("violations"))
 
 
-def _nest(rows: DataFrame, together: list[str], *also: Column) -> DataFrame:
-    """Group part rows to files and files to documents, both on one shuffle."""
-    files = (
-        rows.repartition(*together)
-        .select("*", F.explode_outer(F.array_repeat("_v", F.col("_k"))).alias("_one"))
-        .groupBy("commit", "part", "filename")
-        .agg(F.max("parts").alias("parts"), F.sort_array(F.collect_list("_one")).alias("violations"), *also)
-    )
-    entry = F.when(F.col("filename").isNotNull(), F.struct("filename", "violations"))
-    return files.groupBy("commit", "part").agg(
-        F.max("parts").alias("parts"), F.sort_array(F.collect_list(entry)).alias("files"), *also
-    )
+def commit_reports(headers: DataFrame, findings: DataFrame, metadata: Sequence[str] = ()) -> DataFrame:
+    """A header document per commit and a document per file with findings, in one shape at any size.
 
+    ``headers`` has a row per commit: ``commit, num_java_files, warnings_by_rule``
+    and the ``metadata`` columns; these are null in the documents of files, as
+    ``filename`` and ``violations`` are in headers. A commit without findings has
+    its header alone.
+    """
+    head = headers.select("commit", "num_java_files", "warnings_by_rule", *metadata)
+    return head.unionByName(nest_reports(findings), allowMissingColumns=True)
 
-def nest_reports(
-    findings: DataFrame, findings_per_part: int = FINDINGS_PER_PART, rows_per_slice: int = ROWS_PER_SLICE
-) -> DataFrame:
-    """``(commit, part, parts, files)`` with all findings nested in their files.
 
-    A commit of ordinary size is one part. A larger one is cut into as many
-    parts as it needs, and a file of it may occur in several; no task ever
-    collects much more than a part.
-    """
-    return _nest(*_part_rows(findings, findings_per_part, rows_per_slice))
+def is_header() -> Column:
+    return F.col("violations").isNull()
 
 
-def commit_reports(
-    headers: DataFrame,
-    findings: DataFrame,
-    metadata: Sequence[str] = (),
-    with_warnings: bool = True,
-    findings_per_part: int = FINDINGS_PER_PART,
-    rows_per_slice: int = ROWS_PER_SLICE,
-) -> DataFrame:
-    """One document per commit; further parts only for commits that do not fit into one.
+def split_documents(whole: DataFrame) -> DataFrame:
+    """Whole commit documents, as other tools leave them, in the shape of ``commit_reports``; ``files`` and ``warnings`` go."""
+    own = [c for c in whole.columns if c not in ("files", "warnings", "filename", "violations")]
+    files = whole.select("commit", F.explode("files").alias("_f")).select(
+        "commit", "_f.filename", F.coalesce("_f.violations", F.array().cast(f"ARRAY<{_VIOLATION}>")).alias("violations")
+    )
+    return whole.select(*own).unionByName(files, allowMissingColumns=True)
 
-    ``headers`` has a row per commit: ``commit, num_java_files, warnings_by_rule``
-    and the ``metadata`` columns. Header and findings meet in the grouping by
-    ``(commit, part)``; a commit without findings keeps an empty list. ``part``
-    and ``parts`` are null on documents that are whole.
+
+def assemble_documents(documents: DataFrame) -> DataFrame:
+    """One whole document per commit: the header with ``files`` and ``warnings``.
+
+    This is for readers that want single commits: filter ``documents`` first, for a
+    whole document is one row and has to fit one.
     """
-    carried = ["num_java_files", "warnings_by_rule", *metadata]
-    head = headers.select("commit", F.lit(0).alias("part"), F.lit(0).alias("_k"), F.struct(*carried).alias("_head"))
-    body, together = _part_rows(findings, findings_per_part, rows_per_slice)
-    rows = body.unionByName(head, allowMissingColumns=True)
-    documents = _nest(rows, together, F.first("_head", ignorenulls=True).alias("_head"))
-    in_parts = F.coalesce(F.col("parts") > 1, F.lit(False)) | (F.col("part") > 0)
-    return documents.select(
-        "commit",
-        *[F.col(f"_head.{name}").alias(name) for name in carried],
-        *([flatten_findings("files").alias("warnings")] if with_warnings else []),
-        "files",
-        F.when(in_parts, F.col("part")).alias("part"),
-        F.when(in_parts, F.col("parts")).alias("parts"),
-    )
+    carried = [c for c in documents.columns if c not in ("commit", "filename", "violations")]
+    files = F.sort_array(F.collect_list(F.when(~is_header(), F.struct("filename", "violations"))))
+    head = [F.first(c, ignorenulls=True).alias(c) for c in carried]  # the header is the one document that has them
+    whole = documents.groupBy("commit").agg(*head, files.alias("files"))
+    return whole.select("commit", *carried, flatten_findings("files").alias("warnings"), "files")
 
 
 def report_headers(commits: DataFrame, changed: DataFrame, tallies: DataFrame) -> DataFrame:

@@ -7,10 +7,15 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from historymine.functions.scalars import rule_key
-from historymine.functions.skew import MAX_BROADCAST_ROWS, is_short
+from historymine.functions.skew import pick_rows
+from historymine.operators.content import content_index
+from historymine.session import materialize
 from historymine.sources.rules import Rule, check_rules
 
 
+RULES_PER_ARRAY = 200
+
+
 def _finding(rule: Rule, line: Column) -> Column:
     return F.struct(
         F.lit(rule.rule).alias("rule"),
@@ -71,32 +76,24 @@ def rule_scan(
     matches = [
         F.when(_condition(rule), _finding(rule, F.lit(None) if rule.kind == "file_metric" else line)) for rule in rules
     ]
-    found = unfolded.select(*keys, F.explode(F.array_compact(F.array(*matches))).alias("_f"))
+    # A generated method holds about this many patterns; more rules are evaluated in several arrays of the same pass.
+    groups = [F.array_compact(F.array(*matches[i : i + RULES_PER_ARRAY])) for i in range(0, len(matches), RULES_PER_ARRAY)]
+    found = unfolded.select(*keys, F.explode(groups[0] if len(groups) == 1 else F.concat(*groups)).alias("_f"))
     return found.select(*keys, "_f.rule", "_f.ruleset", "_f.line", "_f.message")
 
 
-def scan_contents(
-    files: DataFrame,
-    rules: Iterable[Rule],
-    wanted: DataFrame | None = None,
-    max_broadcast_rows: int = MAX_BROADCAST_ROWS,
-) -> DataFrame:
+def scan_contents(files: DataFrame, rules: Iterable[Rule], wanted: DataFrame | None = None) -> DataFrame:
     """Findings of each distinct content once: ``(hash, rule, ruleset, line, message)``.
 
-    ``files`` has ``(seq, path, hash, content)``. Copies of a content have equal
-    findings, so they are folded on the findings, which are few and small, not on
-    the contents: moving a text through a shuffle costs more than matching it.
-
-    ``wanted`` (``hash, seq, path`` of the first occurrences, a stored table)
-    restricts the scan. A list counted as short is broadcast and all other rows
-    are skipped; a long one is applied to the findings by hash.
+    ``files`` has ``(seq, path, hash, content)``. Only the first occurrence of a
+    content reaches the rules, however often it is copied: copies are left out
+    by ``(seq, path)`` before any pattern is matched. ``wanted`` (``seq, path`` of
+    first occurrences, a stored table) restricts the scan further; without it,
+    all first occurrences are found in a pass over the hashes.
     """
     if wanted is None:
-        return rule_scan(files, rules).distinct()
-    if is_short(wanted, max_broadcast_rows):
-        first = files.join(F.broadcast(wanted.select("seq", "path")), ["seq", "path"], "left_semi")
-        return rule_scan(first, rules)
-    return rule_scan(files, rules).distinct().join(wanted.select("hash"), "hash", "left_semi")
+        wanted = materialize(content_index(files).select("seq", "path"), "firsts")
+    return rule_scan(pick_rows(files, wanted, ["seq", "path"]), rules)
 
 
 def rule_tally(findings: DataFrame, keys: Sequence[str] = ("hash",)) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from historymine.functions.scalars import has_suffix, rule_key, safe_ratio
-from historymine.operators.reports import count_per_commit, tally_drop, tally_fallback
+from historymine.operators.reports import count_per_commit, is_header, tally_drop, tally_fallback
 from historymine.session import materialize
 
 
@@ -25,6 +25,7 @@ def files_changed(commits: DataFrame, files: DataFrame, compat_double_count: boo
     return commits.select("seq").join(counts, "seq", "left").select("seq", F.coalesce("n_files", F.lit(0)).alias("n_files"))
 
 
+# The field names of the summaries are those that earlier tools wrote.
 def _stat_of_repository(**fields: Column) -> Column:
     return F.struct(*[value.alias(name) for name, value in fields.items()])
 
@@ -55,39 +56,14 @@ def summarize_findings(commits: DataFrame, findings: DataFrame, location: str) -
 
 
 def summarize_reports(reports: DataFrame, location: str) -> DataFrame:
-    """Summary over commit documents, placeholders included.
+    """Summary over the documents of ``commit_reports``, placeholders included; whole documents go through ``split_documents`` first.
 
-    Documents in parts belong to one commit, and a file may recur in them: files
-    of such commits are counted by name.
+    The documents are parsed once; what follows reads a tally per commit and file.
     """
-    rules_of = lambda f: F.transform(f["violations"], lambda v: rule_key(v["rule"], v["ruleSet"]))
-    entries = F.transform("files", lambda f: F.struct(f["filename"].alias("filename"), rules_of(f).alias("rules")))
-    # one parse of the documents; what follows reads names and rules from columns
-    slim = materialize(
-        reports.select(
-            "commit",
-            (F.coalesce("part", F.lit(0)) == 0).alias("is_head"),
-            (F.coalesce(F.col("parts") > 1, F.lit(False)) | (F.coalesce("part", F.lit(0)) > 0)).alias("in_parts"),
-            F.coalesce(entries, F.array()).alias("files"),
-        ),
-        "slim-reports",
-    )
-    recurring = (
-        slim.where("in_parts").select("commit", F.explode("files.filename").alias("f")).distinct()
-        .agg(F.count(F.lit(1)).alias("n")).scalar()
-    )
-    stats = slim.agg(
-        F.count_if("is_head").alias("c"),
-        F.coalesce(F.sum(F.when(~F.col("in_parts"), F.size("files"))), F.lit(0)).alias("f"),
-    )
-    tally = (
-        slim.select(F.explode("files.rules").alias("rules"))
-        .select(F.explode("rules").alias("rule"))
-        .groupBy("rule")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    found = tally.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).scalar()
-    stats = stats.select("c", (F.col("f") + recurring).alias("f"), found.alias("w"))
+    rules = F.transform("violations", lambda v: rule_key(v["rule"], v["ruleSet"]))
+    slim = materialize(reports.select(is_header().alias("is_head"), rules.alias("rules")), "slim-reports")
+    stats = slim.agg(F.count_if("is_head").alias("c"), F.count_if(~F.col("is_head")).alias("f"), F.coalesce(F.sum(F.size(F.coalesce("rules", F.array()))), F.lit(0)).alias("w"))
+    tally = slim.select(F.explode("rules").alias("rule")).groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
     return _with_rule_map(stats.select(parallel_stats("c", "f", "w").alias("stat_of_repository")), tally, location)
 
 

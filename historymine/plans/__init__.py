@@ -1,3 +1,3 @@
-from historymine.plans.mining import FullTreeRun, MiningRun, mine_full_tree, mine_history
+from historymine.plans.mining import FullTreeRun, MiningRun, mine_full_tree, mine_history, stored_runs, summarize_commits, summarize_runs
 
-__all__ = ["FullTreeRun", "MiningRun", "mine_full_tree", "mine_history"]
+__all__ = ["FullTreeRun", "MiningRun", "mine_full_tree", "mine_history", "stored_runs", "summarize_commits", "summarize_runs"]

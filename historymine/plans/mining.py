@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from historymine.functions.scalars import has_suffix, safe_ratio
 from historymine.functions.skew import pick_rows, spread_join
@@ -39,6 +40,7 @@ class MiningRun:
     commits    one row of counts per commit, failed commits left out
     cache      the cache to start the next run with
     errors     ``(seq, commit, error)`` of the failed commits; None where nothing can fail
+    earlier    findings of earlier runs for the contents that came from the cache, if they were given
     """
 
     files: DataFrame
@@ -47,29 +49,18 @@ class MiningRun:
     commits: DataFrame
     cache: DataFrame
     errors: DataFrame | None
+    earlier: DataFrame | None = None
 
     def summary(self, location: str, include_cached: bool = True) -> DataFrame:
         """Repository summary; without cached findings it covers what this run scanned itself."""
-        files, found = ("files_reported", "findings") if include_cached else ("files_fresh", "findings_fresh")
-        stats = self.commits.agg(
-            F.count(F.lit(1)).alias("n"),
-            F.sum(files).alias("reported"),
-            F.sum(found).alias("found"),
-            F.sum("files_changed").alias("changed"),
-            F.sum("files_in_tree").alias("in_tree"),
-        )
-        per_rule = self.by_rule.groupBy("rule").agg(F.sum("findings" if include_cached else "fresh").alias("n"))
-        rules = count_maps(per_rule.where(F.col("n") > 0), [], "m").select("m").scalar()
-        return stats.select(
-            F.lit(location).alias("location"),
-            parallel_stats("n", "reported", "found").alias("stat_of_repository"),
-            rules.alias("stat_of_warnings"),
-            safe_ratio("changed", "n").alias("avg_files_changed"),
-            safe_ratio("in_tree", "n").alias("avg_files_in_tree"),
-        )
+        return summarize_commits(self.commits, self.by_rule, location, include_cached)
+
+    def reports(self) -> DataFrame:
+        """A header document per commit and a document per file with findings, see ``commit_reports``.
 
-    def reports(self, **limits: int) -> DataFrame:
-        """Nested commit documents with the findings scanned in this run, fanned out to all their files."""
+        Findings of contents that came from the cache are in the documents if the
+        run was given ``earlier_findings``; the counts in the headers have them in any case.
+        """
         maps = count_maps(self.by_rule.select("seq", "rule", F.col("findings").alias("n")), ["seq"])
         headers = self.commits.join(maps, "seq", "left").select(
             "commit",
@@ -77,17 +68,58 @@ class MiningRun:
             F.coalesce("warnings_by_rule", F.create_map().cast("MAP<STRING,BIGINT>")).alias("warnings_by_rule"),
         )
         files = spread_join(self.files, self.commits.select("seq", "commit"), ["seq"], ["path"])
-        return commit_reports(headers, findings_by_file(files, self.findings, "commit"), **limits)
+        findings = self.findings if self.earlier is None else self.findings.unionByName(self.earlier)
+        return commit_reports(headers, findings_by_file(files, findings, "commit"))
 
     def write(self, root: str, location: str) -> str:
-        """Write reports, errors and summary below ``root``; returns the path of the saved cache."""
-        write_reports(self.reports(), f"{root}/reports")
+        """Add this run to the results below ``root``; returns the path of the saved cache.
+
+        Every run has folders of its own, so later runs never overwrite earlier ones,
+        and the summary covers all runs below ``root``.
+        """
+        run = uuid.uuid4().hex
+        spark = self.commits.sparkSession
+        write_reports(self.reports(), f"{root}/reports/run={run}")
+        self.commits.write.parquet(f"{root}/commits/run={run}")
+        self.by_rule.write.parquet(f"{root}/by-rule/run={run}")
+        self.findings.write.parquet(f"{root}/findings/run={run}")
         if self.errors is not None:
-            write_errors(self.errors, f"{root}/errors")
-        write_summary(self.summary(location), f"{root}/summary")
+            write_errors(self.errors, f"{root}/errors/run={run}")
+        write_summary(summarize_runs(spark, root, location), f"{root}/summary", mode="overwrite")
         return save_cache(self.cache, f"{root}/cache")
 
 
+def summarize_commits(commits: DataFrame, by_rule: DataFrame, location: str, include_cached: bool = True) -> DataFrame:
+    """Repository summary from rows per commit, and per commit and rule."""
+    files, found = ("files_reported", "findings") if include_cached else ("files_fresh", "findings_fresh")
+    stats = commits.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum(files).alias("reported"),
+        F.sum(found).alias("found"),
+        F.sum("files_changed").alias("changed"),
+        F.sum("files_in_tree").alias("in_tree"),
+    )
+    per_rule = by_rule.groupBy("rule").agg(F.sum("findings" if include_cached else "fresh").alias("n"))
+    rules = count_maps(per_rule.where(F.col("n") > 0), [], "m").select("m").scalar()
+    return stats.select(
+        F.lit(location).alias("location"),
+        parallel_stats("n", "reported", "found").alias("stat_of_repository"),
+        rules.alias("stat_of_warnings"),
+        safe_ratio("changed", "n").alias("avg_files_changed"),
+        safe_ratio("in_tree", "n").alias("avg_files_in_tree"),
+    )
+
+
+def stored_runs(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """``commits``, ``by-rule`` or ``findings`` of all runs written below ``root``."""
+    return spark.read.parquet(f"{root}/{name}").drop("run")
+
+
+def summarize_runs(spark: SparkSession, root: str, location: str, include_cached: bool = True) -> DataFrame:
+    """Repository summary over all runs below ``root``: the first one and all that resumed it."""
+    return summarize_commits(stored_runs(spark, root, "commits"), stored_runs(spark, root, "by-rule"), location, include_cached)
+
+
 def _scan(
     snapshots: DataFrame, wanted: DataFrame, rules: Iterable[Rule] | None, analyzer: Callable[[], Analyzer] | None
 ) -> tuple[DataFrame, DataFrame | None]:
@@ -107,7 +139,8 @@ def mine_history(
     suffix: str = ".java",
     renames: str = "exact",
     cache: DataFrame | None = None,
-    cache_version: int = 0,
+    cache_version: int | None = None,
+    earlier_findings: DataFrame | None = None,
     done: DataFrame | None = None,
     analyzer: Callable[[], Analyzer] | None = None,
     analyzer_id: str | None = None,
@@ -120,12 +153,18 @@ def mine_history(
 
     ``cache`` holds results of earlier runs, ``done`` the commits they reported
     or failed on: those are skipped, and trees older than needed are not read.
+    ``earlier_findings`` are the findings by content that earlier runs stored; with
+    them the documents of cached contents are complete. New cache entries get
+    ``cache_version``, one above the highest stored version unless it is given.
+    Trees of commits that are not in the log are left out.
     """
     rules = list(rules)
     identity = analyzer_id if analyzer is not None else ruleset_id(rules)
     if identity is None:
         raise ValueError("analyzer_id is needed to key the cache of an analyzer")
     pending = log
+    newest = log.agg(F.max("seq").alias("seq")).scalar()
+    snapshots = snapshots.where(F.col("seq").between(0, newest))
     if done is not None:
         pending = materialize(log.join(done.select("commit"), "commit", "left_anti"), "pending")
         oldest = pending.agg((F.min("seq") - 1).alias("seq")).scalar()
@@ -155,10 +194,16 @@ def mine_history(
     if failed is not None:
         scanned = misses.join(failed, "hash", "left_anti")
         errors = _commit_errors(pending, files, failed)
+    if cache_version is None:
+        cache_version = 0 if cache is None else 1 + (cache.agg(F.max("version")).first()[0] or 0)
     fresh_cache = cache_entries(scanned, tallies, identity, cache_version)
     new_cache = fresh_cache if cache is None else cache_merge(cache, fresh_cache)
+    earlier = None
     if known is not None:
         tallies = tallies.unionByName(cache_tallies(known))
+        if earlier_findings is not None:
+            columns = ["hash", "rule", "ruleset", "line", "message"]
+            earlier = pick_rows(earlier_findings.select(*columns), known, ["hash"])
 
     by_rule, reported = fan_counts(files, tallies), pending
     if errors is not None:
@@ -171,6 +216,7 @@ def mine_history(
         commits=_commit_counts(reported, trees, files, by_rule, suffix),
         cache=new_cache,
         errors=errors,
+        earlier=earlier,
     )
 
 

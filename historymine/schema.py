@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-COMMITS = "seq BIGINT, commit STRING, committed_at TIMESTAMP_NTZ"
-COMMIT_PAIRS = "seq BIGINT, commit STRING, prev_commit STRING"
-SNAPSHOTS = "seq BIGINT, commit STRING, path STRING, content STRING, hash STRING"
-CHANGES = "seq BIGINT, path STRING, kind STRING, hash STRING, prev_hash STRING"
 FINDINGS = "commit STRING, path STRING, rule STRING, ruleset STRING, line INT, message STRING"
+FINDINGS_BY_CONTENT = "hash STRING, rule STRING, ruleset STRING, line INT, message STRING"
 CACHE = "hash STRING, ruleset_id STRING, warnings_by_rule MAP<STRING,BIGINT>, num_files BIGINT, version BIGINT"
 RUN_LOG = "commit STRING, ok BOOLEAN, code INT, duration_ms BIGINT"
 RULES = "rule STRING, ruleset STRING, kind STRING, pattern STRING, threshold DOUBLE, message STRING, needle STRING"
@@ -25,11 +22,16 @@ METADATA_FIELDS = ("formatVersion", "pmdVersion", "timestamp", "metrics")
 ERROR_JSON = "commit STRING, error STRING"
 CACHE_JSON = "MAP<STRING, STRUCT<warnings_by_rule: MAP<STRING,BIGINT>, num_java_files: BIGINT>>"
 COMMIT_REPORT_JSON = (
+    "commit STRING, num_java_files BIGINT, warnings_by_rule MAP<STRING,BIGINT>, "
+    "formatVersion BIGINT, pmdVersion STRING, timestamp STRING, metrics STRING, "
+    "filename STRING, violations ARRAY<STRUCT<rule: STRING, ruleSet: STRING, line: INT, message: STRING>>"
+)
+WHOLE_REPORT_JSON = (
     "commit STRING, num_java_files BIGINT, warnings_by_rule MAP<STRING,BIGINT>, "
     "warnings ARRAY<STRUCT<rule: STRING, ruleSet: STRING, line: INT, message: STRING>>, "
     "files ARRAY<STRUCT<filename: STRING, "
     "violations: ARRAY<STRUCT<rule: STRING, ruleSet: STRING, line: INT, message: STRING>>>>, "
-    "formatVersion BIGINT, pmdVersion STRING, timestamp STRING, metrics STRING, part INT, parts INT"
+    "formatVersion BIGINT, pmdVersion STRING, timestamp STRING, metrics STRING"
 )
 SUMMARY_JSON = (
     "location STRING, "

@@ -85,8 +85,8 @@ def bad_entries(adapted: DataFrame, *keys: str) -> DataFrame:
 
 
 def explode_findings(adapted: DataFrame, *keys: str) -> DataFrame:
-    """Long form: one row per finding; files without findings give none."""
-    files = adapted.select(*keys, F.explode("files").alias("_f"))
+    """Long form: one row per finding; files without findings give none, entries without file name are ``bad_entries``."""
+    files = adapted.select(*keys, F.explode("files").alias("_f")).where(first_present("_f.filename").isNotNull())
     findings = files.select(*keys, F.col("_f.filename").alias("path"), F.explode("_f.violations").alias("_v"))
     return findings.select(
         *keys,

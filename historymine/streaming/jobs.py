@@ -25,35 +25,43 @@ def run_available(stream: DataFrame, batch: Callable[[DataFrame, int], None], ch
     query.awaitTermination()
 
 
-def _earlier(spark: SparkSession, table: str, schema: T.StructType, batch_id: int) -> DataFrame:
-    """Rows that batches before ``batch_id`` have written."""
-    stored = T.StructType([*schema.fields, T.StructField("batch_id", T.LongType())])
+def _own_folder(batch: DataFrame, batch_id: int) -> str:
+    """A folder for this batch of this streaming query: a replay finds it again, another checkpoint never does."""
+    return f"stream={batch.sparkSession.sparkContext.getLocalProperty('sql.streaming.queryId')}/batch_id={batch_id}"
+
+
+def _others(spark: SparkSession, table: str, schema: T.StructType, own: str) -> DataFrame:
+    """Rows that anything but the own batch has written, under this or another checkpoint."""
+    stream, batch = own.split("/")
+    stored = T.StructType([*schema.fields, T.StructField("stream", T.StringType()), T.StructField("batch_id", T.LongType())])
     try:
-        return spark.read.schema(stored).parquet(table).where(F.col("batch_id") < batch_id)
+        rows = spark.read.schema(stored).parquet(table)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], stored)
+    return rows.where(~((F.col("stream") == stream.removeprefix("stream=")) & (F.col("batch_id") >= int(batch.removeprefix("batch_id=")))))
 
 
 def _append_new(table: str, keys: Sequence[str]) -> Callable[[DataFrame, int], None]:
-    """Batch writer that adds the rows whose key no earlier batch has brought.
+    """Batch writer that adds the rows whose key nothing written before has brought.
 
     Repeats inside the batch are folded with map-side combine before they are
     shuffled, so a key that fills a batch does not fill a task. The table itself
-    is the state: nothing has to fit an executor, and nothing is forgotten. The
-    keys of a short batch are broadcast to it, so it is read but not shuffled.
-    Each batch owns a directory, which a replay after a failure writes again.
+    is the state: nothing has to fit an executor, and nothing is forgotten. A batch
+    owns a folder by its query and number: a replay after a failure writes it again,
+    and a second checkpoint or source on the same table adds to it. One query at
+    a time may write a table.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
+        spark, own = batch.sparkSession, _own_folder(batch, batch_id)
         others = [c for c in batch.columns if c not in keys]
         # the least payload per key, so that a replay picks the same row
         once = batch.groupBy(*keys).agg(F.min(F.struct(*others)).alias("_row")) if others else batch.select(*keys).distinct()
         once = materialize(once.select(*keys, *[f"_row.{c}" for c in others]), "batch")
-        seen = pick_rows(_earlier(spark, table, batch.schema, batch_id).select(*keys), once, keys)
-        once.join(seen, list(keys), "left_anti").write.mode("overwrite").parquet(f"{table}/batch_id={batch_id}")
+        seen = pick_rows(_others(spark, table, batch.schema, own).select(*keys), once, keys)
+        once.join(seen, list(keys), "left_anti").write.mode("overwrite").parquet(f"{table}/{own}")
 
     return write
 
@@ -82,12 +90,14 @@ def running_tally(
     counts = rule_scan(files, rules, keys).groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.coalesce(1).write.mode("overwrite").parquet(f"{table}/version={batch_id}")
+        path = f"{table}/{_own_folder(batch, batch_id)}"
+        batch.withColumn("written_at", F.current_timestamp()).coalesce(1).write.mode("overwrite").parquet(path)
 
     run_available(counts, write, checkpoint, mode="complete")
 
 
 def latest_tally(spark: SparkSession, table: str) -> DataFrame:
-    """The tally of the last finished batch."""
+    """The tally that was written last, whichever checkpoint its query had."""
     versions = spark.read.parquet(table)
-    return versions.where(F.col("version") == versions.agg(F.max("version").alias("v")).scalar()).drop("version")
+    last = versions.agg(F.max("written_at").alias("at")).scalar()
+    return versions.where(F.col("written_at") == last).select("rule", "n")

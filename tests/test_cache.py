@@ -94,7 +94,7 @@ def test_run_totals_agree(run):
 
 def test_reports_of_a_run(run):
     documents = run.reports()
-    sizes = documents.agg(F.sum(F.size("warnings")).alias("w"), F.count(F.lit(1)).alias("n")).first()
+    sizes = documents.agg(F.sum(F.size(F.coalesce("violations", F.array()))).alias("w"), F.count_if(reports.is_header()).alias("n")).first()
     assert sizes.n == run.commits.count()
     assert sizes.w == run.commits.agg(F.sum("findings")).first()[0]
 
@@ -162,8 +162,24 @@ def test_resumed_run_completes_the_first(run, documents, rows):
 
 def test_written_run(run, spark, tmp_path):
     cache_path = run.write(str(tmp_path), "docs")
-    stored = spark.read.schema(S.COMMIT_REPORT_JSON).json(str(tmp_path / "reports"))
+    stored = spark.read.schema(S.COMMIT_REPORT_JSON).json(str(tmp_path / "reports" / "run=*"))
     from_documents = summary.summarize_reports(stored, "docs").first()
     assert from_documents.stat_of_repository == run.summary("docs").first().stat_of_repository
     assert json.loads(spark.read.text(str(tmp_path / "summary")).first().value)["location"] == "docs"
     assert read_cache(spark, cache_path).count() == run.cache.count()
+
+
+def test_trees_beyond_the_log_do_not_count(spark):
+    log = spark.createDataFrame([(0, "c0"), (1, "c1")], "seq BIGINT, commit STRING")
+    trees = spark.createDataFrame([(i, f"f{i}.java", f"{i} 123") for i in range(3)], "seq BIGINT, path STRING, content STRING")
+    run = mine_history(log, trees, [Rule("N", "s", "line_regex", "[0-9]{3}")], renames="none")
+    row = run.summary("x").first()
+    assert row.stat_of_warnings == {"N": 2} and row.stat_of_repository.avg_of_num_warnings == 1.0
+
+
+def test_versions_rise_and_ties_have_one_winner(spark, rows, run, documents):
+    again = mine_history(documents[0], documents[1], V.RULES[:2], cache=run.cache)
+    assert rows(again.cache.select("version").distinct()) == [(0,), (1,)]
+    one = spark.createDataFrame([("h", "r", {"R": 1}, 1, 0)], S.CACHE)
+    two = spark.createDataFrame([("h", "r", {"R": 5}, 1, 0)], S.CACHE)
+    assert rows(cache.cache_merge(one, two)) == rows(cache.cache_merge(two, one)) == [("h", "r", {"R": 5}, 1, 0)]

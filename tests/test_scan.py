@@ -4,8 +4,11 @@ from collections import Counter
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from historymine import schema as S
 from historymine.bindings import views as V
+from historymine.functions import pick_rows
 from historymine.operators import analyzers, content, scan
 from historymine.session import materialize
 from historymine.sources import Rule, load_rules
@@ -38,12 +41,11 @@ def test_fixture_counts(spark):
     }
 
 
-@pytest.mark.parametrize("max_broadcast_rows", [0, 100])
-def test_wanted_contents(spark, rows, max_broadcast_rows):
+def test_wanted_contents(spark, rows):
     files = _files(spark, "1", "1 2", "a")
     files = files.union(spark.createDataFrame([(9, "copy", "h1", "1 2")], files.schema))
     wanted = materialize(content.content_index(files).where("hash <> 'h0'"), "wanted")
-    found = scan.scan_contents(files, [Rule("N", "s", "line_regex", "[0-9]")], wanted, max_broadcast_rows)
+    found = scan.scan_contents(files, [Rule("N", "s", "line_regex", "[0-9]")], wanted)
     assert rows(found, "hash", "rule", "line") == [("h1", "N", 1)]
 
 
@@ -67,13 +69,33 @@ def test_bad_rules_fail_before_the_job(spark, rules, message):
 def test_rules_from_a_table(spark):
     table = spark.createDataFrame([("N", "s", "line_regex", "[0-9]", None, "m", None), ("L", "s", "line_length", None, 3.0, None, None)], S.RULES)
     assert load_rules(table) == [Rule("N", "s", "line_regex", "[0-9]", None, "m"), Rule("L", "s", "line_length", None, 3.0)]
-    many = spark.range(2000).selectExpr(
+    many = spark.range(450).selectExpr(
         "concat('R', id) AS rule", "'s' AS ruleset", "'line_length' AS kind", "CAST(NULL AS STRING) AS pattern",
-        "1.0D AS threshold", "CAST(NULL AS STRING) AS message",
+        "CAST(id AS DOUBLE) AS threshold", "CAST(NULL AS STRING) AS message",
         "CAST(NULL AS STRING) AS needle",
     )
-    with pytest.raises(ValueError, match="at most"):
-        load_rules(many)
+    found = scan.rule_scan(_files(spark, "x" * 440), load_rules(many))
+    assert found.count() == found.select("rule").distinct().count() == 440
+
+
+@pytest.mark.parametrize("threshold", ["-1", "10m"])
+def test_each_content_is_scanned_once(spark, rows, threshold):
+    """A history that repeats its tree: the rules see as many files as there are contents."""
+    trees = spark.range(40).select(
+        F.col("id").alias("seq"), F.explode(F.expr("transform(sequence(0, 24), i -> struct('f' || i AS path, repeat(CAST(i % 10 AS STRING), 3) AS content))")).alias("f")
+    )
+    files = materialize(trees.select("seq", "f.path", "f.content", F.sha1("f.content").alias("hash")), "repeating")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    try:
+        found = scan.scan_contents(files, [Rule("N", "s", "line_regex", "[0-9]")])
+        found.write.format("noop").mode("overwrite").save()
+        assert found.count() == 10
+        wanted = materialize(content.content_index(files).select("seq", "path"), "wanted")
+        picked = pick_rows(files, wanted, ["seq", "path"])
+        assert picked.count() == 10 and rows(picked.select("hash").distinct()) == rows(files.select("hash").distinct())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
 
 
 def test_analyzer_isolates_bad_files(spark, rows):
@@ -89,3 +111,22 @@ def test_analyzer_agrees_with_rule(spark, rows):
     by_rule = scan.rule_scan(files, [Rule("N", "s", "line_regex", "[0-9]")])
     by_udf = analyzers.analyze(files, analyzers.line_pattern_analyzer("[0-9]", "N", "s"))
     assert rows(by_udf, "hash", "rule", "line") == rows(by_rule, "hash", "rule", "line")
+
+
+def test_analyzer_results_are_checked(spark, rows):
+    """Wrong types, missing keys and unknown files are errors of the file, not of the job."""
+    bad = {"line": lambda f: f.assign(line="four"), "key": lambda f: f.drop(columns="hash"), "other": lambda f: f.assign(hash="zz"), "rule": lambda f: f.assign(rule=7)}
+
+    def factory():
+        def analyzer(batch):
+            found = batch[["hash"]].assign(rule="R", ruleset="S", line=1, message=None)
+            for word, spoil in bad.items():
+                if batch["content"].str.contains(word).any():
+                    return spoil(found)
+            return found
+
+        return analyzer
+
+    outcome = analyzers.analyze(_files(spark, "fine", *bad, "good"), factory)
+    assert rows(analyzers.analyzer_findings(outcome), "hash", "line") == [("h0", 1), ("h5", 1)]
+    assert rows(analyzers.analyzer_errors(outcome), "hash") == [("h1",), ("h2",), ("h3",), ("h4",)]

@@ -77,11 +77,23 @@ def test_written_documents(spark, tmp_path, rows):
         "stat_of_repository": {"number_of_commits": 3, "avg_of_num_java_files": 1.0, "avg_of_num_warnings": 2.5},
         "stat_of_warnings": {"R": 1},
     }
-    report = spark.createDataFrame([("c", 0, {}, [], [], None, "7", None, None, None, None)], S.COMMIT_REPORT_JSON)
+    report = spark.createDataFrame([("c", 0, {}, None, "7", None, None, None, None)], S.COMMIT_REPORT_JSON)
     sinks.write_reports(report, str(tmp_path / "reports"))
     line = "".join(p.read_text() for p in (tmp_path / "reports").glob("part-*"))
     assert json.loads(line) == {
-        "commit": "c", "num_java_files": 0, "warnings_by_rule": {}, "warnings": [], "files": [], "pmdVersion": "7",
+        "commit": "c", "num_java_files": 0, "warnings_by_rule": {}, "pmdVersion": "7",
     }
     sinks.write_errors(spark.createDataFrame([(1, "c", "bad")], "seq INT, commit STRING, error STRING"), str(tmp_path / "errors"))
     assert rows(spark.read.schema(S.ERROR_JSON).json(str(tmp_path / "errors"))) == [("c", "bad")]
+
+
+def test_trees_of_any_root_and_encoding(spark, tmp_path, rows, monkeypatch):
+    tree = tmp_path / "trees" / "c0" / "src"
+    tree.mkdir(parents=True)
+    (tree / "A.java").write_bytes("caf\xe9 1\n".encode("latin-1"))
+    (tree / "B.java").write_text("é")
+    for root in (f"{tmp_path}/trees", f"{tmp_path}/trees/", f"file://{tmp_path}/trees", f"file:{tmp_path}/trees"):
+        found = sources.read_trees(spark, root)
+        assert rows(found, "commit", "path", "content") == [("c0", "src/A.java", "caf\ufffd 1\n"), ("c0", "src/B.java", "é")]
+    raw = hashlib.sha1((tree / "A.java").read_bytes()).hexdigest()
+    assert raw in {r.hash for r in sources.read_trees(spark, str(tmp_path / "trees")).collect()}

@@ -33,6 +33,27 @@ def test_replayed_batch_changes_nothing(spark, tmp_path, rows):
     assert rows(spark.read.parquet(table), "commit", "seq") == [("a", 1), ("b", 2), ("c", 3)]
 
 
+def test_second_source_and_second_checkpoint(spark, tmp_path, rows):
+    """Another source adds to the table; the first source under a fresh checkpoint brings nothing twice."""
+    table = str(tmp_path / "table")
+    _deliver(spark, str(tmp_path / "one"), [("a", 1), ("b", 2)])
+    _deliver(spark, str(tmp_path / "two"), [("b", 7), ("c", 3)])
+    for n, inbox in enumerate(("one", "two", "one")):
+        ingest_reports(spark.readStream.schema(SCHEMA).parquet(str(tmp_path / inbox)), table, str(tmp_path / f"checkpoint{n}"))
+    assert rows(spark.read.parquet(table), "commit", "seq") == [("a", 1), ("b", 2), ("c", 3)]
+
+
+def test_tally_under_a_fresh_checkpoint(spark, tmp_path, rows):
+    inbox, table = str(tmp_path / "inbox"), str(tmp_path / "table")
+    schema = "hash STRING, content STRING"
+    rules = [Rule("Number", "s", "line_regex", "[0-9]")]
+    for n, batch in enumerate(([("h", "1")], [("g", "2")], [("f", "3")])):
+        _deliver(spark, inbox, batch, schema)
+        stream = spark.readStream.schema(schema).parquet(inbox)
+        running_tally(stream, rules, table, str(tmp_path / ("old" if n < 2 else "fresh")))
+    assert rows(latest_tally(spark, table)) == [("Number", 3)]
+
+
 def test_contents_once_per_rule_set(spark, tmp_path, rows):
     inbox, table, checkpoint = (str(tmp_path / n) for n in ("inbox", "table", "checkpoint"))
     schema = "hash STRING, ruleset_id STRING"

@@ -36,9 +36,8 @@ def _documents(spark):
         "c2": None,
         "c4": [{"filename": "f1", "violations": []}],
     }
-    return spark.createDataFrame(
-        [(c, 0, {}, [], f, None, None, None, None, None, None) for c, f in files.items()], S.COMMIT_REPORT_JSON
-    )
+    whole = spark.createDataFrame([(c, 0, {}, [], f, None, None, None, None) for c, f in files.items()], S.WHOLE_REPORT_JSON)
+    return reports.split_documents(whole)
 
 
 def test_parallel_summary_of_documents(spark):
@@ -96,43 +95,37 @@ def _headers(log, findings):
 
 
 def test_commit_reports(log, findings):
-    documents = {r.commit: r for r in reports.commit_reports(_headers(log, findings), findings).collect()}
-    assert set(documents) == {"c1", "c2", "c4"}
-    first = documents["c1"]
-    assert first.num_java_files == 2 and first.part is None and first.parts is None
+    documents = reports.commit_reports(_headers(log, findings), findings)
+    whole = {r.commit: r for r in reports.assemble_documents(documents).collect()}
+    assert set(whole) == {"c1", "c2", "c4"}
+    first = whole["c1"]
+    assert first.num_java_files == 2
     assert first.warnings_by_rule == {"R1": 2, "S1": 1, "UNKNOWN": 1}
     assert [(f.filename, len(f.violations)) for f in first.files] == [("f1", 3), ("f2", 1)]
     assert len(first.warnings) == 4
-    assert documents["c2"].files == [] and documents["c2"].num_java_files == 0
+    assert whole["c2"].files == [] and whole["c2"].num_java_files == 0
+    again = reports.split_documents(reports.assemble_documents(documents))
+    assert sorted(map(str, again.select(*documents.columns).collect())) == sorted(map(str, documents.collect()))
 
 
-def test_large_commit_becomes_parts(spark, log):
-    """One commit holds most findings, one finding of it thousands of times."""
-    big = spark.range(3000).select(
+def test_one_shape_at_any_size(spark, log):
+    """A commit of 130,000 findings, some without file name, has the documents that a small one has."""
+    big = spark.range(130_000).select(
         F.lit("c1").alias("commit"),
-        F.concat(F.lit("f"), F.col("id") % 7).alias("path"),
+        F.when(F.col("id") % 1000 > 0, F.concat(F.lit("f"), F.col("id") % 1000)).alias("path"),
         F.lit("R").alias("rule"),
         F.lit("S").alias("ruleset"),
         (F.col("id") % 500).cast("int").alias("line"),
         F.lit(None).cast("string").alias("message"),
     )
-    same = spark.range(2000).select(
-        F.lit("c1").alias("commit"), F.lit("f0").alias("path"), F.lit("Q").alias("rule"), F.lit("S").alias("ruleset"),
-        F.lit(1).alias("line"), F.lit(None).cast("string").alias("message"),
-    )
-    small = spark.createDataFrame([("c2", "f1", "R", "S", 1, None)], S.FINDINGS)
-    findings = big.unionByName(same).unionByName(small)
-    documents = reports.commit_reports(
-        _headers(log, findings), findings, findings_per_part=200, rows_per_slice=100
-    ).cache()
-    sizes = [r.n for r in documents.where("commit = 'c1'").select(F.size("warnings").alias("n")).collect()]
-    assert sum(sizes) == 5000 and len(sizes) > 10 and max(sizes) < 1000
-    assert documents.where("commit = 'c2' AND part IS NULL AND size(warnings) = 1").count() == 1
-    whole = reports.commit_reports(_headers(log, findings), findings)
-    expected = summary.summarize_reports(whole, "x").first()
-    assert summary.summarize_reports(documents, "x").first() == expected
-    assert expected.stat_of_repository.avg_of_num_java_files == pytest.approx(8 / 3)
-    assert expected.stat_of_warnings == {"R": 3001, "Q": 2000}
+    findings = big.unionByName(spark.createDataFrame([("c2", "f1", "R", "S", 1, None)], S.FINDINGS))
+    documents = reports.commit_reports(_headers(log, findings), findings).cache()
+    assert documents.where(reports.is_header()).count() == 3
+    files = documents.where(~reports.is_header() & (F.col("commit") == "c1"))
+    assert files.count() == 1000 and files.agg(F.sum(F.size("violations"))).first()[0] == 130_000
+    assert documents.where(reports.is_header() & (F.col("commit") == "c1")).first().warnings_by_rule == {"R": 130_000}
+    row = summary.summarize_reports(documents, "x").first()
+    assert row.stat_of_warnings == {"R": 130_001} and row.stat_of_repository.avg_of_num_java_files == pytest.approx(1001 / 3)
 
 
 def test_top_level_violations_win(spark):
