@@ -13,7 +13,7 @@ snaps AS (
   SELECT doc_id // 20 AS seq,
          source || '/File' || doc_id % 20 || CASE lang WHEN 'en' THEN '.java' WHEN 'de' THEN '.JAVA'
                                         WHEN 'fr' THEN '.py' ELSE '.txt' END AS path,
-         text AS content, sha1(text) AS hash
+         text AS content, sha1(text) AS hash, lang
   FROM documents)"""
 
 DAYS = """
@@ -237,7 +237,8 @@ SELECT seq, path, hash FROM marked WHERE NOT is_hit AND hash NOT IN (SELECT hash
         body="""
 SELECT seq, path, rule, line, message FROM snaps JOIN found USING (hash)
 JOIN (VALUES ('LongNumber', 'long number'), ('LongLine', 'line too long'), ('LicenseText', 'license text'),
-             ('MailAddress', 'mail address'), ('RepeatedLine', 'line repeated'), ('LongFile', 'file too long')) r(rule, message) USING (rule)""",
+             ('MailAddress', 'mail address'), ('RepeatedLine', 'line repeated'), ('LongFile', 'file too long')) r(rule, message) USING (rule)
+WHERE rule <> 'LongLine' OR lang = 'en'""",
     ),
     "rule_tally_file": _with(SNAPS, SCAN, body="SELECT hash, rule, n FROM tally"),
     "findings_by_commit": _with(SNAPS, SCAN, body="SELECT seq, path, rule, line FROM snaps JOIN found USING (hash)"),
@@ -293,10 +294,13 @@ FROM parsed WHERE coalesce(json_extract_string(f, '$.file'), json_extract_string
     "report_parse_status": _with(
         REPORTS,
         body="""
-SELECT event_id, CASE WHEN text <> '' AND NOT json_valid(text) THEN 'failed' ELSE 'ok' END AS status,
-       CAST(CASE WHEN text <> '' AND json_valid(text) THEN 1 ELSE 0 END AS BIGINT) AS n_findings
+SELECT event_id, CASE WHEN event_id % 17 <> 0 AND text <> '' AND NOT json_valid(text) THEN 'failed' ELSE 'ok' END AS status,
+       CAST(CASE WHEN event_id % 17 <> 0 AND text <> '' AND json_valid(text) THEN 1 ELSE 0 END AS BIGINT) AS n_findings
 FROM docs""",
     ),
+    "report_errors": _with(
+        REPORTS, body="SELECT event_id, 'unreadable report' AS error FROM docs WHERE text <> '' AND NOT json_valid(text)"
+    ),
     "report_metadata": _with(
         REPORTS,
         body="""
@@ -485,6 +489,14 @@ GROUP BY c.seq, c.commit""",
     ),
 }
 ORACLE["summary_json"] = ORACLE["summary_parallel"]
+ORACLE["mine_history_outcomes"] = _with(
+    *MINED,
+    body="""
+, failed AS (SELECT DISTINCT seq FROM marked JOIN contents USING (hash) WHERE content LIKE '%@%')
+SELECT seq, commit, CASE WHEN seq IN (SELECT seq FROM failed) THEN 'analyzer_failed'
+                         WHEN seq IN (SELECT seq FROM marked) THEN 'success' ELSE 'skipped' END AS outcome
+FROM commits""",
+)
 ORACLE["sink_reports"] = ORACLE["commit_reports"]
 ORACLE["mine_history_warm"] = ORACLE["mine_history_reports"]
 ORACLE["mine_history_resumed"] = ORACLE["mine_history"]

@@ -246,7 +246,7 @@ def rule_scan(spark, sf):
 def rule_scan_table(spark, sf):
     """The same with rules from a user's table, over every file instead of every content."""
     table = spark.createDataFrame(
-        [(r.rule, r.ruleset, r.kind, r.pattern, r.threshold, r.message, r.needle) for r in V.RULES], S.RULES
+        [(r.rule, r.ruleset, r.kind, r.pattern, r.threshold, r.message, r.needle, "en" if r.rule == "LongLine" else None) for r in V.RULES], S.RULES
     )
     rules = sources.load_rules(table)
     return scan.rule_scan(V.contents(spark, sf), rules, ["seq", "path"]).select("seq", "path", "rule", "line", "message")
@@ -396,9 +396,14 @@ def report_scan(spark, sf):
 
 @query
 def report_parse_status(spark, sf):
-    adapted = sources.parse_status(sources.adapt_reports(_parsed(spark, sf)))
-    n = F.aggregate("files", F.lit(0).cast("bigint"), lambda acc, f: acc + F.size(f["violations"]))
-    return adapted.select("event_id", "status", n.alias("n_findings"))
+    """Every event is in the log; every seventeenth left no report at all."""
+    left = V.report_documents(spark, sf).where(F.col("event_id") % 17 != 0)
+    return sources.status_of_log(V.table(spark, sf, "events"), sources.adapt_reports(sources.parse_reports(left)), "event_id")
+
+
+@query
+def report_errors(spark, sf):
+    return sources.corrupt_reports(_parsed(spark, sf), "event_id")
 
 
 @query
@@ -656,6 +661,12 @@ def mine_history_analyzer(spark, sf):
     return counted.unionByName(failed)
 
 
+@query
+def mine_history_outcomes(spark, sf):
+    factory = analyzers.line_pattern_analyzer("[0-9]{3,}", "LongNumber", "numbers", fail_on="@")
+    return _mine(spark, sf, V.contents, analyzer=factory, analyzer_id="numbers").outcomes()
+
+
 def _mine_full_tree(spark, sf):
     return plans.mine_full_tree(V.commits(spark, sf), V.contents(spark, sf), V.RULES)
 

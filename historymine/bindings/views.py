@@ -52,11 +52,12 @@ def _document_files(documents: DataFrame) -> DataFrame:
         F.concat("source", F.lit("/File"), (F.col("doc_id") % FILES_PER_COMMIT).cast("string"), ext).alias("path"),
         F.col("text").alias("content"),
         content_hash("text").alias("hash"),
+        "lang",
     )
 
 
 def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(seq, path, content, hash)`` from documents."""
+    """``(seq, path, content, hash, lang)`` from documents."""
     return _document_files(table(spark, sf_dir, "documents"))
 
 

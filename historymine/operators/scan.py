@@ -26,6 +26,11 @@ def _finding(rule: Rule, line: Column) -> Column:
 
 
 def _condition(rule: Rule) -> Column:
+    matches = _matches(rule)
+    return matches if rule.lang is None else (F.col("_lang") == rule.lang) & matches
+
+
+def _matches(rule: Rule) -> Column:
     text = F.col("_text")
     if rule.kind == "line_regex":
         match = text.rlike(rule.pattern)
@@ -50,6 +55,11 @@ def rule_scan(
     rules = check_rules(files.sparkSession, rules)
     if not rules:
         raise ValueError("no rules to scan for")
+    out = list(keys)
+    if any(rule.lang is not None for rule in rules):
+        if "lang" not in files.columns:
+            raise ValueError("rules for one language need a column lang")
+        files, keys = files.withColumn("_lang", F.col("lang")), [*keys, "_lang"]
     if any(rule.kind == "duplicate_line" for rule in rules):
         # (text, position) sorted, next to the text before it in that order
         lines = F.sort_array(F.transform(F.col("_lines"), lambda text, i: F.struct(text.alias("text"), i.alias("pos"))))
@@ -78,8 +88,8 @@ def rule_scan(
     ]
     # A generated method holds about this many patterns; more rules are evaluated in several arrays of the same pass.
     groups = [F.array_compact(F.array(*matches[i : i + RULES_PER_ARRAY])) for i in range(0, len(matches), RULES_PER_ARRAY)]
-    found = unfolded.select(*keys, F.explode(groups[0] if len(groups) == 1 else F.concat(*groups)).alias("_f"))
-    return found.select(*keys, "_f.rule", "_f.ruleset", "_f.line", "_f.message")
+    found = unfolded.select(*out, F.explode(groups[0] if len(groups) == 1 else F.concat(*groups)).alias("_f"))
+    return found.select(*out, "_f.rule", "_f.ruleset", "_f.line", "_f.message")
 
 
 def scan_contents(files: DataFrame, rules: Iterable[Rule], wanted: DataFrame | None = None) -> DataFrame:

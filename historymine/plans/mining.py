@@ -55,6 +55,14 @@ class MiningRun:
         """Repository summary; without cached findings it covers what this run scanned itself."""
         return summarize_commits(self.commits, self.by_rule, location, include_cached)
 
+    def outcomes(self) -> DataFrame:
+        """``(seq, commit, outcome)`` of every commit of the run: success, skipped for want of changes, or analyzer_failed."""
+        done = F.when(F.col("files_changed") == 0, "skipped").otherwise("success")
+        reported = self.commits.select("seq", "commit", done.alias("outcome"))
+        if self.errors is None:
+            return reported
+        return reported.unionByName(self.errors.select("seq", "commit", F.lit("analyzer_failed").alias("outcome")))
+
     def reports(self) -> DataFrame:
         """A header document per commit and a document per file with findings, see ``commit_reports``.
 
@@ -185,7 +193,7 @@ def mine_history(
         misses = materialize(cache_misses(index, known), "misses")
     files = mark_hits(selected, misses)
 
-    scannable = snapshots.where(has_suffix("path", suffix)).select("seq", "path", "hash", "content")
+    scannable = snapshots.where(has_suffix("path", suffix)).select("seq", "path", "hash", "content", *(["lang"] if "lang" in snapshots.columns else []))
     found, failed = _scan(scannable, misses, rules, analyzer)
     findings = materialize(found, "findings")
     tallies = rule_tally(findings)

@@ -6,7 +6,7 @@ FINDINGS = "commit STRING, path STRING, rule STRING, ruleset STRING, line INT, m
 FINDINGS_BY_CONTENT = "hash STRING, rule STRING, ruleset STRING, line INT, message STRING"
 CACHE = "hash STRING, ruleset_id STRING, warnings_by_rule MAP<STRING,BIGINT>, num_files BIGINT, version BIGINT"
 RUN_LOG = "commit STRING, ok BOOLEAN, code INT, duration_ms BIGINT"
-RULES = "rule STRING, ruleset STRING, kind STRING, pattern STRING, threshold DOUBLE, message STRING, needle STRING"
+RULES = "rule STRING, ruleset STRING, kind STRING, pattern STRING, threshold DOUBLE, message STRING, needle STRING, lang STRING"
 
 # Field names of the JSON documents that analyzers and earlier
 # runs leave behind. They have to be spelled exactly like this.

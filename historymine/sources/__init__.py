@@ -4,6 +4,7 @@ from historymine.sources.reports import (
     adapt_findings,
     adapt_reports,
     bad_entries,
+    corrupt_reports,
     explode_findings,
     is_error_file,
     parse_errors,
@@ -12,6 +13,7 @@ from historymine.sources.reports import (
     read_documents,
     read_reports,
     report_metadata,
+    status_of_log,
 )
 from historymine.sources.rules import Rule, load_rules, ruleset_id
 from historymine.sources.snapshots import read_trees, with_hash
@@ -22,6 +24,7 @@ __all__ = [
     "adapt_reports",
     "bad_entries",
     "cache_from_json",
+    "corrupt_reports",
     "empty_cache",
     "explode_findings",
     "is_error_file",
@@ -37,5 +40,6 @@ __all__ = [
     "read_trees",
     "report_metadata",
     "ruleset_id",
+    "status_of_log",
     "with_hash",
 ]

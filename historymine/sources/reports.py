@@ -38,6 +38,18 @@ def parse_status(parsed: DataFrame) -> DataFrame:
     return parsed.withColumn("status", F.when(F.col("corrupt"), "failed").otherwise("ok"))
 
 
+def corrupt_reports(parsed: DataFrame, *keys: str) -> DataFrame:
+    """``(keys, error)``: an error row for every report that could not be read."""
+    return parsed.where("corrupt").select(*keys, F.lit("unreadable report").alias("error"))
+
+
+def status_of_log(log: DataFrame, adapted: DataFrame, key: str) -> DataFrame:
+    """``(key, status, n_findings)`` for every row of the log: a commit without a report is fine and has none."""
+    n = F.aggregate("files", F.lit(0).cast("bigint"), lambda acc, f: acc + F.size(f["violations"]))
+    found = parse_status(adapted).select(key, "status", n.alias("n_findings"))
+    return log.select(key).join(found, key, "left").select(key, F.coalesce("status", F.lit("ok")).alias("status"), F.coalesce("n_findings", F.lit(0)).alias("n_findings"))
+
+
 def parse_errors(documents: DataFrame, text: str = "text") -> DataFrame:
     """``(commit, error)`` of the documents that are error records."""
     record = F.from_json(text, S.ERROR_JSON)

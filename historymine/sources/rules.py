@@ -23,7 +23,8 @@ class Rule:
     ``duplicate_line``  a finding per non-blank line that repeats an earlier line of its file
 
     ``needle`` is a literal text that every match contains. It is looked for
-    first, which spares most lines a slow pattern.
+    first, which spares most lines a slow pattern. A rule with ``lang`` looks at files
+    of that language only; the scanned table then needs a column ``lang``.
     """
 
     rule: str
@@ -33,6 +34,7 @@ class Rule:
     threshold: float | None = None
     message: str | None = None
     needle: str | None = None
+    lang: str | None = None
 
 
 def ruleset_id(rules: Iterable[Rule]) -> str:
@@ -70,5 +72,5 @@ def check_rules(spark: SparkSession, rules: Iterable[Rule]) -> list[Rule]:
 
 def load_rules(rules: DataFrame) -> list[Rule]:
     """Rules from a user's table: written by people, so it fits the driver like the plan that it becomes a part of."""
-    rows = rules.select("rule", "ruleset", "kind", "pattern", "threshold", "message", "needle").collect()
+    rows = rules.select("rule", "ruleset", "kind", "pattern", "threshold", "message", "needle", "lang").collect()
     return check_rules(rules.sparkSession, [Rule(**row.asDict()) for row in rows])

@@ -67,12 +67,12 @@ def test_bad_rules_fail_before_the_job(spark, rules, message):
 
 
 def test_rules_from_a_table(spark):
-    table = spark.createDataFrame([("N", "s", "line_regex", "[0-9]", None, "m", None), ("L", "s", "line_length", None, 3.0, None, None)], S.RULES)
-    assert load_rules(table) == [Rule("N", "s", "line_regex", "[0-9]", None, "m"), Rule("L", "s", "line_length", None, 3.0)]
+    table = spark.createDataFrame([("N", "s", "line_regex", "[0-9]", None, "m", None, None), ("L", "s", "line_length", None, 3.0, None, None, "en")], S.RULES)
+    assert load_rules(table) == [Rule("N", "s", "line_regex", "[0-9]", None, "m"), Rule("L", "s", "line_length", None, 3.0, lang="en")]
     many = spark.range(450).selectExpr(
         "concat('R', id) AS rule", "'s' AS ruleset", "'line_length' AS kind", "CAST(NULL AS STRING) AS pattern",
         "CAST(id AS DOUBLE) AS threshold", "CAST(NULL AS STRING) AS message",
-        "CAST(NULL AS STRING) AS needle",
+        "CAST(NULL AS STRING) AS needle", "CAST(NULL AS STRING) AS lang",
     )
     found = scan.rule_scan(_files(spark, "x" * 440), load_rules(many))
     assert found.count() == found.select("rule").distinct().count() == 440
@@ -130,3 +130,11 @@ def test_analyzer_results_are_checked(spark, rows):
     outcome = analyzers.analyze(_files(spark, "fine", *bad, "good"), factory)
     assert rows(analyzers.analyzer_findings(outcome), "hash", "line") == [("h0", 1), ("h5", 1)]
     assert rows(analyzers.analyzer_errors(outcome), "hash") == [("h1",), ("h2",), ("h3",), ("h4",)]
+
+
+def test_rules_for_one_language(spark, rows):
+    rules = [Rule("N", "s", "line_regex", "[0-9]", lang="en"), Rule("L", "s", "line_length", None, 1.0)]
+    files = _files(spark, "12", "12").withColumn("lang", F.when(F.col("seq") == 0, "en"))
+    assert rows(scan.rule_scan(files, rules), "hash", "rule") == [("h0", "L"), ("h0", "N"), ("h1", "L")]
+    with pytest.raises(ValueError, match="lang"):
+        scan.rule_scan(_files(spark, "1"), rules)
