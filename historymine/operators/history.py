@@ -63,16 +63,26 @@ def snapshot_diff(trees: DataFrame, commits: DataFrame) -> DataFrame:
     return found.select("_c.seq", "path", "_c.kind", "_c.hash", "_c.prev_hash")
 
 
+def _may_move(changes: DataFrame) -> DataFrame:
+    """Added and deleted rows ``(seq, hash, kind, path, _both)``; ``_both`` marks contents that a commit both adds and deletes.
+
+    They are counted per commit and content with map-side combine, so that the
+    many files that merely come or go, a first commit's whole tree among them, are not sorted.
+    """
+    moved = changes.where(F.col("kind").isin(ADDED, DELETED)).select("seq", F.coalesce("hash", "prev_hash").alias("hash"), "kind", "path")
+    sides = moved.groupBy("seq", "hash").agg(F.min("kind").alias("_low"), F.max("kind").alias("_high"))
+    both = sides.where(F.col("_low") != F.col("_high")).select("seq", "hash", F.lit(True).alias("_both"))
+    return moved.join(both, ["seq", "hash"], "left")
+
+
 def _moves(changes: DataFrame) -> DataFrame:
     """``(seq, hash, added, deleted)``: the i-th added and the i-th deleted path of a content side by side.
 
-    Added and deleted paths of a commit with equal content are numbered in path
-    order, which copes with one content filling a whole commit.
+    Only contents with both are numbered, in path order, which copes with one
+    content filling a whole commit.
     """
-    moved = changes.where(F.col("kind").isin(ADDED, DELETED)).select(
-        "seq", F.coalesce("hash", "prev_hash").alias("hash"), "kind", "path"
-    )
-    numbered = number_rows(moved, ["path"], "n", within=["seq", "hash", "kind"])
+    candidates = _may_move(changes).where("_both").drop("_both")
+    numbered = number_rows(candidates, ["path"], "n", within=["seq", "hash", "kind"])
     side = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("path")))
     return numbered.groupBy("seq", "hash", "n").agg(side(ADDED).alias("added"), side(DELETED).alias("deleted")).drop("n")
 
@@ -89,7 +99,8 @@ def mark_renames(changes: DataFrame) -> DataFrame:
     kind = F.when(F.col("added").isNull(), DELETED).when(F.col("deleted").isNull(), ADDED).otherwise(RENAMED)
     moved = moves.select("seq", F.coalesce("added", "deleted").alias("path"), kind.alias("kind"), "hash")
     others = changes.where(~F.col("kind").isin(ADDED, DELETED)).select("seq", "path", "kind", "hash")
-    return others.unionByName(moved)
+    alone = _may_move(changes).where("_both IS NULL").select("seq", "path", "kind", "hash")
+    return others.unionByName(alone).unionByName(moved)
 
 
 def keep_kinds(changes: DataFrame, kinds: tuple[str, ...] = ANALYZED_KINDS) -> DataFrame:

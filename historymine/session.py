@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,9 +44,29 @@ def scratch_root(spark: SparkSession) -> str:
     return shared.rstrip("/")
 
 
+_RUN: ContextVar[str] = ContextVar("run", default="")
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new, unused path below the shared scratch folder."""
-    return f"{scratch_root(spark)}/historymine/{name}-{uuid.uuid4().hex}"
+    """A new, unused path below the shared scratch folder, inside the folder of the current run if there is one."""
+    return f"{scratch_root(spark)}/historymine/{_RUN.get()}{name}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def scratch_run(spark: SparkSession) -> Iterator[None]:
+    """Own the intermediate tables made inside the block and delete them at its end.
+
+    Write or collect results inside the block: DataFrames that read such a table
+    cannot be computed afterwards.
+    """
+    run = f"run-{uuid.uuid4().hex}/"
+    token = _RUN.set(run)
+    try:
+        yield
+    finally:
+        _RUN.reset(token)
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{scratch_root(spark)}/historymine/{run}")
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
