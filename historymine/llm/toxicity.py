@@ -30,7 +30,8 @@ TELLING = 2.7  # log odds from which a word may be a first witness; few words re
 UNIT_CHARS = 24  # longer words are scored in overlapping parts, and in what stands between other characters
 PART_CHARS, PART_STEP = 12, 4
 NO_LETTER = re.compile(r"[\W_]+")
-KEPT_WORDS = 400_000
+KEPT_WORDS = 150_000
+WORDS_AT_ONCE, SCORED_AT_ONCE = 256, 2_048  # bound the arrays
 
 
 @dataclass(frozen=True)
@@ -39,8 +40,8 @@ class Training:
     ``instances`` words per class; ``rounds`` of training, each with the clean words that the last machine found worst, at
     regularization ``c``."""
 
-    per_class: int = 1_500
-    max_chars: int = 12_000
+    per_class: int = 1_200
+    max_chars: int = 10_000
     landmarks: int = 240
     instances: int = 3_000
     rounds: int = 4
@@ -114,12 +115,14 @@ def kernel(words: list[str], landmarks: list[str]) -> np.ndarray:
     used, place = np.unique(lc, return_inverse=True)
     dense = np.zeros((len(used), cols))
     dense[place, lw] = lv
-    word, code, value = _sparse(words)
-    at = np.searchsorted(used, code)
-    at = np.minimum(at, max(0, len(used) - 1))
-    hit = (used[at] == code) if len(used) else np.zeros(len(code), dtype=bool)
     out = np.zeros((len(words), cols))
-    np.add.at(out, word[hit], dense[at[hit]] * value[hit, None])
+    for start in range(0, len(words) if len(used) else 0, WORDS_AT_ONCE):
+        word, code, value = _sparse(words[start : start + WORDS_AT_ONCE])
+        at = np.minimum(np.searchsorted(used, code), len(used) - 1)
+        hit = np.flatnonzero(used[at] == code)
+        if len(hit):  # entries are in the order of the words
+            first = np.flatnonzero(np.diff(word[hit], prepend=-1))
+            out[start + word[hit][first]] = np.add.reduceat(dense[at[hit]] * value[hit, None], first)
     return out
 
 
@@ -133,8 +136,12 @@ class Model:
     offset: float
 
     def values(self, words: list[str]) -> np.ndarray:
-        word, code, value = _sparse(words)
-        return np.bincount(word, self.weights[code] * value, minlength=len(words)) + self.bias
+        out = np.empty(len(words))
+        for start in range(0, len(words), SCORED_AT_ONCE):
+            part = words[start : start + SCORED_AT_ONCE]
+            word, code, value = _sparse(part)
+            out[start : start + len(part)] = np.bincount(word, self.weights[code] * value, minlength=len(part)) + self.bias
+        return out
 
     def score(self, highest: float) -> float:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.slope * highest + self.offset))))
@@ -162,7 +169,9 @@ def train(texts: list[str], toxic: list[int], how: Training = Training()) -> Mod
     y = np.array(toxic, dtype=int)
     if not len(y) or y.min() == y.max():
         return Model(None, 0.0, 0.0, -30.0 if not len(y) or not y.max() else 30.0)
-    bags = [units_of(t) for t in texts]
+    one_of: dict[str, str] = {}
+    bags = [[one_of.setdefault(u, u) for u in set(units_of(t))] for t in texts]  # equal words are one object
+    bags = [sorted(bag) for bag in bags]
     inside = [Counter(), Counter()]
     for bag, label in zip(bags, toxic):
         inside[label].update(set(bag))
@@ -192,7 +201,7 @@ def train(texts: list[str], toxic: list[int], how: Training = Training()) -> Mod
             witnesses = [u for o, u in best if o > TELLING]
         else:
             words = sorted({u for bag in bags for u in bag})
-            value = dict(zip(words, np.concatenate([model.values(words[at : at + 20_000]) for at in range(0, len(words), 20_000)])))
+            value = dict(zip(words, model.values(words)))
             best = [max(((value[u], u) for u in bag), default=(-1.0, "")) for bag, label in zip(bags, toxic) if label]
             witnesses = [u for v, u in best if v > 0]
             hard = list(dict.fromkeys(hard + sorted(inside[0], key=lambda w: (-value[w], w))[: how.instances // 2]))
@@ -268,9 +277,7 @@ def predict(docs: DataFrame, model: Model, carried: tuple[str, ...] = ("doc_id",
             if len(cache) + len(new) > KEPT_WORDS:
                 cache.clear()
                 new = list(set().union(*bags))
-            for at in range(0, len(new), 20_000):
-                part = new[at : at + 20_000]
-                cache.update(zip(part, known.values(part).tolist()))
+            cache.update(zip(new, known.values(new).tolist()))
 
         def one(row) -> Iterator[tuple]:
             score = known.score(max((cache[u] for u in bags.pop()), default=known.bias))
