@@ -27,7 +27,7 @@ from historymine.llm.common import map_rows
 LEAF_CHARS = 16_384
 UNSPLIT_CHARS = 256  # a piece without white space beyond this is encoded as a tree too
 FIRST_WINDOW = 24
-CACHED_PIECES = 500_000
+CACHED_PIECES = 200_000
 
 _SPACES = re.compile(r"[ \n\t\r]+")
 

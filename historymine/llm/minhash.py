@@ -51,7 +51,7 @@ class WordHashes(dict):
     """64-bit hash of a word's bytes; forgets when it grows too large."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         value = self[word] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
         return value
