@@ -27,29 +27,32 @@ def unescaped(text: Column) -> Column:
 
 
 def _climb(nodes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
-    """``(root, depth, total)`` of all nodes, and the jump tables ``(node, far)`` of 1, 2, 4, ... steps up."""
+    """``(node, root, depth, total)`` of all nodes, and the jump tables ``(node, far)`` of 1, 2, 4, ... steps up.
+
+    A node that has reached its root is set aside, so a round joins only the
+    nodes deeper than its step, and a few deep trees cost the others nothing.
+    """
     at = stored(nodes.select("node", F.col("parent").alias("far"), F.lit(0).cast("bigint").alias("depth"), F.col("score").alias("total"), F.col("node").alias("root")), "chat-climb")
-    jumps = []
+    settled, jumps = at.where("far is null"), []
     while True:
-        jumps.append(at.where("far is not null").select("node", "far"))
+        climbing = at.where("far is not null")
+        if climbing.isEmpty():
+            return settled, jumps
+        step = F.lit(1 << len(jumps))
+        jumps.append(climbing.select("node", "far"))
         # The sum over 2**k messages, then over the next 2**k from the message after them.
-        up = at.select(
+        up = settled.unionByName(climbing).select(
             F.col("node").alias("far"), F.col("far").alias("farther"), F.col("depth").alias("more"), F.col("total").alias("above"), F.col("root").alias("root_above")
         )
-        step = F.lit(1 << (len(jumps) - 1))
-        joined = at.join(up, "far", "left")
-        at = stored(
-            joined.select(
-                "node",
-                F.col("farther").alias("far"),
-                F.when(F.col("more").isNull(), F.col("depth")).otherwise(F.col("more") + step).alias("depth"),
-                (F.col("total") + F.coalesce("above", F.lit(0.0))).alias("total"),
-                F.coalesce("root_above", "root").alias("root"),
-            ),
-            "chat-climb",
+        higher = climbing.join(up, "far").select(
+            "node",
+            F.col("farther").alias("far"),
+            (F.col("more") + step).alias("depth"),
+            (F.col("total") + F.col("above")).alias("total"),
+            F.col("root_above").alias("root"),
         )
-        if at.where("far is not null").isEmpty():
-            return at, jumps
+        at = stored(higher, "chat-climb")
+        settled = settled.unionByName(at.where("far is null"))
 
 
 def best_paths(messages: DataFrame, branches: int = 1, min_score: float | None = None) -> DataFrame:
@@ -71,10 +74,11 @@ def best_paths(messages: DataFrame, branches: int = 1, min_score: float | None =
         leaves = leaves.where(F.col("mean") >= min_score)
     rank = F.row_number().over(Window.partitionBy("root").orderBy(F.desc("mean"), "node"))
     chosen = stored(leaves.withColumn("rank", rank).where(F.col("rank") <= branches).select(F.col("node").alias("path"), "node", "root", "rank", "depth"), "chat-chosen")
+    # Each round adds what lies 2**k steps above all that was reached before; only new rows are written.
     reached = chosen
     for k in reversed(range(len(jumps))):
         higher = reached.join(jumps[k], "node").select("path", F.col("far").alias("node"), "root", "rank", (F.col("depth") - (1 << k)).alias("depth"))
-        reached = reached.unionByName(higher)
+        reached = reached.unionByName(stored(higher, "chat-path"))
     return reached
 
 
