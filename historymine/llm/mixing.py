@@ -1,9 +1,10 @@
 """Mixing sources to target weights in integer quotas of equal-token blocks.
 
 Targets are shares by weight, held below a multiple of what a source has.
-Blocks are apportioned to sources by Sainte-Lague: the highest quotients
-target / 1, target / 3, target / 5, ... win a block each. A source's blocks
-are apportioned to its shards in the same way. Inside a shard documents lie end
+Words are apportioned to sources by Sainte-Lague: the highest quotients
+target / 1, target / 3, target / 5, ... win a word each. The whole blocks among a
+source's words are apportioned to its shards in the same way; what is left, and
+blocks that no shard can hold, go to shards as words. Inside a shard documents lie end
 to end in a seeded order, cut into blocks of equal words; the first blocks of
 that order are taken, and the order starts again when it is used up.
 """
@@ -74,6 +75,17 @@ def _won(votes: str, divisor: float) -> Column:
     return F.greatest(F.ceil((F.col(votes) / F.lit(divisor) - 1) / 2), F.lit(0))
 
 
+def dealt_words(size: np.ndarray, words: int, block: int, repeats: int) -> np.ndarray:
+    """``words`` over shards in blocks, the rest in parts of a block by the highest quotients; a shard gets at most ``repeats`` times its size."""
+    won = apportion(size.astype(float), words // block, repeats * size // block)
+    got = won * block
+    order = np.argsort(-size / (2 * won + 1), kind="stable")
+    room = (repeats * size - got)[order]
+    left = max(0, words - int(got.sum()))
+    got[order] += np.clip(left - (np.cumsum(room) - room), 0, room)
+    return got
+
+
 def source_quotas(sources: DataFrame, n_blocks: int) -> DataFrame:
     """Adds ``quota``: ``n_blocks`` blocks by highest quotients of ``target``, ties by ``place``.
 
@@ -135,7 +147,7 @@ def mix(docs: DataFrame, how: Mix = Mix(), carried: tuple[str, ...] = ("doc_id",
     sources = stored(targets(sources, how), "mix-targets")
     words = sources.agg(F.sum("source_size")).first()[0] or 0
     block = max(1, int(how.share * words / how.blocks))
-    sources = source_quotas(sources, round(how.share * words / block))
+    sources = source_quotas(sources, round(min(how.share, how.repeats) * words))
     shards = F.ceil(F.col("docs") / how.docs_per_shard).cast("int")
     sources = stored(sources.select(F.col("source").alias("of"), "place", "source_size", "target", "quota", shards.alias("shards")), "mix-quotas")
 
@@ -144,9 +156,8 @@ def mix(docs: DataFrame, how: Mix = Mix(), carried: tuple[str, ...] = ("doc_id",
 
     def spread(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("shard")
-        size = group["cell_size"].to_numpy()
-        won = apportion(size.astype(float), int(group["quota"].iloc[0]), how.repeats * size // block)
-        return group.assign(words=won * block).drop(columns="quota")
+        words = dealt_words(group["cell_size"].to_numpy(), int(group["quota"].iloc[0]), block, how.repeats)
+        return group.assign(words=words).drop(columns="quota")
 
     dealt = stored(cells.groupBy("place").applyInPandas(spread, "place int, shard int, cell_size bigint, words bigint"), "mix-cells")
 

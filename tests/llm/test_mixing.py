@@ -59,6 +59,21 @@ def test_mix(spark, how):
         assert abs(taken[s] - t) <= block * (2 + sizes[s] // how.docs_per_shard)
 
 
+def test_sources_below_a_block_and_at_their_limit_reach_their_targets(spark):
+    """Blocks of about 4,500 words: one source of 300 words in all, one of short texts held at twice its size in many shards."""
+    rows = [(i, "w " * 30, "large", 0, "", "", 0, 0) for i in range(2_000)]
+    rows += [(10_000 + i, "w " * 10, "tail", 0, "", "", 0, 0) for i in range(30)] + [(20_000 + i, "w w w", "a_short", 0, "", "", 0, 0) for i in range(3_000)]
+    how = mixing.Mix(blocks=23, docs_per_shard=300)
+    got = mixing.mix(spark.createDataFrame(rows, SCHEMA), how).collect()
+    target, taken, held = {r.source: r.target for r in got}, defaultdict(int), defaultdict(int)
+    for r in got:
+        taken[r.source] += r.taken
+        held[r.source] += 2 * r["size"]
+        assert 0 <= r.taken <= 2 * r["size"]
+    assert target["a_short"] == held["a_short"] and 0 < target["tail"] <= held["tail"]
+    assert all(abs(taken[s] - target[s]) <= 1 for s in target)
+
+
 def test_quotas_by_highest_quotients(spark):
     votes = [100.0, 100.0, 37.5, 12.0, 0.0, 3.0]
     for seats in (0, 1, 2, 7, 50):
