@@ -336,13 +336,13 @@ def nest_reports(spark, sf):
 
 @query
 def flatten_findings(spark, sf):
-    """Whole documents: every third has a list of its own at the top, which wins over those of its files."""
-    whole = reports.assemble_documents(_order_reports(spark, sf))
-    own = F.when(F.col("commit").cast("bigint") % 3 == 0, F.slice("warnings", 1, 1))
-    rules = F.transform(reports.flatten_findings("files", own), lambda v: fn.rule_key(v["rule"], v["ruleSet"]))
-    return whole.where(F.size("files") > 0).select(
-        "commit", F.size(rules).cast("bigint").alias("n_warnings"), F.array_min(rules).alias("first_rule"), F.array_max(rules).alias("last_rule")
-    )
+    """By rows: every third commit has a list of its own, its first finding, which wins over those of its files."""
+    documents = reports.nest_reports(_stored_findings(spark, sf))
+    listed = F.coalesce(F.col("commit").cast("bigint") % 3 == 0, F.lit(False))
+    first = F.min(F.struct("filename", F.col("violations")[0].alias("v")))["v"]
+    own = documents.where(listed).groupBy("commit").agg(F.array(first).alias("warnings"))
+    found = reports.flatten_rows(documents.where(~listed), own).withColumn("key", fn.rule_key("rule", "ruleSet"))
+    return found.groupBy("commit").agg(F.count(F.lit(1)).alias("n_warnings"), F.min("key").alias("first_rule"), F.max("key").alias("last_rule"))
 
 
 def _stored_findings(spark, sf):

@@ -70,6 +70,15 @@ def flatten_findings(files: str | Column = "files", top_level: str | Column | No
     return F.coalesce(F.col(top_level) if isinstance(top_level, str) else top_level, flat)
 
 
+def flatten_rows(documents: DataFrame, own: DataFrame) -> DataFrame:
+    """``(commit, rule, ruleSet, line, message)`` by rows: the lists ``(commit, warnings)`` of ``own``, and the findings of ``documents``.
+
+    ``documents`` holds files of commits without a list of their own; no row ever holds more than one file.
+    """
+    lists = own.select("commit", F.explode("warnings").alias("v"))
+    return lists.unionByName(documents.select("commit", F.explode("violations").alias("v"))).select("commit", "v.*")
+
+
 def nest_reports(findings: DataFrame) -> DataFrame:
     """``(commit, filename, violations)``: the findings of each file of each commit as one document.
 

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from historymine import schema as S
+from historymine.bindings import queries
 from historymine.operators import reports, summary
 
 
@@ -140,3 +141,18 @@ def test_top_level_violations_win(spark):
     )
     flat = df.select(F.transform(reports.flatten_findings("files", "violations"), lambda v: v["rule"]).alias("r"))
     assert [r.r for r in flat.collect()] == [["T", "T"], ["A"], []]
+
+
+def test_flatten_query_gathers_no_whole_commit(spark, monkeypatch):
+    """A commit with most findings, as rows: its documents are never put into one."""
+
+    def refused(*_):
+        raise AssertionError("a whole commit in one row")
+
+    found = [("1", f"f{i:04}", f"r{i % 7}", "s", 1, None) for i in range(3000)] + [("3", "b", "r2", "s", 1, None), ("3", "a", "r9", "s", 2, None), ("3", "a", "", "s", 3, None)]
+    df = spark.createDataFrame(found, "commit string, path string, rule string, ruleset string, line int, message string")
+    monkeypatch.setattr(queries.reports, "assemble_documents", refused)
+    monkeypatch.setattr(queries.V, "findings", lambda *_: df)
+    monkeypatch.setattr(queries.V, "order_commits", lambda *_: df.select("commit").distinct())
+    got = sorted(map(tuple, queries.flatten_findings(spark, "").collect()))
+    assert got == [("1", 3000, "r0", "r6"), ("3", 1, "s", "s")]
