@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from historymine.llm import bpe, chat, forest, langid, minhash, mixing, secrets, topk, toxicity, warc
+from historymine.llm import bpe, bytebpe, chat, forest, langid, minhash, mixing, secrets, topk, toxicity, warc
 from historymine.llm.common import crc_mod5, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -151,3 +151,8 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find_secrets(table(spark, sf_dir, "documents"))
     counts = [secrets.counted("base", k).alias(f"n_{name}") for k, (name, *_) in enumerate(secrets.BASE)]
     return found.select("doc_id", *counts, F.sha2(secrets.listed("base").cast("binary"), 256).alias("base_sha256"), secrets.listed("spans").alias("spans"))
+
+
+@_query
+def op13_byte_bpe_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_digests(bytebpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken")))
