@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from historymine.llm import bpe, bytebpe, chat, forest, langid, minhash, mixing, secrets, topk, toxicity, warc
+from historymine.llm import alignment, bpe, bytebpe, chat, forest, langid, minhash, mixing, secrets, topk, toxicity, warc
 from historymine.llm.common import crc_mod5, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -156,3 +156,10 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op13_byte_bpe_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(bytebpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken")))
+
+
+@_query
+def op11_cross_tokenizer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    found = alignment.align(table(spark, sf_dir, "documents"), *paths)
+    return found.select(F.col("id").alias("doc_id"), "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", F.col("groups").alias("groups_sha256"))
