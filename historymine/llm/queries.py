@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from historymine.llm import alignment, bpe, bytebpe, chat, forest, langid, minhash, mixing, secrets, topk, toxicity, warc
+from historymine.llm import alignment, bpe, bytebpe, chat, collocations, forest, langid, minhash, mixing, secrets, topk, toxicity, warc
 from historymine.llm.common import crc_mod5, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -163,3 +163,38 @@ def op11_cross_tokenizer(spark: SparkSession, sf_dir: str) -> DataFrame:
     paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
     found = alignment.align(table(spark, sf_dir, "documents"), *paths)
     return found.select(F.col("id").alias("doc_id"), "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", F.col("groups").alias("groups_sha256"))
+
+
+@_query
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+ORACLE["op12_collocations"] = """
+WITH docs AS (
+  SELECT coalesce(lang, 'und') AS lang, regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS pieces
+  FROM documents),
+pieces AS (
+  SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda w: w <> '') AS w FROM (SELECT lang, unnest(pieces) AS piece FROM docs)),
+places AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM pieces),
+grams AS (
+  SELECT lang, w[i] AS phrase, 1 AS k FROM places
+  UNION ALL SELECT lang, w[i] || ' ' || w[i + 1], 2 FROM places WHERE i + 1 <= len(w)
+  UNION ALL SELECT lang, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2], 3 FROM places WHERE i + 2 <= len(w)),
+f AS (SELECT lang, phrase, k, count(*) AS n FROM grams GROUP BY ALL),
+totals AS (SELECT lang, CAST(sum(n) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, phrase, k, n AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND n >= 10),
+cuts AS (
+  SELECT lang, phrase, k, a, 1 AS cut, w[1] AS head, array_to_string(w[2:], ' ') AS tail FROM c
+  UNION ALL SELECT lang, phrase, k, a, 2, w[1] || ' ' || w[2], w[3] FROM c WHERE k = 3),
+scored AS (
+  SELECT cuts.*, l.n AS l, r.n AS r, CAST((1000000::HUGEINT * a * a) // (l.n::HUGEINT * r.n) AS BIGINT) AS score
+  FROM cuts JOIN f l ON l.lang = cuts.lang AND l.phrase = cuts.head JOIN f r ON r.lang = cuts.lang AND r.phrase = cuts.tail
+  QUALIFY row_number() OVER (PARTITION BY cuts.lang, cuts.phrase ORDER BY score, cut) = 1),
+longer AS (
+  SELECT lang, phrase, max(a) AS of FROM (SELECT lang, w[1] || ' ' || w[2] AS phrase, a FROM c WHERE k = 3 UNION ALL SELECT lang, w[2] || ' ' || w[3], a FROM c WHERE k = 3) GROUP BY ALL)
+SELECT s.lang, row_number() OVER (PARTITION BY s.lang ORDER BY s.score DESC, s.a DESC, s.phrase) AS rank, s.phrase, s.a, s.l, s.r, t.n, s.score
+FROM scored s JOIN totals t USING (lang) LEFT JOIN longer g ON g.lang = s.lang AND g.phrase = s.phrase AND s.k = 2
+WHERE g.of IS NULL OR 100 * g.of < 50 * s.a
+QUALIFY rank <= 2000
+"""
