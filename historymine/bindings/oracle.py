@@ -499,7 +499,8 @@ FROM commits""",
 )
 ORACLE["sink_reports"] = ORACLE["commit_reports"]
 ORACLE["mine_history_warm"] = ORACLE["mine_history_reports"]
-ORACLE["mine_history_resumed"] = ORACLE["mine_history"]
+ORACLE["mine_history_resumed"] = ORACLE["mine_history_killed"] = ORACLE["mine_history"]
+ORACLE["mine_history_killed_reports"] = ORACLE["mine_history_reports"]
 ORACLE["mine_history_resumed_summary"] = _with(
     *MINED,
     PER_COMMIT,
@@ -510,3 +511,4 @@ SELECT (SELECT count(*) FROM commits) AS number_of_commits,
        rule, CAST(sum(n) AS BIGINT) AS n
 FROM marked JOIN tally USING (hash) GROUP BY rule""",
 )
+ORACLE["mine_history_repeated"] = ORACLE["mine_history_resumed_summary"]

@@ -618,38 +618,64 @@ def mine_history_reports(spark, sf):
 
 
 def _halves(spark, sf):
-    """A run over the older half of the log, written, and one over all of it that resumes and reuses the first."""
-    log, root = V.commits(spark, sf), scratch_path(spark, "runs")
+    """A run over the older half of the log, stored, and one over all of it that resumes and reuses the first."""
+    log, trees = V.commits(spark, sf), V.snapshots(spark, sf).drop("hash")
     middle = log.agg((F.max("seq") / 2).cast("bigint").alias("seq")).scalar()
-    trees = V.snapshots(spark, sf).drop("hash")
     first = plans.mine_history(log.where(F.col("seq") <= middle), trees, V.RULES)
-    path = first.write(root, "documents")
-    done, findings = (plans.stored_runs(spark, root, name) for name in ("commits", "findings"))
-    second = plans.mine_history(log, trees, V.RULES, cache=sources.read_cache(spark, path), earlier_findings=findings, done=done)
-    second.write(root, "documents")
-    return root, first, second
+    store = first.write(scratch_path(spark, "runs"), "documents")
+    second = plans.mine_history(log, trees, V.RULES, cache=store.cache(), earlier_findings=store.findings(), done=store.done())
+    second.write(store.root, "documents")
+    return store
 
 
 @query
 def mine_history_warm(spark, sf):
     """The whole history once more with a full cache: nothing is scanned, documents are complete."""
-    root = scratch_path(spark, "runs")
-    cache_path = _mine(spark, sf).write(root, "documents")
-    again = _mine(spark, sf, cache=sources.read_cache(spark, cache_path), earlier_findings=plans.stored_runs(spark, root, "findings"))
-    return _with_headers(again.reports())
+    store = _mine(spark, sf).write(scratch_path(spark, "runs"), "documents")
+    return _with_headers(_mine(spark, sf, cache=store.cache(), earlier_findings=store.findings()).reports())
 
 
 @query
 def mine_history_resumed(spark, sf):
-    root, *_ = _halves(spark, sf)
-    return plans.stored_runs(spark, root, "commits")
+    return _halves(spark, sf).commits()
 
 
 @query
 def mine_history_resumed_summary(spark, sf):
     """What the second run left as the summary of both."""
-    root, *_ = _halves(spark, sf)
-    return _flat_summary(spark.read.text(f"{root}/summary").select(F.from_json("value", S.SUMMARY_JSON).alias("s")).select("s.*"))
+    summary_text = _halves(spark, sf).stored_summary()
+    return _flat_summary(summary_text.select(F.from_json("value", S.SUMMARY_JSON).alias("s")).select("s.*"))
+
+
+def _killed(spark, sf):
+    """A run in stages that is lost after two of them, in the middle of writing the third, and called again."""
+    log, trees = V.commits(spark, sf), V.snapshots(spark, sf).drop("hash")
+    store = plans.RunStore(spark, scratch_path(spark, "runs"))
+    every = -(-log.count() // 4)
+    plans.mine_in_stages(log, trees, V.RULES, store=store, location="documents", every=every, stages=2)
+    lost = plans.mine_history(log, trees, V.RULES, done=store.done())
+    lost.commits.write.parquet(f"{store.root}/commits/run=lost")
+    lost.fresh_cache.write.parquet(f"{store.root}/cache/run=lost")
+    plans.mine_in_stages(log, trees, V.RULES, store=store, location="documents", every=every)
+    return store
+
+
+@query
+def mine_history_killed(spark, sf):
+    return _killed(spark, sf).commits()
+
+
+@query
+def mine_history_killed_reports(spark, sf):
+    return _with_headers(_killed(spark, sf).reports())
+
+
+@query
+def mine_history_repeated(spark, sf):
+    """One log written twice: every commit counts once, from the later run."""
+    store = _mine(spark, sf).write(scratch_path(spark, "runs"), "documents")
+    _mine(spark, sf).write(store.root, "documents")
+    return _flat_summary(store.summary("documents"))
 
 
 @query

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
@@ -25,7 +24,7 @@ from historymine.operators.reports import commit_reports, count_maps, fan_counts
 from historymine.operators.scan import rule_tally, scan_contents
 from historymine.operators.summary import files_in_tree, parallel_stats
 from historymine.session import materialize
-from historymine.sinks import save_cache, write_errors, write_reports, write_summary
+from historymine.plans.store import RunStore
 from historymine.sources.rules import Rule, ruleset_id
 from historymine.sources.snapshots import with_hash
 
@@ -39,6 +38,8 @@ class MiningRun:
     by_rule    ``(seq, rule, findings, fresh, ...)`` per commit
     commits    one row of counts per commit, failed commits left out
     cache      the cache to start the next run with
+    fresh_cache  the entries that this run adds to it
+    identity   the rule set or analyzer that the entries belong to
     errors     ``(seq, commit, error)`` of the failed commits; None where nothing can fail
     earlier    findings of earlier runs for the contents that came from the cache, if they were given
     """
@@ -48,6 +49,8 @@ class MiningRun:
     by_rule: DataFrame
     commits: DataFrame
     cache: DataFrame
+    fresh_cache: DataFrame
+    identity: str
     errors: DataFrame | None
     earlier: DataFrame | None = None
 
@@ -79,22 +82,11 @@ class MiningRun:
         findings = self.findings if self.earlier is None else self.findings.unionByName(self.earlier)
         return commit_reports(headers, findings_by_file(files, findings, "commit"))
 
-    def write(self, root: str, location: str) -> str:
-        """Add this run to the results below ``root``; returns the path of the saved cache.
-
-        Every run has folders of its own, so later runs never overwrite earlier ones,
-        and the summary covers all runs below ``root``.
-        """
-        run = uuid.uuid4().hex
-        spark = self.commits.sparkSession
-        write_reports(self.reports(), f"{root}/reports/run={run}")
-        self.commits.write.parquet(f"{root}/commits/run={run}")
-        self.by_rule.write.parquet(f"{root}/by-rule/run={run}")
-        self.findings.write.parquet(f"{root}/findings/run={run}")
-        if self.errors is not None:
-            write_errors(self.errors, f"{root}/errors/run={run}")
-        write_summary(summarize_runs(spark, root, location), f"{root}/summary", mode="overwrite")
-        return save_cache(self.cache, f"{root}/cache")
+    def write(self, root: str, location: str) -> RunStore:
+        """Add this run to the results below ``root``, see ``RunStore``; a later run wins where both have a commit."""
+        store = RunStore(self.commits.sparkSession, root)
+        store.append(self, location)
+        return store
 
 
 def summarize_commits(commits: DataFrame, by_rule: DataFrame, location: str, include_cached: bool = True) -> DataFrame:
@@ -118,16 +110,6 @@ def summarize_commits(commits: DataFrame, by_rule: DataFrame, location: str, inc
     )
 
 
-def stored_runs(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """``commits``, ``by-rule`` or ``findings`` of all runs written below ``root``."""
-    return spark.read.parquet(f"{root}/{name}").drop("run")
-
-
-def summarize_runs(spark: SparkSession, root: str, location: str, include_cached: bool = True) -> DataFrame:
-    """Repository summary over all runs below ``root``: the first one and all that resumed it."""
-    return summarize_commits(stored_runs(spark, root, "commits"), stored_runs(spark, root, "by-rule"), location, include_cached)
-
-
 def _scan(
     snapshots: DataFrame, wanted: DataFrame, rules: Iterable[Rule] | None, analyzer: Callable[[], Analyzer] | None
 ) -> tuple[DataFrame, DataFrame | None]:
@@ -139,6 +121,15 @@ def _scan(
     return analyzer_findings(outcome), analyzer_errors(outcome)
 
 
+def _identity(rules: Iterable[Rule], analyzer: Callable[[], Analyzer] | None, analyzer_id: str | None) -> str:
+    """What cache entries belong to."""
+    if analyzer is None:
+        return ruleset_id(rules)
+    if analyzer_id is None:
+        raise ValueError("analyzer_id is needed to key the cache of an analyzer")
+    return analyzer_id
+
+
 def mine_history(
     log: DataFrame,
     snapshots: DataFrame,
@@ -167,9 +158,7 @@ def mine_history(
     Trees of commits that are not in the log are left out.
     """
     rules = list(rules)
-    identity = analyzer_id if analyzer is not None else ruleset_id(rules)
-    if identity is None:
-        raise ValueError("analyzer_id is needed to key the cache of an analyzer")
+    identity = _identity(rules, analyzer, analyzer_id)
     pending = log
     newest = log.agg(F.max("seq").alias("seq")).scalar()
     snapshots = snapshots.where(F.col("seq").between(0, newest))
@@ -223,11 +212,58 @@ def mine_history(
         by_rule=by_rule,
         commits=_commit_counts(reported, trees, files, by_rule, suffix),
         cache=new_cache,
+        fresh_cache=fresh_cache,
+        identity=identity,
         errors=errors,
         earlier=earlier,
     )
 
 
+def mine_in_stages(
+    log: DataFrame,
+    snapshots: DataFrame,
+    rules: Iterable[Rule] = (),
+    *,
+    store: RunStore,
+    location: str,
+    every: int = 200,
+    stages: int | None = None,
+    analyzer: Callable[[], Analyzer] | None = None,
+    analyzer_id: str | None = None,
+    **options,
+) -> int:
+    """``mine_history`` over the next ``every`` commits at a time, each stage stored when it is done; returns the stages run.
+
+    A run that is lost loses its last stage: called again with the same ``store``,
+    it goes on after the last finished one. A stage reads the trees of its own commits and
+    the one before them, and the stored cache. ``stages`` stops after so many.
+    Later stages cost a listing of the earlier ones; ``store.compact_cache`` folds their caches.
+    """
+    rules = list(rules)
+    identity = _identity(rules, analyzer, analyzer_id)
+    ran = 0
+    while stages is None or ran < stages:
+        done = store.done()
+        upto = log.join(done, "commit", "left_anti").select("seq").orderBy("seq").limit(every).agg(F.max("seq")).first()[0]
+        if upto is None:
+            break
+        run = mine_history(
+            log.where(F.col("seq") <= upto),
+            snapshots,
+            rules,
+            cache=store.cache(identity),
+            cache_version=store.next_position(),
+            earlier_findings=store.findings(identity),
+            done=done,
+            analyzer=analyzer,
+            analyzer_id=analyzer_id,
+            **options,
+        )
+        store.append(run, location)
+        ran += 1
+    return ran
+
+
 def _commit_errors(log: DataFrame, files: DataFrame, failed: DataFrame) -> DataFrame:
     """``(seq, commit, error)``: commits with a file whose analysis failed, naming the first such file."""
     placed = spread_join(files.select("seq", "path", "hash"), failed, ["hash"], ["seq", "path"])

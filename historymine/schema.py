@@ -6,6 +6,13 @@ FINDINGS = "commit STRING, path STRING, rule STRING, ruleset STRING, line INT, m
 FINDINGS_BY_CONTENT = "hash STRING, rule STRING, ruleset STRING, line INT, message STRING"
 CACHE = "hash STRING, ruleset_id STRING, warnings_by_rule MAP<STRING,BIGINT>, num_files BIGINT, version BIGINT"
 RUN_LOG = "commit STRING, ok BOOLEAN, code INT, duration_ms BIGINT"
+RUN_COMMITS = (
+    "seq BIGINT, commit STRING, files_in_tree BIGINT, files_changed BIGINT, cache_hits BIGINT, cache_misses BIGINT, "
+    "files_reported BIGINT, files_fresh BIGINT, findings BIGINT, findings_fresh BIGINT, findings_cached BIGINT"
+)
+RUN_BY_RULE = "seq BIGINT, rule STRING, findings BIGINT, fresh BIGINT, files BIGINT, fresh_files BIGINT"
+RUN_ERRORS = "seq BIGINT, commit STRING, error STRING"
+MANIFEST = "run STRING, position BIGINT, kind STRING, identity STRING, location STRING"
 RULES = "rule STRING, ruleset STRING, kind STRING, pattern STRING, threshold DOUBLE, message STRING, needle STRING, lang STRING"
 
 # Field names of the JSON documents that analyzers and earlier

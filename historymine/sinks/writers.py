@@ -12,9 +12,9 @@ def write_reports(reports: DataFrame, path: str, mode: str = "errorifexists") ->
     reports.write.mode(mode).json(path)
 
 
-def write_errors(errors: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Error records ``{commit, error}``, apart from the results."""
-    errors.select("commit", "error").write.mode(mode).json(path)
+def write_errors(errors: DataFrame, path: str, mode: str = "errorifexists", with_seq: bool = False) -> None:
+    """Error records ``{commit, error}``, apart from the results; ``with_seq`` adds the place in the log."""
+    errors.select(*["seq"] * with_seq, "commit", "error").write.mode(mode).json(path)
 
 
 def save_cache(cache: DataFrame, root: str) -> str:

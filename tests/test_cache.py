@@ -10,7 +10,7 @@ from historymine.bindings import views as V
 from historymine.operators import analyzers, cache, content, reports, summary
 from historymine.plans import mine_full_tree, mine_history
 from historymine.session import materialize
-from historymine.sources import Rule, empty_cache, read_cache, ruleset_id
+from historymine.sources import Rule, empty_cache, ruleset_id
 
 FILES = [(0, "x", "h1"), (0, "y", "h2"), (1, "v", "h1"), (1, "z", "h3"), (2, "y", "h2"), (2, "w", "h2")]
 TALLIES = [("h1", "R1", 2), ("h2", "R1", 1), ("h2", "R2", 1)]
@@ -161,12 +161,11 @@ def test_resumed_run_completes_the_first(run, documents, rows):
 
 
 def test_written_run(run, spark, tmp_path):
-    cache_path = run.write(str(tmp_path), "docs")
-    stored = spark.read.schema(S.COMMIT_REPORT_JSON).json(str(tmp_path / "reports" / "run=*"))
-    from_documents = summary.summarize_reports(stored, "docs").first()
+    store = run.write(str(tmp_path), "docs")
+    from_documents = summary.summarize_reports(store.reports(), "docs").first()
     assert from_documents.stat_of_repository == run.summary("docs").first().stat_of_repository
-    assert json.loads(spark.read.text(str(tmp_path / "summary")).first().value)["location"] == "docs"
-    assert read_cache(spark, cache_path).count() == run.cache.count()
+    assert json.loads(store.stored_summary().first().value)["location"] == "docs"
+    assert store.cache().count() == run.cache.count()
 
 
 def test_trees_beyond_the_log_do_not_count(spark):
