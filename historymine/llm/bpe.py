@@ -240,21 +240,24 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
         import pandas as pd
 
         bpe = tree_bpe(tokenizer_path)
-        copies = int((group["leaf"] == 0).sum())  # a repeated row has the same key and the same leaves
         runs: list[list[tuple[str, np.ndarray]]] = []
-        for r in group.drop_duplicates("leaf").sort_values("leaf").itertuples():
+        for r in group.sort_values("leaf").itertuples():
             part = (r.text, np.frombuffer(r.ids, dtype="<u4").astype(np.int64))
             if r.follows:
                 runs[-1].append(part)
             else:
                 runs.append([part])
         ids = np.concatenate([bpe.join_all(run) for run in runs])
-        made = {"id": [group["id"].iloc[0]] * copies, "ids": [ids.astype("<u4").tobytes()] * copies, "decoded": [bpe.decode(ids)] * copies}
+        made = {"id": [group["id"].iloc[0]], "ids": [ids.astype("<u4").tobytes()], "decoded": [bpe.decode(ids)], "copies": [group["copies"].iloc[0]]}
         return pd.DataFrame(made)
 
     long_rows = rows.where(F.length("text") > leaf_chars).withColumn("digest", F.sha1(F.col("text").cast("binary")))
     key = f"id {id_type}, digest string, leaf int, special int, follows boolean, text string"
-    leaves = map_rows(long_rows, cut, key).repartition("id", "digest", "leaf")
-    encoded = map_rows(leaves, leaf, f"{key}, ids binary")
-    whole = encoded.groupBy("id", "digest").applyInPandas(joined, schema)
+    # Rows that repeat have the same leaves; each is shuffled, encoded and joined once.
+    same = [F.first(c).alias(c) for c in ("special", "follows", "text")]
+    leaves = map_rows(long_rows, cut, key).groupBy("id", "digest", "leaf").agg(*same, F.count(F.lit(1)).alias("copies"))
+    leaves = leaves.select("id", "digest", "leaf", "special", "follows", "text", "copies")
+    encoded = map_rows(leaves, leaf, f"{key}, copies bigint, ids binary")
+    once = encoded.groupBy("id", "digest").applyInPandas(joined, f"{schema}, copies bigint")
+    whole = once.select("id", "ids", "decoded", F.explode(F.sequence(F.lit(1), "copies")).alias("_copy")).drop("_copy")
     return map_rows(rows.where(F.length("text") <= leaf_chars), short, schema).unionByName(whole)

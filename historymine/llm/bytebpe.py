@@ -32,7 +32,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from historymine.llm.common import stored
+from historymine.llm.common import bound, stored
 
 WORDS = (  # the pattern of the vocabulary, with the white space of Unicode
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{IsWhite_Space}\p{L}\p{N}]+"
@@ -103,15 +103,10 @@ def _literal(value: object, kind: str) -> Column:
     return F.from_json(F.lit(json.dumps(value, separators=(",", ":"), ensure_ascii=False)), kind)
 
 
-def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body(value)`` with ``value`` computed once; Spark shares no subexpressions inside lambdas."""
-    return F.get(F.transform(F.array(value), body), 0)
-
-
-def _all_bound(values: list[Column], body: Callable[..., Column], *bound: Column) -> Column:
+def _all_bound(values: list[Column], body: Callable[..., Column], *before: Column) -> Column:
     if not values:
-        return body(*bound)
-    return _bound(values[0], lambda value: _all_bound(values[1:], body, *bound, value))
+        return body(*before)
+    return bound(values[0], lambda value: _all_bound(values[1:], body, *before, value))
 
 
 @dataclass(frozen=True)
@@ -138,7 +133,7 @@ class Folds:
             _literal([p.hex() for p in ranks.pieces], "array<string>"),
             _literal([len(p) for p in ranks.pieces], "array<int>"),
         ]
-        return _all_bound(tables, lambda *bound: body(cls(n, *bound)))
+        return _all_bound(tables, lambda *tables: body(cls(n, *tables)))
 
     def _rank(self, left: Column, right: Column) -> Column:
         """That of a pair of ids, or a number beyond all ranks."""
@@ -160,18 +155,18 @@ class Folds:
             return F.struct(after.alias("ids"), (F.size(ids) > 2).alias("more"))
 
         def first(ids: Column, found: Column, best: Column) -> Column:
-            at = _bound(F.array_position(found, best).cast("int") - 1, lambda k: merged(ids, best.cast("int"), k))
+            at = bound(F.array_position(found, best).cast("int") - 1, lambda k: merged(ids, best.cast("int"), k))
             return F.when(best < self.n, at).otherwise(F.struct(ids.alias("ids"), F.lit(False).alias("more")))
 
         def step(state: Column, _: Column) -> Column:
             ids = state["ids"]
             found = F.transform(ids, lambda x, i: self._rank(x, F.get(ids, i + 1)))  # null after the last
-            return F.when(state["more"], _bound(found, lambda found: _bound(F.array_min(found), lambda best: first(ids, found, best)))).otherwise(state)
+            return F.when(state["more"], bound(found, lambda found: bound(F.array_min(found), lambda best: first(ids, found, best)))).otherwise(state)
 
         def over(ids: Column) -> Column:
             return F.aggregate(ids, F.struct(ids.alias("ids"), (F.size(ids) > 1).alias("more")), step, lambda state: state["ids"])
 
-        return _bound(F.transform(F.split(F.decode(data, "ISO-8859-1"), ""), lambda c: F.get(self.of_byte, F.ascii(c))), over)
+        return bound(F.transform(F.split(F.decode(data, "ISO-8859-1"), ""), lambda c: F.get(self.of_byte, F.ascii(c))), over)
 
     def windows(self, data: Column, step: int) -> Column:
         """The ids of a long binary value from windows of two steps, or null if neighbours do not agree somewhere."""
@@ -183,7 +178,7 @@ class Folds:
             start = lambda seen, x: F.struct((seen["at"] + F.get(self.lengths, x)).alias("at"), F.concat(seen["starts"], F.array(seen["at"])).alias("starts"))
             none = F.struct((k * step).alias("at"), F.array().cast("array<int>").alias("starts"))
             starts = lambda ids: F.aggregate(ids, none, start, lambda seen: seen["starts"])
-            return _bound(part, lambda ids: F.zip_with(starts(ids), F.transform(ids, lambda x, i: F.struct(x.alias("id"), F.get(ids, i + 1).alias("next"))), self._token))
+            return bound(part, lambda ids: F.zip_with(starts(ids), F.transform(ids, lambda x, i: F.struct(x.alias("id"), F.get(ids, i + 1).alias("next"))), self._token))
 
         def agreed(all_: Column) -> Column:
             """Where the tokens of a window end and those of the next one begin: the start of the later of two tokens that both have."""
@@ -196,7 +191,7 @@ class Folds:
             kept = F.transform(F.sequence(F.lit(0), count - 1), lambda k: F.transform(F.filter(F.get(all_, k), inside(k)), lambda t: t["id"]))
             return F.when(~F.exists(cuts, lambda c: c.isNull()), F.flatten(kept))
 
-        return _bound(F.transform(F.sequence(F.lit(0), count - 1), window), lambda all_: _bound(agreed(all_), lambda cuts: joined(all_, cuts)))
+        return bound(F.transform(F.sequence(F.lit(0), count - 1), window), lambda all_: bound(agreed(all_), lambda cuts: joined(all_, cuts)))
 
     @staticmethod
     def _token(start: Column, ids: Column) -> Column:
@@ -272,12 +267,12 @@ def encode(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: s
     def looked_up(table: Column, word: Column, otherwise: Column) -> Column:
         """A word's tokens by the table, or else ``otherwise``."""
         after = F.call_function("substring_index", F.get(table, _slot(word)), F.concat(F.lit(_KEY), word, F.lit(_VALUE)), F.lit(-1))
-        return _bound(F.substring_index(after, _KEY, 1), lambda found: F.when(found != "", found).otherwise(otherwise))
+        return bound(F.substring_index(after, _KEY, 1), lambda found: F.when(found != "", found).otherwise(otherwise))
 
     def encoded(folds: Folds, table: Column) -> Column:
         of_word = lambda word: looked_up(table, word, folds.string(folds.word(word)))
         of_unit = lambda unit: looked_up(table, unit, F.array_join(F.transform(_words(unit), of_word), ""))
-        return _bound(F.array_join(F.transform(units(F.col("text")), of_unit), ""), lambda tokens: finished(folds, tokens))
+        return bound(F.array_join(F.transform(units(F.col("text")), of_unit), ""), lambda tokens: finished(folds, tokens))
 
     def finished(folds: Folds, tokens: Column) -> Column:
         ids = F.encode(F.concat(F.array_join(F.split(tokens, ""), "\0"), F.lit("\0")), "UTF-16LE")
@@ -285,5 +280,5 @@ def encode(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: s
         return F.when(tokens != "", whole).otherwise(F.struct(F.lit(b"").alias("ids"), F.lit(b"").alias("decoded")))
 
     table = _literal(frequent(rows, ranks), "array<string>")
-    made = Folds.over(ranks, lambda folds: _bound(table, lambda table: encoded(folds, table)))
+    made = Folds.over(ranks, lambda folds: bound(table, lambda table: encoded(folds, table)))
     return rows.select("id", made.alias("_")).select("id", "_.ids", "_.decoded")

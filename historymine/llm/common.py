@@ -71,6 +71,39 @@ def hash_share(key: Column, wanted: int, of: int) -> Column:
     return F.pmod(F.xxhash64(key, F.lit("sample")), F.lit(scale)) < int(scale * (wanted / of))
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once; Spark shares no subexpressions inside lambdas."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+CHUNK = 256  # values that one fold appends before it starts a new array
+
+
+def chunked(values: Column) -> Column:
+    """An array cut into arrays of at most ``CHUNK`` values."""
+    starts = lambda v: F.filter(F.sequence(F.lit(1), F.size(v) + 1, F.lit(CHUNK)), lambda at: at <= F.size(v))
+    return bound(values, lambda v: F.transform(starts(v), lambda at: F.slice(v, at, F.lit(CHUNK))))
+
+
+def running(values: Column, seed: Column, step: Callable[[Column, Column], tuple[Column, Column]], kind: str) -> Column:
+    """What a fold puts out at each value, as an array of ``kind`` without nulls: ``step(state, value)`` gives the next state and the output.
+
+    An array that grows by one value is copied whole each time, so outputs are
+    gathered in chunks, and the time stays in proportion to the values.
+    """
+    none, nothing = F.array().cast(f"array<{kind}>"), F.array().cast(f"array<array<{kind}>>")
+
+    def one(acc: Column, value: Column) -> Column:
+        state, out = step(acc["state"], value)
+        return F.struct(state.alias("state"), F.concat(acc["out"], F.array(out.cast(kind))).alias("out"))
+
+    def some(acc: Column, chunk: Column) -> Column:
+        after = F.aggregate(chunk, F.struct(acc["state"].alias("state"), none.alias("out")), one)
+        return bound(after, lambda a: F.struct(a["state"].alias("state"), F.concat(acc["out"], F.array(a["out"])).alias("out")))
+
+    return F.aggregate(chunked(values), F.struct(seed.alias("state"), nothing.alias("out")), some, lambda acc: F.array_compact(F.flatten(acc["out"])))
+
+
 def crc_mod5(doc_id: str) -> Column:
     """crc32 of the id as text, modulo 5; null for a null id."""
     return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(5))

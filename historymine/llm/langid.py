@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from historymine.llm.common import crc_mod5, hash_share, map_rows
 
-LETTER_RUN = re.compile(r"[^\W\d_]+")
+WORD_RUN = re.compile(r"[^\W\d_]+")
 UNDETERMINED = "und"
 WORD_CHARS = 48  # longer runs of letters are scored in parts of this length
 KEPT_WORDS = 150_000
@@ -151,10 +151,19 @@ def _alike(words: list[str], at_once: int = 512) -> Iterator[np.ndarray]:
         yield order[start : start + at_once]
 
 
+def _letter_runs(text: str) -> Iterator[str]:
+    """Runs of letters, the Unicode classes L; other numerals than digits, such as fractions, are none."""
+    for run in WORD_RUN.findall(text):
+        if run.isalpha():
+            yield run
+        else:
+            yield from "".join(c if c.isalpha() else " " for c in run).split()
+
+
 def words_of(text: str) -> list[str]:
     """Runs of letters, lower-cased, with a mark for the word start; very long runs in parts."""
     out = []
-    for run in LETTER_RUN.findall(text.lower()):
+    for run in _letter_runs(text.lower()):
         if len(run) < WORD_CHARS:
             out.append("▁" + run)
         else:

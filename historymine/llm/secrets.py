@@ -16,7 +16,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from historymine.llm.common import stored
+from historymine.llm.common import bound, chunked, running, stored
 
 # The declared kinds in their order, what a match looks like, which group has to be how long.
 BASE = [
@@ -60,22 +60,19 @@ def _places(text: Column, pattern: str, group: int) -> Column:
     The texts between the matches come from ``split``, which stops at the same
     places, so positions are running sums of lengths.
     """
-    kind = "array<struct<start:int,end:int,value:string>>"
+    kind = "struct<start:int,end:int,value:string>"
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     values = hits if group == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
     found = F.zip_with(hits, values, lambda h, v: F.struct(F.length(h).alias("length"), v.alias("value")))
     steps = F.zip_with(F.split(text, pattern, -1), found, lambda g, m: F.struct(F.length(g).alias("gap"), m.alias("match")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("found"))
 
-    def add(acc: Column, step: Column) -> Column:
-        begin = acc["at"] + step["gap"]
+    def add(at: Column, step: Column) -> tuple[Column, Column]:
+        begin = at + step["gap"]
         end = begin + step["match"]["length"]
-        match = F.array(F.struct(begin.alias("start"), end.alias("end"), step["match"]["value"].alias("value")))
-        return F.struct(
-            F.coalesce(end, begin).alias("at"), F.when(end.isNull(), acc["found"]).otherwise(F.concat(acc["found"], match)).cast(kind).alias("found")
-        )
+        match = F.when(end.isNotNull(), F.struct(begin.alias("start"), end.alias("end"), step["match"]["value"].alias("value")))
+        return F.coalesce(end, begin), match
 
-    return F.when(text.rlike(pattern), F.aggregate(steps, start, add)["found"]).otherwise(F.array().cast(kind))
+    return F.when(text.rlike(pattern), running(steps, F.lit(0), add, kind)).otherwise(F.array().cast(f"array<{kind}>"))
 
 
 def _span(start: Column, kind: Column, end: Column) -> Column:
@@ -120,30 +117,62 @@ def _neighbours(values: Column, of: Callable[[Column, Column], Column]) -> Colum
 
 
 def _p_value(value: Column, settings: Battery) -> Column:
-    """p-value of a token under the smallest alphabet that holds it; 1 where a test of order rejects randomness."""
+    """p-value of a token under the smallest alphabet that holds it; 1 where a test of order rejects randomness.
+
+    Null for tokens of words or numbers alone. The time is in proportion to the token.
+    """
     alphabet = F.lit(None).cast("string")
     for letters in reversed(ALPHABETS.values()):
         inside = value.rlike("^[" + letters.replace("-", r"\-") + "]+$")
         alphabet = F.when(inside, F.lit(letters)).otherwise(alphabet)
-    size, n = F.length(alphabet).cast("double"), F.length(value).cast("double")
-    digits = F.transform(F.regexp_extract_all(value, F.lit("."), F.lit(0)), lambda c: (F.position(c, alphabet) - 1).cast("double"))
+    mixed = value.rlike("[0-9]") & value.rlike("[A-Za-z]")  # words alone and numbers alone are prose
+    chars = F.regexp_extract_all(value, F.lit("."), F.lit(0))
 
-    squares = F.transform(F.sequence(F.lit(1), F.length(alphabet)), lambda d: F.pow(F.size(F.filter(digits, lambda v: v == d - 1)).cast("double"), F.lit(2.0)))
-    chi_squared = _total(squares) * size / n - n
+    def tested(alphabet: Column) -> Column:
+        digits = F.transform(chars, lambda c: (F.position(c, alphabet) - 1).cast("double"))
+        return bound(digits, lambda digits: _tests(value, alphabet, digits, settings))
+
+    return F.when(mixed, bound(alphabet, lambda alphabet: F.when(alphabet.isNotNull(), tested(alphabet))))
+
+
+def _tests(value: Column, alphabet: Column, digits: Column, settings: Battery) -> Column:
+    size, n = F.length(alphabet).cast("double"), F.length(value).cast("double")
+    counts = F.transform(F.split(alphabet, ""), lambda letter: n - F.length(F.replace(value, letter, F.lit(""))).cast("double"))
+    chi_squared = _total(F.transform(counts, lambda k: F.pow(k, F.lit(2.0)))) * size / n - n
     mean = (size - 1) + settings.excess * (n - 1)
     spread = F.sqrt(2 * (size - 1) + 4 * settings.excess * (n - 1))
     p = _tail((mean - chi_squared) / spread)
 
-    above = F.transform(digits, lambda v: (v >= size / 2).cast("double"))
-    n_above = _total(above)
-    expected = 2 * n_above * (n - n_above) / n
-    variance = expected * (expected - 1) / (n - 1)
-    runs = F.abs(_neighbours(above, lambda a, b: a != b) - expected) / F.sqrt(F.greatest(variance, F.lit(1e-9)))
-    middle = (size - 1) / 2
-    serial = F.abs(_neighbours(digits, lambda a, b: (a - middle) * (b - middle))) / (F.sqrt(n - 1) * (size * size - 1) / 12)
-    ordered = (2 * _tail(runs) < settings.least_p) | (2 * _tail(serial) < settings.least_p)
-    mixed = value.rlike("[0-9]") & value.rlike("[A-Za-z]")  # words alone and numbers alone are prose
-    return F.when(mixed & alphabet.isNotNull(), F.when(ordered, 1.0).otherwise(p))
+    def ordered(above: Column) -> Column:
+        n_above = _total(above)
+        expected = 2 * n_above * (n - n_above) / n
+        variance = expected * (expected - 1) / (n - 1)
+        runs = F.abs(_neighbours(above, lambda a, b: a != b) - expected) / F.sqrt(F.greatest(variance, F.lit(1e-9)))
+        middle = (size - 1) / 2
+        serial = F.abs(_neighbours(digits, lambda a, b: (a - middle) * (b - middle))) / (F.sqrt(n - 1) * (size * size - 1) / 12)
+        return (2 * _tail(runs) < settings.least_p) | (2 * _tail(serial) < settings.least_p)
+
+    return bound(F.transform(digits, lambda v: (v >= size / 2).cast("double")), lambda above: F.when(ordered(above), 1.0).otherwise(p))
+
+
+def _free(tokens: Column, base: Column) -> Column:
+    """The tokens that overlap no declared secret, by one pass over both from each end."""
+    kind = "struct<start:int,end:int,value:string,covered:boolean>"
+    as_rows = lambda spans, value, covered: F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), value(s).alias("value"), covered(s).alias("covered")).cast(kind))
+    rows = F.array_sort(F.concat(as_rows(base, lambda s: F.lit(None), lambda s: F.lit(None)), as_rows(tokens, lambda s: s["value"], lambda s: F.lit(False))))
+
+    def after(end: Column, row: Column) -> tuple[Column, Column]:
+        """``end``: how far the secrets that start no later reach."""
+        marked = F.struct(row["start"].alias("start"), row["end"].alias("end"), row["value"].alias("value"), (row["start"] < end).alias("covered"))
+        return F.when(row["value"].isNull(), F.greatest(end, row["end"])).otherwise(end), marked
+
+    def before(start: Column, row: Column) -> tuple[Column, Column]:
+        """``start``: where the first of the secrets that start later begins."""
+        kept = F.when(row["value"].isNotNull() & ~row["covered"] & (row["end"] <= start), row)
+        return F.when(row["value"].isNull(), F.least(start, row["start"])).otherwise(start), kept
+
+    kept = F.reverse(running(F.reverse(running(rows, F.lit(0), after, kind)), F.lit((1 << 31) - 1), before, kind))
+    return F.when(F.size(base) > 0, F.transform(kept, lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), t["value"].alias("value")))).otherwise(tokens)
 
 
 def _threshold(steps: DataFrame, rate: float) -> int:
@@ -170,20 +199,19 @@ def find_secrets(docs: DataFrame, carried: Sequence[str] = ("doc_id",), settings
     A null text counts as empty and has no spans; rows keep their number and may
     repeat or lack an id; an empty table gives an empty one. The texts are
     matched once; a table of what was found is stored, since whether a p-value
-    is small enough depends on all of them.
+    is small enough depends on all of them. The time is in proportion to the texts,
+    however long one of their tokens is and however many matches one has.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    tokens = F.transform(
-        F.filter(_places(text, TOKEN, 0), lambda m: m["value"].rlike("[0-9]")),
-        lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), _p_value(m["value"], settings).alias("p")),
-    )
-    step = lambda p: F.least(F.floor(-F.log10(F.greatest(p, F.lit(1e-300))) * STEPS), F.lit(LAST_STEP)).cast("int")
-    found = docs.select(F.struct(*carried).alias("row"), _base_spans(text).alias("base"), tokens.alias("tokens"))
-    free = F.filter("tokens", lambda t: t["p"].isNotNull() & ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
-    found = stored(
-        found.select("row", "base", F.transform(free, lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), step(t["p"]).alias("step"))).alias("tokens")),
-        "secrets",
-    )
+    down = lambda p: F.least(F.floor(-F.log10(F.greatest(p, F.lit(1e-300))) * STEPS), F.lit(LAST_STEP)).cast("int")
+    step = lambda p: bound(p, lambda p: F.when(p.isNotNull(), down(p)))
+
+    def tested(base: Column) -> Column:
+        tokens = F.filter(_places(text, TOKEN, 0), lambda m: m["value"].rlike("[0-9]"))
+        steps = F.transform(_free(tokens, base), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), step(_p_value(m["value"], settings)).alias("step")))
+        return F.struct(base.alias("base"), F.filter(steps, lambda t: t["step"].isNotNull()).alias("tokens"))
+
+    found = stored(docs.select(F.struct(*carried).alias("row"), bound(_base_spans(text), tested).alias("_")).select("row", "_.base", "_.tokens"), "secrets")
     least = _threshold(found.select(F.explode("tokens.step").alias("step")), settings.rate)
     random = F.transform(F.filter("tokens", lambda t: t["step"] >= least), lambda t: _span(t["start"], F.lit(len(BASE)), t["end"]))
     return found.select("row.*", "base", F.array_sort(F.concat("base", random)).alias("spans"))
@@ -197,12 +225,21 @@ def listed(spans: str) -> Column:
 
 def redacted(text: str, spans: str, mark: str = "[secret]") -> Column:
     """The text with ``mark`` in place of each span; spans that overlap become one."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    whole = F.col(text)
+    none = F.array().cast("array<string>")
+
+    def add(acc: Column, s: Column, part: Column, begin: Column) -> Column:
+        kept = F.concat(F.substring(part, acc["at"] - begin + 1, s["start"] - acc["at"]), F.lit(mark))
+        return F.struct(
+            F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.array(kept))).otherwise(acc["out"]).alias("out")
+        )
 
-    def add(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["at"]
-        kept = F.concat(acc["out"], F.substring(F.col(text), acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, kept).otherwise(acc["out"]).alias("out"))
+    def add_chunk(acc: Column, chunk: Column) -> Column:
+        """Only the part of the text up to the last of a chunk of spans is walked for each of them."""
+        part = F.substring(whole, acc["at"] + 1, F.greatest(F.get(chunk, F.size(chunk) - 1)["start"] - acc["at"], F.lit(0)))
+        inside = lambda part: F.aggregate(chunk, F.struct(acc["at"].alias("at"), none.alias("out")), lambda a, s: add(a, s, part, acc["at"]))
+        return bound(bound(part, inside), lambda a: F.struct(a["at"].alias("at"), F.concat(acc["out"], F.array(F.array_join(a["out"], ""))).alias("out")))
 
-    done = lambda acc: F.concat(acc["out"], F.substring(F.col(text), acc["at"] + 1, F.length(text)))
-    return F.when(F.size(spans) > 0, F.aggregate(spans, start, add, done)).otherwise(F.col(text))
+    start = F.struct(F.lit(0).alias("at"), none.alias("out"))
+    done = lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(whole, acc["at"] + 1, F.length(whole)))
+    return F.when(F.size(spans) > 0, F.aggregate(chunked(F.col(spans)), start, add_chunk, done)).otherwise(whole)

@@ -44,3 +44,11 @@ def test_encode_rows(spark, leaf_chars):
 
 def test_empty_table(spark):
     assert bpe.encode(spark.createDataFrame([], SCHEMA), PATH).collect() == []
+
+
+def test_many_equal_long_rows_are_joined_once(spark):
+    """10,000 copies of a long text, with one id and without, meet as one row of leaves."""
+    text = "".join(PARTS * 30)
+    rows = spark.range(10_000).selectExpr("IF(id % 2 = 0, 7, NULL) AS doc_id").crossJoin(spark.createDataFrame([(text,)], "text string"))
+    got = bpe.encode(rows, PATH, leaf_chars=500).groupBy("id", "ids", "decoded").count().collect()
+    assert sorted((r.id is None, unpack(r.ids), r["count"]) for r in got) == [(k, expected(text)[0], 5000) for k in (False, True)]

@@ -77,3 +77,13 @@ def test_held_out_documents(spark):
     got = queries.op6_language_id(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), "doc_id")
     rows = got.where("held_out and n_chars > 20").collect()
     assert np.mean([r.lang_pred == r.lang for r in rows]) > 0.97
+
+
+def test_numerals_are_no_letters(spark):
+    """Fractions, circled and superscript numbers and Roman numerals have no letter, as in the filter of the fit."""
+    assert langid.words_of("½ ² ① Ⅳ 一 x½y") == ["▁一", "▁x", "▁y"]
+    model = langid.fit(spark.createDataFrame(documents(), SCHEMA), PATH)
+    texts = ["½ ² ①", "Ⅳ ⅸ", "12 !", None, "", "kalo½"]
+    got = langid.predict(spark.createDataFrame([(i, t, None, "x", 1, "y") for i, t in enumerate(texts)], SCHEMA), model).collect()
+    assert {r.doc_id: r.lang_pred == "und" for r in got} == {0: True, 1: True, 2: True, 3: True, 4: True, 5: False}
+    assert [i for i, t in enumerate(texts) if spark.createDataFrame([(t,)], "t string").where(r"t rlike '\\p{L}'").count()] == [5]

@@ -2,6 +2,9 @@ import base64
 import math
 import random
 import re
+import time
+
+from pyspark.sql import functions as F
 
 from historymine.llm import secrets
 
@@ -74,3 +77,33 @@ def test_redacted_and_listed(spark):
 
 def test_empty_table(spark):
     assert secrets.find_secrets(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_many_matches_and_overlaps(spark):
+    """Tokens before, between, inside and around declared secrets, hundreds in one text, against plain search."""
+    draw = random.Random(6)
+    parts = [lambda: base64.b64encode(draw.randbytes(36)).decode(), lambda: draw.randbytes(20).hex(), lambda: "token=" + draw.randbytes(9).hex(), lambda: "words", lambda: "é/" + draw.randbytes(12).hex() + "+/Zz9", lambda: "AKIA" + "B7" * 9]
+    texts = [draw.choice([" ", "/", ": "]).join(draw.choice(parts)() for _ in range(n)) for n in (3, 40, 300, 700) for _ in range(6)]
+    df = secrets.find_secrets(spark.createDataFrame([(i, t, "", 0, "", 0) for i, t in enumerate(texts)], SCHEMA), carried=("doc_id", "text"))
+    got = {r[0]: ([tuple(s) for s in r[1]], r[2]) for r in df.select("doc_id", "spans", secrets.redacted("text", "spans")).collect()}
+    for i, (text, wanted) in enumerate(zip(texts, brute(texts, secrets.Battery()))):
+        assert got[i][0] == wanted
+        out, at = [], 0
+        for start, _, end in wanted:
+            if start >= at:
+                out += [text[at:start], "[secret]"]
+            at = max(at, end)
+        assert got[i][1] == "".join(out) + text[at:]
+
+
+def test_time_is_in_proportion_to_long_tokens_and_many_matches(spark):
+    draw = random.Random(7)
+    token = base64.b64encode(draw.randbytes(750_000)).decode()
+    text = "é" + " ".join(f"token={draw.getrandbits(64):016x} {base64.b64encode(draw.randbytes(30)).decode()}" for _ in range(20_000))
+    rows = [(1, "an image " + token, "", 0, "", 0), (2, text, "", 0, "", 0)]
+    start = time.perf_counter()
+    df = secrets.find_secrets(spark.createDataFrame(rows, SCHEMA).repartition(2), carried=("doc_id", "text"))
+    got = {r.doc_id: (r.n, r.found, r.left) for r in df.select("doc_id", F.size("base").alias("n"), F.size("spans").alias("found"), F.length(secrets.redacted("text", "spans")).alias("left")).collect()}
+    assert got[1][0] == 0 and got[1][1] == 1 and got[1][2] == len("an image [secret]")
+    assert got[2][0] == 20_000 and got[2][2] < len(text)
+    assert time.perf_counter() - start < 120
