@@ -10,6 +10,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from historymine.functions.ordinals import number_rows
 from historymine.llm import bpe, langid, minhash, mixing, secrets
 from historymine.llm.common import stored, table
 from historymine.llm.queries import language_model, token_digests
@@ -24,16 +25,31 @@ def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.where(F.col("lang_pred") != langid.UNDETERMINED).select(*[lang if c == "lang" else F.col(c) for c in COLUMNS])
 
 
+def _own_ids(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``_digest`` of the text and ``_key``: the id, but another one for every further text that shares it.
+
+    Which ids have unlike texts is known from two digests per id; their texts are as few as there are such rows.
+    """
+    digest = F.coalesce(F.sha2(F.col("text").cast("binary"), 256), F.lit("")).alias("_digest")
+    named = docs.where("doc_id is not null").select(*COLUMNS, digest)
+    shared = named.groupBy("doc_id").agg(F.min("_digest").alias("_first"), F.max("_digest").alias("_last")).where("_first <> _last")
+    further = named.select("doc_id", "_digest").join(shared, "doc_id").where("_digest <> _first").select("doc_id", "_digest").distinct()
+    further = stored(number_rows(further, ["doc_id", "_digest"], "_n", start=1), "pipeline-shared-ids")
+    top = docs.agg(F.coalesce(F.max("doc_id"), F.lit(0))).scalar()
+    return named.join(further, ["doc_id", "_digest"], "left").withColumn("_key", F.coalesce(top + F.col("_n"), F.col("doc_id"))).drop("_n")
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the smallest id of each group of documents alike at 0.8 or more in shingles of five words; rows without id stay.
+    """Keep one document of each group alike at 0.8 or more in shingles of five words, that of the smallest id; rows without id stay.
 
-    Rows that repeat the kept id are repeats of it, so one of them is kept, the smallest by its columns.
+    Rows that share an id are one document only if their texts are equal; of these the
+    smallest by its columns stays. Unlike texts of one id stand or fall on their own.
     """
     docs = docs.select(*COLUMNS)
-    kept = minhash.near_duplicates(docs).where("kept").select("doc_id").distinct()
-    ided = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi")
-    one = ided.groupBy("doc_id").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("row"))
-    return one.select("doc_id", "row.*").unionByName(docs.where("doc_id is null"))
+    keyed = _own_ids(docs)
+    kept = minhash.near_duplicates(keyed.select(F.col("_key").alias("doc_id"), "text")).where("kept").select(F.col("doc_id").alias("_key")).distinct()
+    one = keyed.join(kept, "_key", "left_semi").groupBy("_key").agg(F.min(F.struct(*COLUMNS)).alias("row"))
+    return one.select("row.*").unionByName(docs.where("doc_id is null"))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
