@@ -248,6 +248,14 @@ WHERE rule <> 'LongLine' OR lang = 'en'""",
     "analyzer_errors": _with(
         SNAPS, body="SELECT DISTINCT hash, 'cannot analyze a file with @' AS error FROM snaps WHERE content LIKE '%@%'"
     ),
+    "analyzer_supervised": _with(
+        SNAPS,
+        SCAN,
+        body="""
+, marked AS (SELECT DISTINCT hash, CASE WHEN length(content) % 2 = 1 THEN 'hang' ELSE 'crash' END AS failure FROM snaps WHERE content LIKE '%@%')
+SELECT hash, rule, line, NULL AS failure FROM found WHERE rule = 'LongNumber' AND hash NOT IN (SELECT hash FROM marked)
+UNION ALL SELECT hash, NULL, NULL, failure FROM marked""",
+    ),
     # --- findings and reports
     "rule_key_fallback": _with(FINDINGS, body="SELECT rule_key AS rule, count(*) AS n FROM keyed GROUP BY ALL"),
     "rule_key_drop": _with(FINDINGS, body="SELECT rule, count(*) AS n FROM keyed WHERE rule <> '' GROUP BY ALL"),

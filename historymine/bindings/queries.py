@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -263,6 +265,25 @@ def findings_by_commit(spark, sf):
     return reports.findings_by_file(V.snapshots(spark, sf), found).select("seq", "path", "rule", "line")
 
 
+def unreliable(pattern, rule, ruleset, fail_on):
+    """Like ``line_pattern_analyzer``; a file with ``fail_on`` ends the process, or, if it has an odd number of characters, is never done."""
+
+    def factory():
+        plain = analyzers.line_pattern_analyzer(pattern, rule, ruleset)()
+
+        def analyzer(batch):
+            marked = batch["content"][batch["content"].str.contains(fail_on, regex=False)]
+            while any(len(text) % 2 for text in marked):
+                time.sleep(1)
+            if len(marked):
+                os._exit(3)
+            return plain(batch)
+
+        return analyzer
+
+    return factory
+
+
 def _distinct_contents(spark, sf):
     files = V.contents(spark, sf)
     firsts = materialize(content.content_index(files).select("seq", "path"), "firsts")
@@ -282,6 +303,14 @@ def analyzer_errors(spark, sf):
     return analyzers.analyzer_errors(analyzers.analyze(_distinct_contents(spark, sf), factory))
 
 
+@query
+def analyzer_supervised(spark, sf):
+    """An analyzer that ends its process on some marked files and never returns on others; each costs one error."""
+    outcome = analyzers.analyze(_distinct_contents(spark, sf), unreliable("[0-9]{3,}", "LongNumber", "numbers", fail_on="@"), seconds=1.5)
+    kind = F.when(F.col("error").contains("longer than"), "hang").when(F.col("error").contains("exit code 3"), "crash").otherwise(F.col("error"))
+    return outcome.select("hash", "rule", "line", kind.alias("failure"))
+
+
 # --- findings and reports ---------------------------------------------------
 
 

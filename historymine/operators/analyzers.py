@@ -8,6 +8,8 @@ from collections.abc import Callable, Iterator, Sequence
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from historymine.operators.supervised import AnalyzerTimeout, Supervised
+
 FINDING_COLUMNS = ["rule", "ruleset", "line", "message"]
 FILES_PER_CALL = 32
 
@@ -17,7 +19,7 @@ Analyzer = Callable[[pd.DataFrame], pd.DataFrame]
 
 
 def analyze(
-    files: DataFrame, factory: Callable[[], Analyzer], keys: Sequence[str] = ("hash",), content: str = "content"
+    files: DataFrame, factory: Callable[[], Analyzer], keys: Sequence[str] = ("hash",), content: str = "content", seconds: float | None = None
 ) -> DataFrame:
     """``(keys, rule, ruleset, line, message, error)``.
 
@@ -26,6 +28,11 @@ def analyze(
     and a few repeated calls, and nothing else; a result of wrong types or for
     files that were not given is such a failure. Large files need a session with
     ``spark.sql.execution.arrow.maxBytesPerBatch`` set.
+
+    With ``seconds`` the analyzer runs in a process of its own, one per task. A call
+    that takes longer, or during which the process ends, is a failure like the
+    others, and the process is started again; after a timeout the files of the
+    call are tried one by one, so that a file that hangs costs the limit twice.
     """
     keys = list(keys)
     columns = [*keys, *FINDING_COLUMNS, "error"]
@@ -46,7 +53,14 @@ def analyze(
         return found
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        analyzer = factory()
+        analyzer = factory() if seconds is None else Supervised(factory, seconds)
+        try:
+            yield from analyzed(analyzer, batches)
+        finally:
+            if seconds is not None:
+                analyzer.close()
+
+    def analyzed(analyzer: Analyzer, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             pending = [batch.iloc[i : i + FILES_PER_CALL].reset_index(drop=True) for i in range(0, len(batch), FILES_PER_CALL)]
             while pending:
@@ -54,11 +68,11 @@ def analyze(
                 try:
                     yield checked(analyzer(part), part)
                 except Exception as error:
-                    half = len(part) // 2
-                    if half == 0:
+                    size = 1 if isinstance(error, AnalyzerTimeout) else -(-len(part) // 2)
+                    if len(part) == 1:
                         yield shaped(part[keys].assign(error=str(error)))
                     else:
-                        pending += [part.iloc[half:].reset_index(drop=True), part.iloc[:half].reset_index(drop=True)]
+                        pending += [part.iloc[i : i + size].reset_index(drop=True) for i in reversed(range(0, len(part), size))]
 
     text = T.StringType()
     found = [T.StructField(c, T.IntegerType() if c == "line" else text) for c in [*FINDING_COLUMNS, "error"]]

@@ -29,6 +29,9 @@ from historymine.sources.rules import Rule, ruleset_id
 from historymine.sources.snapshots import with_hash
 
 
+ANALYZER_SECONDS = 600.0  # per call
+
+
 @dataclass
 class MiningRun:
     """Results of a run; every field is a DataFrame, computed when it is used.
@@ -111,13 +114,13 @@ def summarize_commits(commits: DataFrame, by_rule: DataFrame, location: str, inc
 
 
 def _scan(
-    snapshots: DataFrame, wanted: DataFrame, rules: Iterable[Rule] | None, analyzer: Callable[[], Analyzer] | None
+    snapshots: DataFrame, wanted: DataFrame, rules: Iterable[Rule] | None, analyzer: Callable[[], Analyzer] | None, seconds: float | None
 ) -> tuple[DataFrame, DataFrame | None]:
     """Findings, and errors of a Python analyzer, for the wanted first occurrences."""
     if analyzer is None:
         return scan_contents(snapshots, rules, wanted), None
     # an analyzer costs more than a shuffle: give it every content exactly once
-    outcome = materialize(analyze(pick_rows(snapshots, wanted, ["seq", "path"]), analyzer), "outcome")
+    outcome = materialize(analyze(pick_rows(snapshots, wanted, ["seq", "path"]), analyzer, seconds=seconds), "outcome")
     return analyzer_findings(outcome), analyzer_errors(outcome)
 
 
@@ -143,6 +146,7 @@ def mine_history(
     done: DataFrame | None = None,
     analyzer: Callable[[], Analyzer] | None = None,
     analyzer_id: str | None = None,
+    analyzer_seconds: float | None = ANALYZER_SECONDS,
 ) -> MiningRun:
     """Analyze what each commit changed, every distinct content once.
 
@@ -156,6 +160,9 @@ def mine_history(
     them the documents of cached contents are complete. New cache entries get
     ``cache_version``, one above the highest stored version unless it is given.
     Trees of commits that are not in the log are left out.
+
+    An ``analyzer`` runs in a process of its own per task, at most ``analyzer_seconds``
+    per call of up to 32 files; None runs it inside the task.
     """
     rules = list(rules)
     identity = _identity(rules, analyzer, analyzer_id)
@@ -183,7 +190,7 @@ def mine_history(
     files = mark_hits(selected, misses)
 
     scannable = snapshots.where(has_suffix("path", suffix)).select("seq", "path", "hash", "content", *(["lang"] if "lang" in snapshots.columns else []))
-    found, failed = _scan(scannable, misses, rules, analyzer)
+    found, failed = _scan(scannable, misses, rules, analyzer, analyzer_seconds)
     findings = materialize(found, "findings")
     tallies = rule_tally(findings)
 

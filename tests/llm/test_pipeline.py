@@ -109,7 +109,7 @@ def test_unlike_texts_of_one_id_stay(spark):
     unlike = [" ".join(f"{w}{i}" for i in range(40)) for w in "abc"]
     made = [(1, unlike[0]), (1, unlike[1]), (1, unlike[1]), (2, unlike[1] + " z"), (3, None), (3, unlike[2]), (4, unlike[2]), (None, unlike[0]), (None, unlike[0])]
     docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in made], "doc_id bigint, text string, lang string, source string, n_chars bigint")
-    got = corpus_pipeline.near_duplicates(spark, docs, "")
+    got = pipeline.near_duplicates(spark, docs, "")
     assert got.columns == COLUMNS
     found = Counter((r[0], r[1]) for r in rows(got))
     families = Counter({unlike[0]: 3, unlike[1]: 1, unlike[2]: 1, None: 1})

@@ -1,5 +1,8 @@
 """Rules, scanning and Python analyzers."""
 
+import os
+import signal
+import time
 from collections import Counter
 
 import pytest
@@ -10,6 +13,7 @@ from historymine import schema as S
 from historymine.bindings import views as V
 from historymine.functions import pick_rows
 from historymine.operators import analyzers, content, scan
+from historymine.plans import mine_history
 from historymine.session import materialize
 from historymine.sources import Rule, load_rules
 
@@ -106,6 +110,63 @@ def test_analyzer_isolates_bad_files(spark, rows):
     assert analyzers.analyzer_findings(outcome).count() == 97
 
 
+def test_analyzer_that_crashes_or_hangs(spark, rows):
+    """Each file that ends the process, kills it or never returns costs one error; no other file is touched."""
+    words = {13: "exit", 14: "kill", 40: "hang", 41: "hang", 77: "raise", 99: "exit"}
+    files = _files(spark, *[f"{i:03d} {words.get(i, 'fine')}" for i in range(100)]).coalesce(2)
+
+    def factory():
+        def analyzer(batch):
+            text = " ".join(batch["content"])
+            if "exit" in text:
+                os._exit(3)
+            if "kill" in text:
+                os.kill(os.getpid(), signal.SIGKILL)
+            if "raise" in text:
+                raise ValueError("not this one")
+            while "hang" in text:
+                time.sleep(0.1)
+            return batch[["hash"]].assign(rule="R", ruleset="S", line=1, message=None)
+
+        return analyzer
+
+    outcome = analyzers.analyze(files, factory, seconds=0.7).cache()
+    assert rows(analyzers.analyzer_errors(outcome)) == [
+        ("h13", "the analyzer ended with exit code 3"), ("h14", "the analyzer was ended by signal 9"), ("h40", "the analyzer took longer than 0.7 seconds"),
+        ("h41", "the analyzer took longer than 0.7 seconds"), ("h77", "not this one"), ("h99", "the analyzer ended with exit code 3"),
+    ]
+    assert analyzers.analyzer_findings(outcome).count() == 94
+
+
+def test_analyzer_that_cannot_start(spark, rows):
+    def factory():
+        os._exit(5)
+
+    outcome = analyzers.analyze(_files(spark, "a", "b"), factory, seconds=1.0)
+    assert rows(analyzers.analyzer_errors(outcome)) == [("h0", "the analyzer ended with exit code 5"), ("h1", "the analyzer ended with exit code 5")]
+
+
+def test_supervised_run(spark, rows):
+    """A commit with a file on which the analyzer hangs fails alone, and the run goes on."""
+    log = spark.createDataFrame([(0, "c0"), (1, "c1"), (2, "c2")], "seq BIGINT, commit STRING")
+    trees = spark.createDataFrame([(0, "a.java", "123"), (1, "a.java", "123 hang"), (2, "a.java", "456")], "seq BIGINT, path STRING, content STRING")
+    plain = analyzers.line_pattern_analyzer("[0-9]{3}", "N", "s")
+
+    def factory():
+        analyzer = plain()
+
+        def slow(batch):
+            while batch["content"].str.contains("hang").any():
+                time.sleep(0.1)
+            return analyzer(batch)
+
+        return slow
+
+    run = mine_history(log, trees, analyzer=factory, analyzer_id="n", analyzer_seconds=0.7)
+    assert rows(run.errors, "commit", "error") == [("c1", "a.java: the analyzer took longer than 0.7 seconds")]
+    assert rows(run.commits, "commit", "findings") == [("c0", 1), ("c2", 1)]
+
+
 def test_analyzer_agrees_with_rule(spark, rows):
     files = _files(spark, "a1\nb\n2", "none", "3\n3")
     by_rule = scan.rule_scan(files, [Rule("N", "s", "line_regex", "[0-9]")])
