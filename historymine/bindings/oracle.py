@@ -520,3 +520,19 @@ SELECT (SELECT count(*) FROM commits) AS number_of_commits,
 FROM marked JOIN tally USING (hash) GROUP BY rule""",
 )
 ORACLE["mine_history_repeated"] = ORACLE["mine_history_resumed_summary"]
+ORACLE["mine_full_tree_failures"] = _with(
+    COMMITS,
+    SNAPS,
+    SCAN,
+    body="""
+, listed AS (SELECT seq, seq % 7 <> 3 AS seen FROM commits WHERE seq < (SELECT max(seq) FROM commits)),
+java AS (SELECT seq, path, hash, content FROM snaps JOIN listed USING (seq) WHERE seen AND path LIKE '%.java'),
+bad AS (SELECT seq, min(path) || ': cannot analyze a file with @' AS error FROM java WHERE content LIKE '%@%' GROUP BY seq),
+ok AS (SELECT seq FROM listed WHERE seen AND seq NOT IN (SELECT seq FROM bad)),
+numbers AS (SELECT count(*) AS n FROM java JOIN found USING (hash) WHERE rule = 'LongNumber' AND seq IN (SELECT seq FROM ok))
+SELECT l.seq, CASE WHEN seen THEN (SELECT count(*) FROM java j WHERE j.seq = l.seq) END AS files_in_tree, error,
+       (SELECT count(*) FROM ok) AS number_of_commits_analyzed, (SELECT count(*) FROM listed) AS total_commits_in_repo,
+       round((SELECT count(*) FROM java) / (SELECT count(*) FROM listed WHERE seen), 2) AS avg_of_num_java_files,
+       round((SELECT n FROM numbers) / (SELECT count(*) FROM ok), 2) AS avg_of_num_warnings, (SELECT n FROM numbers) AS long_numbers
+FROM listed l LEFT JOIN bad USING (seq) WHERE l.seq NOT IN (SELECT seq FROM ok)""",
+)

@@ -728,7 +728,7 @@ def _mine_full_tree(spark, sf):
 
 @query
 def mine_full_tree(spark, sf):
-    return _mine_full_tree(spark, sf).commits
+    return _mine_full_tree(spark, sf).commits.select("seq", "commit", "files_in_tree", "findings")
 
 
 @query
@@ -736,6 +736,19 @@ def mine_full_tree_by_rule(spark, sf):
     return _mine_full_tree(spark, sf).by_rule
 
 
+@query
+def mine_full_tree_failures(spark, sf):
+    """Trees reach beyond the log, some commits cannot be checked out, and an analyzer fails on some files."""
+    commits = V.commits(spark, sf)
+    log = commits.where(F.col("seq") < commits.agg(F.max("seq")).scalar()).withColumn("checked_out", F.col("seq") % 7 != 3)
+    files = V.contents(spark, sf).where(F.col("seq") % 7 != 3)
+    factory = analyzers.line_pattern_analyzer("[0-9]{3,}", "LongNumber", "numbers", fail_on="@")
+    run = plans.mine_full_tree(log, files, analyzer=factory)
+    one_row = run.summary("documents").select("stat_of_repository.*", F.col("stat_of_warnings")["LongNumber"].alias("long_numbers"))
+    failed = run.commits.where(~F.col("ok")).join(run.errors.select("seq", "error"), "seq", "left").select("seq", "files_in_tree", "error")
+    return failed.join(F.broadcast(one_row), how="cross")  # the one row of the summary beside each
+
+
 @query
 def mine_full_tree_summary(spark, sf):
     stat = "stat_of_repository"

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
+from historymine.functions.ordinals import running_totals
 from historymine.functions.scalars import has_suffix, safe_ratio
 from historymine.functions.skew import pick_rows, spread_join
 from historymine.operators.analyzers import Analyzer, analyze, analyzer_errors, analyzer_findings
@@ -19,7 +20,7 @@ from historymine.operators.cache import (
     mark_hits,
 )
 from historymine.operators.content import content_index
-from historymine.operators.history import select_changes
+from historymine.operators.history import ADDED, DELETED, UNCHANGED, select_changes, snapshot_diff
 from historymine.operators.reports import commit_reports, count_maps, fan_counts, findings_by_file
 from historymine.operators.scan import rule_tally, scan_contents
 from historymine.operators.summary import files_in_tree, parallel_stats
@@ -30,6 +31,7 @@ from historymine.sources.snapshots import with_hash
 
 
 ANALYZER_SECONDS = 600.0  # per call
+COMMITS_PER_BLOCK = 1024  # of the running sums per rule
 
 
 @dataclass
@@ -315,44 +317,114 @@ def _commit_counts(log: DataFrame, trees: DataFrame, files: DataFrame, by_rule:
 
 @dataclass
 class FullTreeRun:
-    """``commits``: ``seq, commit, files_in_tree, findings``; ``by_rule``: ``seq, rule, findings``."""
+    """Every file of every commit, as running sums over what changed.
+
+    commits  ``seq, commit, files_in_tree, findings, ok`` per commit, failed ones with what is known of them
+    changes  ``seq, rule, change``: by how much a rule's findings differ from those of the commit before
+    errors   ``seq, commit, error`` of the commits with a file that could not be analyzed; None where nothing can fail
+    """
 
     commits: DataFrame
-    by_rule: DataFrame
+    changes: DataFrame
+    errors: DataFrame | None = None
+
+    @property
+    def by_rule(self) -> DataFrame:
+        """``(seq, rule, findings)`` of the analyzed commits, where there are any; a row per commit and rule."""
+        block = F.expr(f"seq div {COMMITS_PER_BLOCK}")
+        held = self.changes.groupBy("rule", block.alias("block")).agg(F.sum("change").alias("change"))
+        life = Window.partitionBy("rule").orderBy("block")  # a row per block of commits
+        last = F.expr(f"last_seq div {COMMITS_PER_BLOCK}")
+        spans = held.join(self.commits.agg(F.max("seq").alias("last_seq")), how="cross").select(  # one row beside each
+            "rule", "block", "last_seq", F.coalesce(F.lead("block").over(life) - 1, last).alias("until"), (F.sum("change").over(life) - F.col("change")).alias("before"), "change"
+        )
+        blocks = spans.select("rule", "last_seq", F.explode(F.sequence("block", "until")).alias("at"), F.when(F.col("at") == F.col("block"), F.col("before")).otherwise(F.col("before") + F.col("change")).alias("carried"))
+        first = F.col("at") * COMMITS_PER_BLOCK
+        seqs = F.explode(F.sequence(first, F.least(first + COMMITS_PER_BLOCK - 1, F.col("last_seq")))).alias("seq")
+        rows = blocks.select("rule", "at", "carried", seqs).join(self.changes, ["seq", "rule"], "left")
+        inside = Window.partitionBy("rule", "at").orderBy("seq")
+        totals = rows.select("seq", "rule", (F.col("carried") + F.coalesce(F.sum("change").over(inside), F.lit(0))).alias("findings")).where(F.col("findings") > 0)
+        return totals if self.errors is None else totals.join(self.commits.where("ok").select("seq"), "seq")
 
     def summary(self, location: str) -> DataFrame:
-        """Repository summary with means rounded to two decimals."""
+        """Repository summary with means rounded to two decimals: files over the commits checked out, findings over those analyzed.
+
+        Zeros if no commit was analyzed. A rule's findings over all analyzed commits are its
+        changes, each times the analyzed commits that come no earlier.
+        """
         stats = self.commits.agg(
-            F.count(F.lit(1)).alias("n"), F.sum("files_in_tree").alias("files"), F.sum("findings").alias("found")
+            F.count_if("ok").alias("analyzed"),
+            F.count(F.lit(1)).alias("total"),
+            F.count("files_in_tree").alias("seen"),
+            F.sum("files_in_tree").alias("files"),
+            F.sum(F.when(F.col("ok"), F.col("findings"))).alias("found"),
         )
-        per_rule = self.by_rule.groupBy("rule").agg(F.sum("findings").alias("n"))
+        any_ok = F.col("analyzed") > 0
+        upto = running_totals(self.commits.select("seq", F.col("ok").cast("bigint").alias("upto"), F.col("ok").cast("bigint").alias("own")), "seq", ["upto"])
+        all_ok = self.commits.agg(F.count_if("ok")).scalar()
+        later = upto.select("seq", (all_ok - F.col("upto") + F.col("own")).alias("commits"))
+        per_rule = self.changes.join(later, "seq").groupBy("rule").agg(F.sum(F.col("change") * F.col("commits")).alias("n"))
         return stats.select(
             F.lit(location).alias("location"),
             F.struct(
-                F.col("n").alias("number_of_commits_analyzed"),
-                F.col("n").alias("total_commits_in_repo"),
-                F.round(safe_ratio("files", "n"), 2).alias("avg_of_num_java_files"),
-                F.round(safe_ratio("found", "n"), 2).alias("avg_of_num_warnings"),
+                F.col("analyzed").alias("number_of_commits_analyzed"),
+                F.col("total").alias("total_commits_in_repo"),
+                F.when(any_ok, F.round(safe_ratio("files", "seen"), 2)).otherwise(0.0).alias("avg_of_num_java_files"),
+                F.when(any_ok, F.round(safe_ratio("found", "analyzed"), 2)).otherwise(0.0).alias("avg_of_num_warnings"),
             ).alias("stat_of_repository"),
-            count_maps(per_rule, [], "m").select("m").scalar().alias("stat_of_warnings"),
+            count_maps(per_rule.where(F.col("n") > 0), [], "m").select("m").scalar().alias("stat_of_warnings"),
         )
 
 
-def mine_full_tree(log: DataFrame, snapshots: DataFrame, rules: Iterable[Rule], *, suffix: str = ".java") -> FullTreeRun:
-    """Analyze the whole tree of every commit.
+def mine_full_tree(
+    log: DataFrame,
+    snapshots: DataFrame,
+    rules: Iterable[Rule] = (),
+    *,
+    suffix: str = ".java",
+    analyzer: Callable[[], Analyzer] | None = None,
+    analyzer_seconds: float | None = ANALYZER_SECONDS,
+) -> FullTreeRun:
+    """Analyze the whole tree of every commit of the log, ``(seq, commit)`` with ``seq`` dense from 0.
+
+    Each distinct content is analyzed once. What a commit holds is what the one
+    before held, less the findings of files that went, plus those of files that
+    came: only changes are joined with findings, and running sums do the rest, so
+    rows are in proportion to changes, not to commits times files. Trees of commits
+    that are not in the log are left out.
 
-    There is no diff and no cache, yet each distinct content counts its findings
-    only once and the copies multiply them.
+    A commit with a file that the analyzer fails on is not ``ok``. So is one that a
+    boolean column ``checked_out`` of the log denies; its files are unknown.
     """
-    snapshots = with_hash(snapshots).where(has_suffix("path", suffix))
-    files = snapshots.select("seq", "path", "hash", F.lit(False).alias("is_hit"))
-    tallies = rule_tally(scan_contents(snapshots, rules))
-    by_rule = materialize(fan_counts(files, tallies).select("seq", "rule", "findings"), "by-rule")
-    found = by_rule.groupBy("seq").agg(F.sum("findings").alias("findings"))
-    commits = (
-        log.select("seq", "commit")
-        .join(files_in_tree(log, files, suffix).withColumnRenamed("n_files", "files_in_tree"), "seq")
-        .join(found, "seq", "left")
-        .select("seq", "commit", "files_in_tree", F.coalesce("findings", F.lit(0)).alias("findings"))
-    )
-    return FullTreeRun(commits, by_rule)
+    newest = log.agg(F.max("seq").alias("seq")).scalar()
+    snapshots = snapshots.where(F.col("seq").between(0, newest) & has_suffix("path", suffix))
+    trees = with_hash(snapshots).select("seq", "path", "hash")
+    if "hash" not in snapshots.columns:
+        trees = materialize(trees, "trees")  # read the contents once for their hashes
+    changes = materialize(snapshot_diff(trees, log).where(F.col("kind") != UNCHANGED), "changes")
+
+    index = materialize(content_index(changes.where("hash is not null").select("seq", "path", "hash")), "contents")
+    found, failed = _scan(with_hash(snapshots), index, rules, analyzer, analyzer_seconds)
+    tallies = rule_tally(materialize(found, "findings"))
+
+    sides = F.array(F.struct(F.col("hash"), F.lit(1).alias("sign")), F.struct(F.col("prev_hash").alias("hash"), F.lit(-1).alias("sign")))
+    signed = changes.select("seq", F.explode(sides).alias("_s")).select("seq", "_s.*").where("hash is not null")
+    copies = materialize(signed.groupBy("seq", "hash").agg(F.sum("sign").alias("copies")).where("copies <> 0"), "copies")
+    by_change = spread_join(copies, tallies, ["hash"], ["seq"]).groupBy("seq", "rule").agg(F.sum(F.col("copies") * F.col("n")).alias("change"))
+    by_change = materialize(by_change.where("change <> 0"), "rule-changes")
+
+    files = changes.groupBy("seq").agg((F.count_if(F.col("kind") == ADDED) - F.count_if(F.col("kind") == DELETED)).alias("files_in_tree"))
+    findings = by_change.groupBy("seq").agg(F.sum("change").alias("findings"))
+    values = ["files_in_tree", "findings"]
+    rows = log.join(files, "seq", "left").join(findings, "seq", "left")
+    if failed is not None:
+        bad = spread_join(copies, failed.select("hash"), ["hash"], ["seq"]).groupBy("seq").agg(F.sum("copies").alias("bad"))
+        rows, values = rows.join(bad, "seq", "left"), [*values, "bad"]
+    seen = F.col("checked_out") if "checked_out" in log.columns else F.lit(True)
+    rows = rows.select("seq", "commit", seen.alias("seen"), *[F.coalesce(v, F.lit(0)).alias(v) for v in values])
+    totals = running_totals(rows, "seq", values)
+    ok = F.col("seen") if failed is None else F.col("seen") & (F.col("bad") == 0)
+    known = F.when(F.col("seen"), F.col("files_in_tree")).alias("files_in_tree")
+    commits = materialize(totals.select("seq", "commit", known, "findings", ok.alias("ok")), "commits")
+    errors = None if failed is None else _commit_errors(log, trees, failed)
+    return FullTreeRun(commits, by_change, errors)
