@@ -20,6 +20,7 @@ import functools
 import hashlib
 import os
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -29,8 +30,10 @@ from pyspark.sql import DataFrame, functions as F
 from historymine.llm.bpe import _byte_alphabet
 from historymine.llm.common import map_rows, stored
 
-CUT = re.compile(r"(?<=\S)(?= )")
-KEPT_UNITS, KEPT_CHARS = 120_000, 48  # units that a worker keeps, and the longest
+SPACES = re.compile(r"\s ")
+CUT = re.compile(r"(?<=\S) ")
+KEPT_UNITS, KEPT_CHARS = 150_000, 48  # units that a worker keeps before it forgets those not used lately, and the longest
+UNSEEN = object()
 KNOWN_PAIRS = 1_000_000
 PAIRS_AT_ONCE = 1 << 21  # collected in a task before equal ones are folded
 _B_IDS = 1 << 16  # a pair is a * _B_IDS + b, an unsigned integer of 32 bits
@@ -55,15 +58,18 @@ class Aligner:
         b_ids = range(self.b.get_piece_size())
         self.space = [self.b.piece_to_id("▁")]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i in b_ids for p in [self.b.id_to_piece(i)]]
+        self.a_lengths, self.b_lengths = list(map(len, self.a_bytes)), list(map(len, self.b_bytes))
+        self.names = list(map(str, range(max(len(self.a_bytes), len(self.b_bytes)))))
         if any(" " in p.lstrip(" ") for p in (self.b.id_to_piece(i).replace("▁", " ") for i in b_ids)):
             raise ValueError("a piece of the second tokenizer holds a space after something else")
         if max(len(self.a_bytes), len(self.b_bytes)) > _B_IDS:
             raise ValueError("more ids than a pair can hold")
-        self.units: dict[str, tuple] = {}
+        self.units: dict[str, tuple | None] = {}
+        self.before: dict[str, tuple | None] = {}
 
     def text(self, text: str) -> tuple[int, int, int, int, str, bytes, bytes] | None:
         """``(n_a, n_b, n_groups, n_links, groups, pairs, links of each pair)`` of space + text; None if bytes differ."""
-        units = CUT.split(" " + text)
+        units = CUT.split(text) if SPACES.search(" " + text) else text.split(" ")  # each with a space before it
         counted = Counter(units)
         known = dict(zip(counted, self._known(list(counted))))
         if None in known.values():
@@ -82,42 +88,57 @@ class Aligner:
         return n_a, n_b, n_groups, n_links, ";".join([known[u][4] for u in units]), distinct.tobytes(), weights.tobytes()
 
     def _known(self, wanted: list[str]) -> list[tuple | None]:
-        new = [u for u in wanted if u not in self.units]
-        if new and len(self.units) > KEPT_UNITS:
-            self.units.clear()
-            new = wanted
-        made = {}
+        units, before = self.units, self.before
+        if len(units) > KEPT_UNITS:  # what was not used since the last time is forgotten
+            self.units, self.before = units, before = {}, units
+        made = {u: units.get(u, UNSEEN) for u in wanted}
+        new = []
+        for u, m in made.items():
+            if m is UNSEEN:
+                m = before.get(u, UNSEEN)
+                if m is UNSEEN:
+                    new.append(u)
+                else:
+                    made[u] = units[u] = m
         if new:
-            a, b = self.a.encode_batch_fast(new, add_special_tokens=False), self.b.encode([u[1:] for u in new], num_threads=1)
-            b = [ids or self.space for ids in b]  # a space alone gives no ids without its text before it
-            made = dict(zip(new, map(self._align, new, a, b)))
-            self.units |= {u: m for u, m in made.items() if len(u) <= KEPT_CHARS}
-        return [made[u] if u in made else self.units[u] for u in wanted]
-
-    def _align(self, unit: str, encoded, b: list[int]) -> tuple | None:
-        a, data = encoded.ids, unit.encode()
-        a_parts, b_parts = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
-        if b"".join(a_parts) != data or b"".join(b_parts) != data:
+            a, b = self.a.encode_batch_fast([" " + u for u in new], add_special_tokens=False), self.b.encode(new, num_threads=1)
+            for u, of_a, of_b in zip(new, a, b):
+                made[u] = m = self._align(u, of_a.ids, of_b or self.space)  # a space alone gives no ids without its text before it
+                if len(u) <= KEPT_CHARS:
+                    units[u] = m
+        return [made[u] for u in wanted]
+
+    def _align(self, unit: str, a: list[int], b: list[int]) -> tuple | None:
+        data, a_bytes, b_bytes, names = (" " + unit).encode(), self.a_bytes, self.b_bytes, self.names
+        if b"".join([a_bytes[i] for i in a]) != data or b"".join([b_bytes[i] for i in b]) != data:
             return None
-        if len(a) == 1 or len(b) == 1:
-            spans = [(0, len(a), 0, len(b))]
-        else:
-            a_ends, b_ends = np.cumsum([len(p) for p in a_parts]), np.cumsum([len(p) for p in b_parts])
-            _, a_at, b_at = np.intersect1d(a_ends, b_ends, assume_unique=True, return_indices=True)
-            a_to, b_to = (a_at + 1).tolist(), (b_at + 1).tolist()
-            spans = list(zip([0, *a_to[:-1]], a_to, [0, *b_to[:-1]], b_to))
+        a_lengths, b_lengths = self.a_lengths, self.b_lengths
         links: dict[int, int] = {}
-        names = []
-        total = 0
-        for a0, a1, b0, b1 in spans:
-            names.append(",".join(map(str, a[a0:a1])) + "|" + ",".join(map(str, b[b0:b1])))
-            total += (a1 - a0) * (b1 - b0)
-            b_counts = Counter(b[b0:b1]).items()
-            for x, n in Counter(a[a0:a1]).items():  # distinct ids of both sides, never occurrence by occurrence
-                for y, m in b_counts:
-                    links[x * _B_IDS + y] = links.get(x * _B_IDS + y, 0) + n * m
-        pairs = np.fromiter(links, dtype="<u4", count=len(links))
-        return len(a), len(b), len(spans), total, ";".join(names), pairs.tobytes(), np.fromiter(links.values(), dtype="<i8", count=len(links)).tobytes()
+        groups = []
+        n_links = a0 = a1 = b0 = b1 = ahead = 0  # ahead: bytes of A less bytes of B
+        while a1 < len(a):
+            ahead += a_lengths[a[a1]]
+            a1 += 1
+            while ahead > 0:
+                ahead -= b_lengths[b[b1]]
+                b1 += 1
+            if ahead:
+                continue
+            if a1 - a0 == 1 and b1 - b0 == 1:
+                x, y = a[a0], b[b0]
+                groups.append(names[x] + "|" + names[y])
+                links[x * _B_IDS + y] = links.get(x * _B_IDS + y, 0) + 1
+                n_links += 1
+            else:
+                of_a, of_b = a[a0:a1], b[b0:b1]
+                groups.append(",".join([names[x] for x in of_a]) + "|" + ",".join([names[y] for y in of_b]))
+                n_links += len(of_a) * len(of_b)
+                short = len(of_a) + len(of_b) < 16  # else distinct ids of both sides, never occurrence by occurrence
+                for x, n in [(x, 1) for x in of_a] if short else Counter(of_a).items():
+                    for y, m in [(y, 1) for y in of_b] if short else Counter(of_b).items():
+                        links[x * _B_IDS + y] = links.get(x * _B_IDS + y, 0) + n * m
+            a0, b0 = a1, b1
+        return len(a), len(b), len(groups), n_links, ";".join(groups), array("I", links).tobytes(), array("q", links.values()).tobytes()
 
 
 def folded(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

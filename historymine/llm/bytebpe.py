@@ -41,7 +41,7 @@ WORDS = (  # the pattern of the vocabulary, with the white space of Unicode
 CUT = r"(?= )(?<=\P{IsWhite_Space})"  # before a space that follows no white space, words always end
 LONG_BYTES = 96
 WINDOW_BYTES = 64  # step of the windows of long words; each covers two steps
-SLOTS, PER_SLOT = 1 << 15, 16  # of the table of frequent words
+SLOTS, PER_SLOT = 1 << 14, 16  # of the table of frequent words
 TABLE_BYTES = 24
 _ROW = 1 << 32
 _KEY, _VALUE = "\ue000", "\ue001"  # marks in the table; words that hold them do not enter it

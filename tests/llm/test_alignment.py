@@ -105,6 +105,7 @@ def test_a_worker_forgets_units(monkeypatch):
     pair, fresh = alignment.Aligner(*PATHS), alignment.Aligner(*PATHS)
     for text in texts(5, 50, 30):
         fresh.units.clear()
+        fresh.before.clear()
         assert pair.text(text) == fresh.text(text)
 
 
