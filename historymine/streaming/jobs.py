@@ -1,4 +1,8 @@
-"""Incremental runs: new reports, running tallies and first-seen contents as streams."""
+"""Incremental runs: new reports, running tallies and first-seen contents as streams.
+
+Keys seen so far are in Spark's state store. With the RocksDB provider
+(``spark.sql.streaming.stateStore.providerClass``) the state is on disk and grows with the keys.
+"""
 
 from __future__ import annotations
 
@@ -30,38 +34,45 @@ def _own_folder(batch: DataFrame, batch_id: int) -> str:
     return f"stream={batch.sparkSession.sparkContext.getLocalProperty('sql.streaming.queryId')}/batch_id={batch_id}"
 
 
-def _others(spark: SparkSession, table: str, schema: T.StructType, own: str) -> DataFrame:
-    """Rows that anything but the own batch has written, under this or another checkpoint."""
-    stream, batch = own.split("/")
-    stored = T.StructType([*schema.fields, T.StructField("stream", T.StringType()), T.StructField("batch_id", T.LongType())])
+def _of_other_queries(spark: SparkSession, table: str, schema: T.StructType, own: str) -> DataFrame:
+    """Rows that other streaming queries have written to the table."""
+    stored = T.StructType([*schema.fields, T.StructField("stream", T.StringType())])
     try:
         rows = spark.read.schema(stored).parquet(table)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], stored)
-    return rows.where(~((F.col("stream") == stream.removeprefix("stream=")) & (F.col("batch_id") >= int(batch.removeprefix("batch_id=")))))
+    return rows.where(F.col("stream") != own.split("/")[0].removeprefix("stream="))
 
 
-def _append_new(table: str, keys: Sequence[str]) -> Callable[[DataFrame, int], None]:
-    """Batch writer that adds the rows whose key nothing written before has brought.
+def first_arrivals(stream: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Per key the least row of the batch that first brought it, in update mode; ``_at`` and ``_last`` tell that batch from the current one.
 
-    Repeats inside the batch are folded with map-side combine before they are
-    shuffled, so a key that fills a batch does not fill a task. The table itself
-    is the state: nothing has to fit an executor, and nothing is forgotten. A batch
-    owns a folder by its query and number: a replay after a failure writes it again,
-    and a second checkpoint or source on the same table adds to it. One query at
-    a time may write a table.
+    The state store keeps one row per key, so a batch costs what it brings,
+    however much came before. Rows of a key are folded before they are shuffled.
+    A batch that is run again has the same time, which Spark stores with its offsets.
+    """
+    others = [c for c in stream.columns if c not in keys]
+    timed = stream.withColumn("_at", F.current_timestamp())  # one value per batch
+    kept = timed.groupBy(*keys).agg(F.min(F.struct("_at", *others)).alias("_row"), F.max("_at").alias("_last"))
+    return kept.select(*keys, *[F.col(f"_row.{c}").alias(c) for c in others], F.col("_row._at").alias("_at"), "_last")
+
+
+def _append_first(table: str, keys: Sequence[str]) -> Callable[[DataFrame, int], None]:
+    """Batch writer that adds the keys a batch of ``first_arrivals`` brought for the first time.
+
+    What this query has written before is in its state and is not read again; what
+    other queries have added to the table is read for the keys of the batch. A batch
+    owns a folder by its query and number: a replay after a failure writes it again.
+    One query at a time may write a table.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark, own = batch.sparkSession, _own_folder(batch, batch_id)
-        others = [c for c in batch.columns if c not in keys]
-        # the least payload per key, so that a replay picks the same row
-        once = batch.groupBy(*keys).agg(F.min(F.struct(*others)).alias("_row")) if others else batch.select(*keys).distinct()
-        once = materialize(once.select(*keys, *[f"_row.{c}" for c in others]), "batch")
-        seen = pick_rows(_others(spark, table, batch.schema, own).select(*keys), once, keys)
-        once.join(seen, list(keys), "left_anti").write.mode("overwrite").parquet(f"{table}/{own}")
+        own = _own_folder(batch, batch_id)
+        new = materialize(batch.where(F.col("_at") == F.col("_last")).drop("_at", "_last"), "batch")
+        seen = pick_rows(_of_other_queries(batch.sparkSession, table, new.schema, own).select(*keys), new, keys)
+        new.join(seen, list(keys), "left_anti").write.mode("overwrite").parquet(f"{table}/{own}")
 
     return write
 
@@ -71,12 +82,12 @@ def ingest_reports(stream: DataFrame, table: str, checkpoint: str, key: str = "c
 
     The first batch that brings a commit wins; inside a batch its least row does.
     """
-    run_available(stream, _append_new(table, [key]), checkpoint)
+    run_available(first_arrivals(stream, [key]), _append_first(table, [key]), checkpoint, mode="update")
 
 
 def dedup_contents(stream: DataFrame, table: str, checkpoint: str, keys: Sequence[str] = ("hash", "ruleset_id")) -> None:
     """Append the contents no earlier batch has seen; these are the ones to analyze."""
-    run_available(stream, _append_new(table, keys), checkpoint)
+    run_available(first_arrivals(stream, keys), _append_first(table, keys), checkpoint, mode="update")
 
 
 def running_tally(
@@ -97,7 +108,12 @@ def running_tally(
 
 
 def latest_tally(spark: SparkSession, table: str) -> DataFrame:
-    """The tally that was written last, whichever checkpoint its query had."""
+    """The tally of the query that began last, as of its last batch.
+
+    A query begins with its first batch; when a later one was written does not
+    matter, so an old batch that is run again replaces nothing.
+    """
     versions = spark.read.parquet(table)
-    last = versions.agg(F.max("written_at").alias("at")).scalar()
-    return versions.where(F.col("written_at") == last).select("rule", "n")
+    begun = versions.groupBy("stream").agg(F.min(F.struct("batch_id", "written_at")).alias("_first"), F.max("batch_id").alias("batch_id"))
+    last = begun.agg(F.max_by(F.struct("stream", "batch_id"), F.struct("_first.written_at", "stream")).alias("_q")).select("_q.*")
+    return versions.join(F.broadcast(last), ["stream", "batch_id"], "left_semi").select("rule", "n")

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from historymine.operators import scan
 from historymine.sources import Rule
 from historymine.streaming import dedup_contents, ingest_reports, running_tally
-from historymine.streaming.jobs import _append_new, latest_tally
+from historymine.streaming.jobs import latest_tally
 
 SCHEMA = "commit STRING, seq BIGINT"
 
@@ -23,14 +23,37 @@ def test_ingest_adds_each_commit_once(spark, tmp_path, rows):
     assert rows(spark.read.parquet(table), "commit", "seq") == [("a", 1), ("b", 2), ("c", 4)]
 
 
+def _forget_last_commit(checkpoint):
+    """Leave the checkpoint as it is after a crash in the last batch: begun, not finished."""
+    done = sorted((p for p in (checkpoint / "commits").iterdir() if p.name.isdigit()), key=lambda p: int(p.name))
+    for side in (done[-1], done[-1].with_name(f".{done[-1].name}.crc")):
+        side.unlink(missing_ok=True)
+
+
 def test_replayed_batch_changes_nothing(spark, tmp_path, rows):
-    table = str(tmp_path / "table")
-    write = _append_new(table, ["commit"])
-    first = spark.createDataFrame([("a", 1), ("b", 2)], SCHEMA)
-    write(first, 0)
-    write(spark.createDataFrame([("b", 5), ("c", 3)], SCHEMA), 1)
-    write(spark.createDataFrame([("b", 5), ("c", 3)], SCHEMA), 1)
-    assert rows(spark.read.parquet(table), "commit", "seq") == [("a", 1), ("b", 2), ("c", 3)]
+    inbox, table, checkpoint = str(tmp_path / "inbox"), str(tmp_path / "table"), tmp_path / "checkpoint"
+    wanted = [("a", 1), ("b", 2), ("c", 3)]
+    for batch in ([("a", 1), ("b", 2)], [("b", 5), ("c", 3)]):
+        _deliver(spark, inbox, batch)
+        ingest_reports(spark.readStream.schema(SCHEMA).parquet(inbox), table, str(checkpoint))
+    assert rows(spark.read.parquet(table), "commit", "seq") == wanted
+    _forget_last_commit(checkpoint)
+    _deliver(spark, inbox, [("c", 0), ("d", 4), ("a", 0)])
+    ingest_reports(spark.readStream.schema(SCHEMA).parquet(inbox), table, str(checkpoint))
+    assert rows(spark.read.parquet(table), "commit", "seq") == [*wanted, ("d", 4)]
+
+
+def test_batch_reads_nothing_of_its_own_table(spark, tmp_path, rows):
+    """What the query wrote before is in its state: files of its own are not opened again, so they may be gone."""
+    inbox, table, checkpoint = (str(tmp_path / n) for n in ("inbox", "table", "checkpoint"))
+    _deliver(spark, inbox, [("a", 1), ("b", 2)])
+    ingest_reports(spark.readStream.schema(SCHEMA).parquet(inbox), table, checkpoint)
+    for part in (tmp_path / "table").rglob("*.parquet"):
+        part.write_bytes(b"no parquet")
+    _deliver(spark, inbox, [("b", 0), ("c", 3)])
+    ingest_reports(spark.readStream.schema(SCHEMA).parquet(inbox), table, checkpoint)
+    added = spark.read.schema(SCHEMA).parquet(*map(str, (tmp_path / "table").glob("stream=*/batch_id=1")))
+    assert rows(added) == [("c", 3)]
 
 
 def test_second_source_and_second_checkpoint(spark, tmp_path, rows):
@@ -54,6 +77,17 @@ def test_tally_under_a_fresh_checkpoint(spark, tmp_path, rows):
     assert rows(latest_tally(spark, table)) == [("Number", 3)]
 
 
+def test_old_tally_written_again_does_not_replace_the_latest(spark, tmp_path, rows):
+    table, schema = str(tmp_path / "table"), "hash STRING, content STRING"
+    rules = [Rule("Number", "s", "line_regex", "[0-9]")]
+    for inbox, batch in (("one", [("h", "1")]), ("one", [("g", "2")]), ("two", [("f", "3"), ("e", "4"), ("d", "5")])):
+        _deliver(spark, str(tmp_path / inbox), batch, schema)
+        running_tally(spark.readStream.schema(schema).parquet(str(tmp_path / inbox)), rules, table, str(tmp_path / f"{inbox}-checkpoint"))
+    _forget_last_commit(tmp_path / "one-checkpoint")
+    running_tally(spark.readStream.schema(schema).parquet(str(tmp_path / "one")), rules, table, str(tmp_path / "one-checkpoint"))
+    assert rows(latest_tally(spark, table)) == [("Number", 3)]
+
+
 def test_contents_once_per_rule_set(spark, tmp_path, rows):
     inbox, table, checkpoint = (str(tmp_path / n) for n in ("inbox", "table", "checkpoint"))
     schema = "hash STRING, ruleset_id STRING"
