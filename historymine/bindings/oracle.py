@@ -302,9 +302,9 @@ FROM parsed WHERE coalesce(json_extract_string(f, '$.file'), json_extract_string
     "report_parse_status": _with(
         REPORTS,
         body="""
-SELECT event_id, CASE WHEN event_id % 17 <> 0 AND text <> '' AND NOT json_valid(text) THEN 'failed' ELSE 'ok' END AS status,
-       CAST(CASE WHEN event_id % 17 <> 0 AND text <> '' AND json_valid(text) THEN 1 ELSE 0 END AS BIGINT) AS n_findings
-FROM docs""",
+SELECT event_id, CASE WHEN text <> '' AND NOT json_valid(text) THEN 'failed' ELSE 'ok' END AS status,
+       CAST(CASE WHEN text <> '' AND json_valid(text) THEN 1 ELSE 0 END AS BIGINT) AS n_findings
+FROM (SELECT event_id FROM events UNION SELECT o_orderkey FROM orders) LEFT JOIN docs USING (event_id)""",
     ),
     "report_errors": _with(
         REPORTS, body="SELECT event_id, 'unreadable report' AS error FROM docs WHERE text <> '' AND NOT json_valid(text)"
@@ -536,3 +536,17 @@ SELECT l.seq, CASE WHEN seen THEN (SELECT count(*) FROM java j WHERE j.seq = l.s
        round((SELECT n FROM numbers) / (SELECT count(*) FROM ok), 2) AS avg_of_num_warnings, (SELECT n FROM numbers) AS long_numbers
 FROM listed l LEFT JOIN bad USING (seq) WHERE l.seq NOT IN (SELECT seq FROM ok)""",
 )
+ORACLE["report_scan_nested"] = """
+SELECT CAST(l_orderkey AS VARCHAR) AS commit, CAST(l_partkey AS VARCHAR) AS path,
+       CASE WHEN p_size <= 5 THEN '' WHEN p_size > 8 THEN p_brand END AS rule,
+       CASE WHEN p_size = 1 THEN '' ELSE p_type END AS ruleset, l_linenumber AS line
+FROM lineitem JOIN part ON l_partkey = p_partkey"""
+ORACLE["mine_history_metadata"] = _with(
+    *MINED,
+    PER_COMMIT,
+    body="""
+SELECT c.commit, coalesce(files_changed, 0) AS num_java_files,
+       CASE WHEN seq % 3 <> 0 THEN seq % 5 END AS "formatVersion", CASE WHEN seq % 3 <> 0 THEN '7.' || seq END AS "pmdVersion",
+       CASE WHEN seq % 3 <> 0 THEN 't' || seq END AS timestamp, CAST(NULL AS VARCHAR) AS metrics
+FROM commits c LEFT JOIN per_commit USING (seq)""",
+)

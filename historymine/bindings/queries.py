@@ -27,7 +27,11 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
 
 @query
 def commit_log(spark, sf):
-    return V.commits(spark, sf).where(F.col("commit") != "").select("seq", "commit")
+    """The log as text, a hash per line with blank lines between, read back in its order."""
+    path = scratch_path(spark, "log")
+    blank = F.when(F.col("seq") % 7 == 3, "\n  \n").otherwise("")
+    V.commits(spark, sf).orderBy("seq").select(F.concat(F.lit(" "), "commit", blank)).write.text(path)
+    return sources.read_commit_log(spark, path).orderBy("seq")
 
 
 @query
@@ -425,9 +429,23 @@ def report_scan(spark, sf):
 
 @query
 def report_parse_status(spark, sf):
-    """Every event is in the log; every seventeenth left no report at all."""
-    left = V.report_documents(spark, sf).where(F.col("event_id") % 17 != 0)
-    return sources.status_of_log(V.table(spark, sf, "events"), sources.adapt_reports(sources.parse_reports(left)), "event_id")
+    """All reports, beside a log that also has orders, which left none."""
+    log = V.table(spark, sf, "events").select("event_id").union(V.table(spark, sf, "orders").select("o_orderkey")).distinct()
+    return sources.status_of_log(log, sources.adapt_reports(_parsed(spark, sf)), "event_id")
+
+
+@query
+def report_scan_nested(spark, sf):
+    """Reports of several files with several findings each, written as JSON documents and read back."""
+    path = scratch_path(spark, "nested-reports")
+    documents = reports.nest_reports(V.findings(spark, sf))
+    parts = documents.groupBy("commit").agg(F.ceil(F.count(F.lit(1)) / 50).alias("parts"))  # a report holds about 50 files
+    part = F.pmod(F.xxhash64("filename"), "parts").alias("part")
+    whole = documents.join(parts, "commit").groupBy("commit", part).agg(F.collect_list(F.struct("filename", "violations")).alias("files"))
+    whole.select(F.to_json(F.struct("commit", "files")).alias("value")).write.text(path)
+    parsed = sources.parse_reports(spark.read.text(path).withColumnRenamed("value", "text").withColumn("commit", F.get_json_object("text", "$.commit")))
+    found = sources.explode_findings(sources.adapt_reports(parsed), "commit")
+    return found.select("commit", "path", "rule", "ruleset", "line")
 
 
 @query
@@ -707,6 +725,15 @@ def mine_history_repeated(spark, sf):
     return _flat_summary(store.summary("documents"))
 
 
+@query
+def mine_history_metadata(spark, sf):
+    """Fields of the analyzer's own report per commit, through a stored run, in the headers of its documents."""
+    tool = F.when(F.col("seq") % 3 != 0, F.to_json(F.struct((F.col("seq") % 5).alias("formatVersion"), F.concat(F.lit("7."), "seq").alias("pmdVersion"), F.concat(F.lit("t"), "seq").alias("timestamp"))))
+    parsed = sources.parse_reports(V.commits(spark, sf).select("commit", F.coalesce(tool, F.lit("")).alias("text")))
+    store = _mine(spark, sf, metadata=sources.report_metadata(parsed, "commit")).write(scratch_path(spark, "runs"), "documents")
+    return store.reports().where(reports.is_header()).select("commit", "num_java_files", *S.METADATA_FIELDS)
+
+
 @query
 def mine_history_analyzer(spark, sf):
     factory = analyzers.line_pattern_analyzer("[0-9]{3,}", "LongNumber", "numbers", fail_on="@")

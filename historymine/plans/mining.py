@@ -24,6 +24,7 @@ from historymine.operators.history import ADDED, DELETED, UNCHANGED, select_chan
 from historymine.operators.reports import commit_reports, count_maps, fan_counts, findings_by_file
 from historymine.operators.scan import rule_tally, scan_contents
 from historymine.operators.summary import files_in_tree, parallel_stats
+from historymine.schema import METADATA_FIELDS
 from historymine.session import materialize
 from historymine.plans.store import RunStore
 from historymine.sources.rules import Rule, ruleset_id
@@ -47,6 +48,7 @@ class MiningRun:
     identity   the rule set or analyzer that the entries belong to
     errors     ``(seq, commit, error)`` of the failed commits; None where nothing can fail
     earlier    findings of earlier runs for the contents that came from the cache, if they were given
+    metadata   ``commit`` and the metadata fields that the analyzer's own reports carried, if they were given
     """
 
     files: DataFrame
@@ -58,6 +60,7 @@ class MiningRun:
     identity: str
     errors: DataFrame | None
     earlier: DataFrame | None = None
+    metadata: DataFrame | None = None
 
     def summary(self, location: str, include_cached: bool = True) -> DataFrame:
         """Repository summary; without cached findings it covers what this run scanned itself."""
@@ -85,7 +88,10 @@ class MiningRun:
         )
         files = spread_join(self.files, self.commits.select("seq", "commit"), ["seq"], ["path"])
         findings = self.findings if self.earlier is None else self.findings.unionByName(self.earlier)
-        return commit_reports(headers, findings_by_file(files, findings, "commit"))
+        if self.metadata is None:
+            return commit_reports(headers, findings_by_file(files, findings, "commit"))
+        headers = headers.join(self.metadata.select("commit", *METADATA_FIELDS), "commit", "left")
+        return commit_reports(headers, findings_by_file(files, findings, "commit"), METADATA_FIELDS)
 
     def write(self, root: str, location: str) -> RunStore:
         """Add this run to the results below ``root``, see ``RunStore``; a later run wins where both have a commit."""
@@ -145,6 +151,7 @@ def mine_history(
     cache: DataFrame | None = None,
     cache_version: int | None = None,
     earlier_findings: DataFrame | None = None,
+    metadata: DataFrame | None = None,
     done: DataFrame | None = None,
     analyzer: Callable[[], Analyzer] | None = None,
     analyzer_id: str | None = None,
@@ -159,7 +166,8 @@ def mine_history(
     ``cache`` holds results of earlier runs, ``done`` the commits they reported
     or failed on: those are skipped, and trees older than needed are not read.
     ``earlier_findings`` are the findings by content that earlier runs stored; with
-    them the documents of cached contents are complete. New cache entries get
+    them the documents of cached contents are complete. ``metadata`` (``report_metadata`` per
+    commit) goes into the headers of the documents. New cache entries get
     ``cache_version``, one above the highest stored version unless it is given.
     Trees of commits that are not in the log are left out.
 
@@ -225,6 +233,7 @@ def mine_history(
         identity=identity,
         errors=errors,
         earlier=earlier,
+        metadata=metadata,
     )
 
 
