@@ -550,3 +550,15 @@ SELECT c.commit, coalesce(files_changed, 0) AS num_java_files,
        CASE WHEN seq % 3 <> 0 THEN 't' || seq END AS timestamp, CAST(NULL AS VARCHAR) AS metrics
 FROM commits c LEFT JOIN per_commit USING (seq)""",
 )
+ORACLE["tree_intervals"] = _with(
+    DAYS,
+    body="""
+, begun AS (
+  SELECT *, CASE WHEN lag(hash) OVER life = hash AND lag(seq) OVER life = seq - 1 THEN 0 ELSE 1 END AS begins
+  FROM days WINDOW life AS (PARTITION BY path ORDER BY seq)),
+runs AS (SELECT *, sum(begins) OVER (PARTITION BY path ORDER BY seq) AS run FROM begun)
+SELECT path, hash, min(seq) AS first_seq, max(seq) AS last_seq FROM runs GROUP BY path, hash, run""",
+)
+ORACLE["interval_diff"] = _with(DAYS, DAY_DIFF, body="SELECT seq, path, kind, hash, prev_hash FROM diff WHERE kind <> 'U'")
+ORACLE["interval_files_in_tree"] = _with(DAYS, body="SELECT seq, count(*) AS n_files FROM days GROUP BY seq")
+ORACLE["interval_existing_files"] = _with(DAYS, DAY_DIFF, body="SELECT seq, path, hash IS NOT NULL AS present FROM diff")

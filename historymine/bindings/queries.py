@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from historymine import functions as fn, plans, schema as S, sinks, sources, streaming
 from historymine.bindings import views as V
-from historymine.operators import analyzers, cache, content, history, reports, runlog, scan, summary
+from historymine.operators import analyzers, cache, content, history, intervals, reports, runlog, scan, summary
 from historymine.session import materialize, scratch_path
 from historymine.streaming.jobs import latest_tally
 
@@ -131,6 +131,40 @@ def missing_files(spark, sf):
     return history.missing_files(changes, V.daily_trees(spark, sf))
 
 
+def _daily_intervals(spark, sf):
+    """Stored as a first half of the days, extended by the others."""
+    days = V.daily_commits(spark, sf)
+    changes = materialize(_daily_changes(spark, sf).where(F.col("kind") != "U"), "changes")
+    middle = days.agg((F.max("seq") / 2).cast("bigint")).first()[0]
+    half = days.where(F.col("seq") <= middle)
+    first = materialize(intervals.tree_intervals(changes.where(F.col("seq") <= middle), half), "intervals")
+    return materialize(intervals.extend_intervals(first, changes, middle, days), "intervals")
+
+
+@query
+def tree_intervals(spark, sf):
+    return _daily_intervals(spark, sf)
+
+
+@query
+def interval_diff(spark, sf):
+    return intervals.interval_changes(_daily_intervals(spark, sf), V.daily_commits(spark, sf))
+
+
+@query
+def interval_files_in_tree(spark, sf):
+    return intervals.files_in_intervals(V.daily_commits(spark, sf), _daily_intervals(spark, sf))
+
+
+@query
+def interval_existing_files(spark, sf):
+    """Every path of two adjacent commits, asked for at the later one."""
+    asked = _daily_changes(spark, sf).select("seq", "path")
+    held = _daily_intervals(spark, sf)
+    there = intervals.present_in_intervals(asked, held).withColumn("present", F.lit(True))
+    return there.unionByName(intervals.present_in_intervals(asked, held, "left_anti").withColumn("present", F.lit(False)))
+
+
 def _daily_selected(spark, sf):
     return history.select_changes(V.daily_trees(spark, sf), V.daily_commits(spark, sf))
 

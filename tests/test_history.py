@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from historymine.operators import history, summary
+from historymine.operators import history, intervals, summary
 from historymine.sources import read_commit_log
 
 SNAPSHOTS = [
@@ -113,3 +113,28 @@ def test_marked_renames(spark, rows):
     trees, log = _inputs(spark)
     marked = history.mark_renames(history.snapshot_diff(trees, log)).where("seq = 1")
     assert rows(marked, "path", "kind") == [("A2.java", "R"), ("B.java", "M"), ("C.txt", "U"), ("D.JAVA", "A")]
+
+
+@pytest.mark.parametrize("block", [1, 4, 1024])
+def test_intervals_hold_the_whole_history(spark, rows, monkeypatch, block):
+    """Trees, changes, counts and questions from intervals equal those from the trees; a row per change, whatever the blocks."""
+    monkeypatch.setattr(intervals, "COMMITS_PER_BLOCK", block)
+    rng = random.Random(6)
+    trees = [{f"p{p}.java": rng.choice("ab") for p in range(8) if rng.random() < 0.8} for _ in range(12)]
+    trees[5] = {}
+    trees[7] = trees[8] = trees[6]
+    log = spark.createDataFrame([(i, f"c{i}") for i in range(len(trees))], "seq BIGINT, commit STRING")
+    files = spark.createDataFrame([(i, p, h) for i, t in enumerate(trees) for p, h in t.items()], "seq BIGINT, path STRING, hash STRING")
+    changes = history.snapshot_diff(files, log).where("kind <> 'U'").cache()
+    held = intervals.tree_intervals(changes, log).cache()
+    assert held.count() == changes.where("kind <> 'D'").count()
+    for seq in (0, 5, 8, 11):
+        assert dict(rows(intervals.tree_at(held, seq))) == trees[seq]
+    assert rows(intervals.interval_changes(held, log)) == rows(changes.select("seq", "path", "kind", "hash", "prev_hash"))
+    assert dict(rows(intervals.files_in_intervals(log, held), "seq", "n_files")) == {i: len(t) for i, t in enumerate(trees)}
+    asked = log.select("seq").join(files.select("path").distinct(), how="cross")
+    assert set(rows(intervals.present_in_intervals(asked, held), "seq", "path")) == {(i, p) for i, t in enumerate(trees) for p in t}
+    absent = {(i, f"p{p}.java") for i in range(12) for p in range(8)} - {(i, p) for i, t in enumerate(trees) for p in t}
+    assert set(rows(intervals.present_in_intervals(asked, held, "left_anti"), "seq", "path")) == absent
+    earlier = intervals.tree_intervals(changes.where("seq <= 4"), log.where("seq <= 4"))
+    assert rows(intervals.extend_intervals(earlier, changes, 4, log)) == rows(held)
