@@ -23,6 +23,7 @@ import re
 from array import array
 from collections import Counter
 from collections.abc import Iterator
+from operator import mul
 
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
@@ -33,7 +34,6 @@ from historymine.llm.common import map_rows, stored
 SPACES = re.compile(r"\s ")
 CUT = re.compile(r"(?<=\S) ")
 KEPT_UNITS, KEPT_CHARS = 150_000, 48  # units that a worker keeps before it forgets those not used lately, and the longest
-UNSEEN = object()
 KNOWN_PAIRS = 1_000_000
 PAIRS_AT_ONCE = 1 << 21  # collected in a task before equal ones are folded
 _B_IDS = 1 << 16  # a pair is a * _B_IDS + b, an unsigned integer of 32 bits
@@ -64,54 +64,53 @@ class Aligner:
             raise ValueError("a piece of the second tokenizer holds a space after something else")
         if max(len(self.a_bytes), len(self.b_bytes)) > _B_IDS:
             raise ValueError("more ids than a pair can hold")
-        self.units: dict[str, tuple | None] = {}
-        self.before: dict[str, tuple | None] = {}
+        self.units: dict[str, tuple | bool] = {}
+        self.before: dict[str, tuple | bool] = {}
 
     def text(self, text: str) -> tuple[int, int, int, int, str, bytes, bytes] | None:
         """``(n_a, n_b, n_groups, n_links, groups, pairs, links of each pair)`` of space + text; None if bytes differ."""
         units = CUT.split(text) if SPACES.search(" " + text) else text.split(" ")  # each with a space before it
         counted = Counter(units)
-        known = dict(zip(counted, self._known(list(counted))))
-        if None in known.values():
+        known = self._known(counted)
+        if False in known:
             return None
-        n_a = n_b = n_groups = n_links = 0
-        pairs, links, sizes, times = [], [], [], []
-        for unit, n in counted.items():
-            a, b, g, k, _, p, l = known[unit]
-            n_a, n_b, n_groups, n_links = n_a + n * a, n_b + n * b, n_groups + n * g, n_links + n * k
-            pairs.append(p)
-            links.append(l)
-            sizes.append(len(p) // 4)
-            times.append(n)
-        weights = np.frombuffer(b"".join(links), dtype="<i8") * np.repeat(np.array(times, dtype=np.int64), sizes)
-        distinct, weights = folded(np.frombuffer(b"".join(pairs), dtype="<u4"), weights)
-        return n_a, n_b, n_groups, n_links, ";".join([known[u][4] for u in units]), distinct.tobytes(), weights.tobytes()
-
-    def _known(self, wanted: list[str]) -> list[tuple | None]:
+        times = counted.values()
+        n_a, n_b, n_groups, n_links, groups, pairs, links = zip(*known)
+        total = lambda numbers: sum(map(mul, numbers, times))
+        weights = np.repeat(np.array([*times], dtype=np.int64), np.array([*map(len, pairs)]) // 4)
+        distinct, weights = folded(np.frombuffer(b"".join(pairs), dtype="<u4"), np.frombuffer(b"".join(links), dtype="<i8") * weights)
+        named = dict(zip(counted, groups))
+        return total(n_a), total(n_b), total(n_groups), total(n_links), ";".join(map(named.__getitem__, units)), distinct.tobytes(), weights.tobytes()
+
+    def _known(self, wanted: Counter) -> list[tuple | bool]:
+        if len(self.units) > KEPT_UNITS:  # what was not used since the last time is forgotten
+            self.units, self.before = {}, self.units
         units, before = self.units, self.before
-        if len(units) > KEPT_UNITS:  # what was not used since the last time is forgotten
-            self.units, self.before = units, before = {}, units
-        made = {u: units.get(u, UNSEEN) for u in wanted}
-        new = []
-        for u, m in made.items():
-            if m is UNSEEN:
-                m = before.get(u, UNSEEN)
-                if m is UNSEEN:
+        known = list(map(units.get, wanted))
+        if None not in known:
+            return known
+        new, places = [], []
+        for k, (u, m) in enumerate(zip(wanted, known)):
+            if m is None:
+                known[k] = m = before.get(u)
+                if m is None:
                     new.append(u)
+                    places.append(k)
                 else:
-                    made[u] = units[u] = m
+                    units[u] = m
         if new:
             a, b = self.a.encode_batch_fast([" " + u for u in new], add_special_tokens=False), self.b.encode(new, num_threads=1)
-            for u, of_a, of_b in zip(new, a, b):
-                made[u] = m = self._align(u, of_a.ids, of_b or self.space)  # a space alone gives no ids without its text before it
+            for k, u, of_a, of_b in zip(places, new, a, b):
+                known[k] = m = self._align(u, of_a.ids, of_b or self.space)  # a space alone gives no ids without its text before it
                 if len(u) <= KEPT_CHARS:
                     units[u] = m
-        return [made[u] for u in wanted]
+        return known
 
-    def _align(self, unit: str, a: list[int], b: list[int]) -> tuple | None:
+    def _align(self, unit: str, a: list[int], b: list[int]) -> tuple | bool:
+        """What a unit adds to its text; False if its bytes differ."""
         data, a_bytes, b_bytes, names = (" " + unit).encode(), self.a_bytes, self.b_bytes, self.names
         if b"".join([a_bytes[i] for i in a]) != data or b"".join([b_bytes[i] for i in b]) != data:
-            return None
+            return False
         a_lengths, b_lengths = self.a_lengths, self.b_lengths
         links: dict[int, int] = {}
         groups = []

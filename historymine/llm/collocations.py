@@ -16,7 +16,7 @@ some others pass, never stops a frequent one, and the sums decide.
 
 from __future__ import annotations
 
-import re
+import functools
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -28,13 +28,12 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from historymine.llm.common import stored
 
-SHARD_WORDS = 1_000_000
+SHARD_WORDS = 700_000
 ORDER = 4  # words by which suffixes are sorted
 BITMAP_BITS = 1 << 26
 BATCH_ROWS = 1 << 16
 _BUCKET_BITS = 1 << 15  # of Spark's bitmap functions
-_TOKENS = re.compile(r"[.,;:!?\n-\r]|[^ \t.,;:!?\n-\r]+")
-_LOWER = {c: c + 32 for c in range(65, 91)}
+_ENDS = ".,;:!?\n\x0b\x0c\r"  # of pieces
 _SCHEMA = "lang string, phrase string, words int, n bigint"
 _ARROW = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("words", pa.int32()), ("n", pa.int64())])
 
@@ -43,7 +42,7 @@ class _Ids(dict):
     """Numbers words as they come; ends of pieces are 0."""
 
     def __init__(self):
-        super().__init__({c: 0 for c in ".,;:!?\n\x0b\x0c\r"})
+        super().__init__({".": 0})
         self.words = [""]
 
     def __missing__(self, word: str) -> int:
@@ -53,8 +52,12 @@ class _Ids(dict):
 
 
 def tokens_of(text: str) -> list[str]:
-    """Words and ends of pieces, in order; A-Z in lower case."""
-    return _TOKENS.findall(text.lower() if text.isascii() else text.translate(_LOWER))
+    """Words, and a full stop for each end of a piece, in order; A-Z in lower case."""
+    text = text.encode().lower().decode()  # of bytes, only A-Z have a lower case
+    for end in _ENDS:
+        if end in text:
+            text = text.replace(end, " . ")
+    return [word for word in text.replace("\t", " ").split(" ") if word]
 
 
 @dataclass(frozen=True)
@@ -70,6 +73,11 @@ class Intervals:
         return Intervals(self.forward[keep], self.backward[keep], self.size[keep], self.words[keep])
 
 
+def _stable_order(keys: np.ndarray) -> np.ndarray:
+    """The order of small keys, ties by place; numbers that differ sort faster than a stable sort of equal ones."""
+    return np.argsort(keys.astype(np.int64) * len(keys) + np.arange(len(keys)))
+
+
 class _Transform:
     """The Burrows-Wheeler transform of ``ids`` read as a circle, and the row that the symbol of each row leads to."""
 
@@ -78,14 +86,13 @@ class _Transform:
         reach = 1
         while reach < ORDER:
             key = rank * (int(rank.max()) + 1) + np.roll(rank, -reach)
-            order = np.argsort(key, kind="stable")
+            order = np.argsort(key)
             new = np.concatenate([[0], np.cumsum(key[order[1:]] != key[order[:-1]])])
             rank[order] = new
             reach *= 2
-        self.symbols = np.roll(ids, 1)[np.argsort(rank, kind="stable")]
-        by_symbol = np.argsort(self.symbols, kind="stable")
+        self.symbols = np.roll(ids, 1)[np.argsort(rank)]
         self.leads_to = np.empty(len(ids), dtype=np.int64)
-        self.leads_to[by_symbol] = np.arange(len(ids))
+        self.leads_to[_stable_order(self.symbols)] = np.arange(len(ids))
 
 
 class ShardIndex:
@@ -93,9 +100,17 @@ class ShardIndex:
 
     def __init__(self, ids: np.ndarray):
         self.n_words = int(ids.max()) + 1
-        self.forward, self.backward = _Transform(ids), _Transform(ids[::-1])
+        self.ids = ids
         self.starts = np.concatenate([[0], np.cumsum(np.bincount(ids, minlength=self.n_words))])
 
+    @functools.cached_property
+    def forward(self) -> _Transform:
+        return _Transform(self.ids)
+
+    @functools.cached_property
+    def backward(self) -> _Transform:
+        return _Transform(self.ids[::-1])
+
     def words(self) -> Intervals:
         """All words: both indexes start with the same symbols, so the intervals are the same."""
         at = np.arange(1, self.n_words, dtype=np.int64)
@@ -109,14 +124,14 @@ class ShardIndex:
         together where the first of them leads to, and in the other index in the order
         of the symbols inside the phrase's own interval.
         """
-        index, near, far = (self.forward, of.forward, of.backward) if left else (self.backward, of.backward, of.forward)
         if not len(of.size):
             return Intervals(of.forward, of.backward, of.size, np.empty((0, of.words.shape[1] + 1), dtype=np.int64))
+        index, near, far = (self.forward, of.forward, of.backward) if left else (self.backward, of.backward, of.forward)
         phrase = np.repeat(np.arange(len(of.size)), of.size)
         before = np.cumsum(of.size) - of.size
         rows = np.arange(len(phrase)) - before[phrase] + near[phrase]
         key = phrase * self.n_words + index.symbols[rows]
-        order = np.argsort(key, kind="stable")
+        order = _stable_order(key) if len(key) * int(key[-1] + self.n_words) < 1 << 62 else np.argsort(key, kind="stable")
         key = key[order]
         first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         size = np.diff(np.append(first, len(key)))
