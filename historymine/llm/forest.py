@@ -5,7 +5,12 @@ near the median where few vectors lie; vectors within a margin of the split go t
 both sides (spill). Every vector then falls into one or more leaves of every tree,
 and the vectors of a leaf are compared with each other. A pair that shares several
 leaves counts in the first of them only, so pairs are never listed: a leaf gives,
-for each vector, the number of its links and the smallest id it is linked to.
+for each vector, the number of its links and the smallest id that these links reach inside the leaf.
+
+A linked pair may miss all common leaves, since its vectors may lie further apart along a
+direction than the margin. A check of all pairs of blocks follows, which counts the linked
+pairs that share no leaf; a few rotated components rule out nearly all others. With it the
+result is exact. Its work is quadratic in the vectors, in blocks of bounded size.
 """
 
 from __future__ import annotations
@@ -14,18 +19,24 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from historymine.llm.common import components, hash_share, map_rows, stored
 
 
+CHECK_ROWS = 2_048  # of a tile in the check of all pairs
+CHECK_DIM = 16  # rotated components that rule out most pairs
+
+
 @dataclass(frozen=True)
 class Forest:
     """``trees`` are fitted on about ``sample`` vectors, down to about ``leaf`` vectors of all data or ``least_sampled`` of the sample.
 
     A split tries ``directions``; ``spill`` is the margin in units of the largest
     possible difference of two linked unit vectors along a direction: their
-    distance over the square root of the dimension.
+    distance over the square root of the dimension. Leaves are compared by ``block``
+    vectors; the check of all pairs makes ``check_blocks`` blocks, or more, so that none holds much more than ``check_block``.
     """
 
     cosine: float = 0.95
@@ -36,6 +47,8 @@ class Forest:
     directions: int = 12
     spill: float = 0.75
     block: int = 2_048
+    check_blocks: int = 16
+    check_block: int = 32_768
     seed: int = 11
 
 
@@ -133,6 +146,41 @@ def _units(raw: list[bytes]) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
+def _unite(up: list[int], ids: np.ndarray, near: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Join in ``up``, a parent per row, the rows that ``near`` links, ``a`` down and ``b`` across; a root has the least id of its rows."""
+
+    def root(k: int) -> int:
+        while up[k] != k:
+            up[k] = k = up[up[k]]
+        return k
+
+    back = np.ascontiguousarray(near.T)
+    new_a, new_b = near.any(axis=1), near.any(axis=0)
+    for start in np.flatnonzero(new_a):
+        if not new_a[start]:
+            continue
+        new_a[start] = False
+        front, joined = np.array([start]), [a[start : start + 1]]
+        while len(front):
+            across = np.flatnonzero(near[front].any(axis=0) & new_b)
+            new_b[across] = False
+            front = np.flatnonzero(back[across].any(axis=0) & new_a)
+            new_a[front] = False
+            joined += [b[across], a[front]]
+        roots = {root(k) for k in np.concatenate(joined).tolist()}
+        least = min(roots, key=lambda k: ids[k])
+        for k in roots:
+            up[k] = least
+
+
+def _least(up: list[int], ids: np.ndarray) -> np.ndarray:
+    """The least id that each row is joined with."""
+    at = np.array(up)
+    while (at != at[at]).any():
+        at = at[at]
+    return ids[at]
+
+
 def _compare(unit_rows: list[tuple], cosine: float) -> Iterator[tuple]:
     """``(id, h1, h2, links, least)`` of each vector in one pair of blocks of a leaf."""
     leaf, i, j = unit_rows[0][:3]
@@ -160,17 +208,94 @@ def _compare(unit_rows: list[tuple], cosine: float) -> Iterator[tuple]:
     ids = np.array([r[4] for r in rows])
     copies = np.array([r[7] for r in rows])
     links = np.zeros(len(rows), dtype=np.int64)
-    least = ids.copy()
     np.add.at(links, a, first @ copies[b])
-    np.minimum.at(least, a, np.where(near, ids[b][None, :], np.iinfo(np.int64).max).min(axis=1))
     if i != j:
         np.add.at(links, b, first.T @ copies[a])
-        np.minimum.at(least, b, np.where(near.T, ids[a][None, :], np.iinfo(np.int64).max).min(axis=1))
+    up = list(range(len(rows)))
+    _unite(up, ids, near, np.array(a), np.array(b))
+    least = _least(up, ids)
     for k, r in enumerate(rows):
         if links[k] or least[k] != ids[k]:
             yield r[4], r[5], r[6], int(links[k]), int(least[k])
 
 
+def _share_leaf(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """For each of ``a`` and each of ``b`` whether their lists of leaves meet."""
+    both = np.intersect1d(np.concatenate(a), np.concatenate(b))
+    meet = np.zeros((len(a), len(b)), dtype=bool)
+    for start in range(0, len(both), CHECK_ROWS):
+        part = both[start : start + CHECK_ROWS]
+        sides = []
+        for lists in (a, b):
+            inside = np.zeros((len(lists), len(part)), dtype=np.float32)
+            row, leaf = np.repeat(np.arange(len(lists)), [len(n) for n in lists]), np.concatenate(lists)
+            at = np.minimum(np.searchsorted(part, leaf), len(part) - 1)
+            here = part[at] == leaf
+            inside[row[here], at[here]] = 1
+            sides.append(inside)
+        meet |= sides[0] @ sides[1].T > 0
+    return meet
+
+
+def _missed(rows: pa.Table, how: Forest) -> Iterator[tuple]:
+    """``(id, h1, h2, links, least)`` of the linked vectors in one pair of blocks that share no leaf, tile by tile."""
+    i, j = rows["i"][0].as_py(), rows["j"][0].as_py()
+    own, raw = rows["own"].to_numpy(), rows["embedding"].to_pylist()
+    ids, copies, h1, h2 = (rows[c].to_numpy() for c in ("rep", "copies", "h1", "h2"))
+    leaves = np.empty(len(raw), dtype=object)
+    leaves[:] = [np.array(n, dtype=np.int64) for n in rows["leaves"].to_pylist()]
+    x = _units(raw)
+    few = x.shape[1] > 2 * CHECK_DIM
+    if few:  # the distance along some orthonormal directions is at most the distance: one product gives its square
+        turned = np.linalg.qr(np.random.default_rng(how.seed).normal(size=(x.shape[1], CHECK_DIM)))[0]
+        y = x @ turned
+        square, one = (y * y).sum(axis=1, keepdims=True), np.ones((len(y), 1))
+        left, right = np.hstack([-2 * y, square, one]).astype(np.float32), np.hstack([y, one, square]).astype(np.float32)
+    furthest = 2 - 2 * how.cosine + 1e-4
+    links, up = np.zeros(len(raw), dtype=np.int64), list(range(len(raw)))
+    tiles = [[at[k : k + CHECK_ROWS] for k in range(0, len(at), CHECK_ROWS)] for at in (np.flatnonzero(own == i), np.flatnonzero(own == j))]
+    for p, a in enumerate(tiles[0]):
+        for b in tiles[1][p:] if i == j else tiles[1]:
+            if few:
+                maybe = left[a] @ right[b].T <= furthest
+                a_in, b_in = a[maybe.any(axis=1)], b[maybe.any(axis=0)]
+            else:
+                a_in, b_in = a, b
+            if not len(a_in) or not len(b_in):
+                continue
+            near = x[a_in] @ x[b_in].T >= how.cosine
+            if i == j:
+                near &= a_in[:, None] < b_in[None, :]
+            a_in, b_in, near = a_in[near.any(axis=1)], b_in[near.any(axis=0)], near[near.any(axis=1)][:, near.any(axis=0)]
+            if not near.size:
+                continue
+            near &= ~_share_leaf(leaves[a_in].tolist(), leaves[b_in].tolist())
+            links[a_in] += near @ copies[b_in]
+            links[b_in] += near.T @ copies[a_in]
+            _unite(up, ids, near, a_in, b_in)
+    least = _least(up, ids)
+    for k in np.flatnonzero(links):
+        yield int(ids[k]), int(h1[k]), int(h2[k]), int(links[k]), int(least[k])
+
+
+def missed_links(indexed: DataFrame, n_vectors: int, how: Forest) -> DataFrame:
+    """``(rep, h1, h2, links, least)`` over the linked pairs that no leaf holds: all pairs of blocks, each in a task of its own.
+
+    A vector is copied once per block. There are ``check_blocks`` of them until they would hold more than ``check_block`` vectors.
+    """
+    blocks = max(how.check_blocks, -(-n_vectors // how.check_block))
+    own = F.pmod(F.xxhash64("h1", "h2"), F.lit(blocks)).cast("int")
+    spread = indexed.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    units = spread.select(F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "h1", "h2", "copies", "embedding", "leaves")
+    names = ["rep", "h1", "h2", "links", "least"]
+    out = pa.schema([(n, pa.int64()) for n in names])
+
+    def check(rows: pa.Table) -> pa.Table:
+        return pa.Table.from_pylist([dict(zip(names, r)) for r in _missed(rows, how)], schema=out)
+
+    return units.groupBy("i", "j").applyInArrow(check, ", ".join(f"{n} bigint" for n in names))
+
+
 def near_duplicates(vectors: DataFrame, how: Forest = Forest(), id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """``(vec_id, n_links, component_id, kept)`` per row of ``vectors``; other columns are ignored.
 
@@ -189,7 +314,8 @@ def near_duplicates(vectors: DataFrame, how: Forest = Forest(), id_col: str = "v
         keyed.join(classes, key).select("id", *key, "rep", "copies", F.when(F.col("id") == F.col("rep"), F.col("embedding")).alias("embedding")), "forest-vectors"
     )
     entering = members.where("embedding is not null")
-    trees = fit(entering, classes.count(), how)
+    n_classes = classes.count()
+    trees = fit(entering, n_classes, how)
     offsets = np.cumsum([0, *[t.leaves for t in trees]]).tolist()
     dim = max((len(d) for t in trees for d in t.directions), default=0)
 
@@ -237,6 +363,8 @@ def near_duplicates(vectors: DataFrame, how: Forest = Forest(), id_col: str = "v
 
     ordered = units.repartition("leaf", "i", "j").sortWithinPartitions("leaf", "i", "j")
     found = stored(map_rows(ordered, compare, "rep bigint, h1 bigint, h2 bigint, links bigint, least bigint"), "forest-links")
+    if trees and all(t.leaves > 1 for t in trees):  # otherwise a leaf holds all vectors
+        found = found.union(stored(missed_links(indexed, n_classes, how), "forest-missed"))
 
     counted = found.groupBy(*key).agg(F.sum("links").alias("links"))
     repeated = members.groupBy("id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("id")

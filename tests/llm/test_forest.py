@@ -74,3 +74,24 @@ def test_odd_rows(spark):
 
 def test_empty_table(spark):
     assert forest.near_duplicates(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+@pytest.mark.parametrize("dim", [32, 48])
+def test_links_that_no_leaf_holds(spark, dim):
+    """Without spill the trees part many linked pairs; none of them is lost, and none counts twice."""
+    draw = np.random.default_rng(dim)
+    base = draw.normal(size=(120, dim))
+    x = (base[draw.integers(0, len(base), 700)] + draw.normal(scale=0.2, size=(700, dim))).astype(np.float32)
+    rows = [(10 + i, v.tolist(), 1, "", 1, "") for i, v in enumerate(x)] + [(9000, x[5].tolist(), 1, "", 1, ""), (3, x[6].tolist(), 1, "", 1, "")]
+    how = forest.Forest(leaf=40, least_sampled=6, block=16, spill=0.0, check_blocks=3)
+    got = forest.near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(5), how).collect()
+    assert sorted(map(tuple, got), key=repr) == brute(rows)
+
+
+def test_chain_whose_middle_is_not_the_least(spark):
+    """10 and 11 have a smaller neighbour each, and are linked with each other: one component, in a leaf as between blocks."""
+    at = {1: 0.0, 10: 0.3, 11: 0.6, 2: 0.9, 40: 2.0, 41: 2.3, 42: 2.6, 43: 2.3 + 2**-10}
+    rows = [(k, [float(np.cos(a)), float(np.sin(a))], 0, "", 0, "") for k, a in at.items()]
+    for how in (forest.Forest(), forest.Forest(block=3)):
+        got = {r[0]: tuple(r)[:3] for r in forest.near_duplicates(spark.createDataFrame(rows, SCHEMA), how).collect()}
+        assert got == {1: (1, 1, 1), 10: (10, 2, 1), 11: (11, 2, 1), 2: (2, 1, 1), 40: (40, 2, 40), 41: (41, 3, 40), 42: (42, 2, 40), 43: (43, 3, 40)}
