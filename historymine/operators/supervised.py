@@ -1,17 +1,20 @@
-"""An analyzer in a process of its own, so that it may crash or hang."""
+"""Analyzers in processes of their own, so that they may crash or hang."""
 
 from __future__ import annotations
 
 import multiprocessing
 import os
 import signal
-from collections.abc import Callable
-from multiprocessing.connection import Connection
+import time
+from collections.abc import Callable, Iterator
+from multiprocessing.connection import Connection, wait
 
 import pandas as pd
 
 GRACE_SECONDS = 5  # after which a child whose parent is gone ends by itself
 START_SECONDS = 60
+PATIENCE_SECONDS = 0.05  # without any work, after which a call counts as waiting
+AT_ONCE = 16
 
 
 class AnalyzerTimeout(Exception):
@@ -36,12 +39,13 @@ def _serve(factory: Callable[[], Callable], calls: Connection, other_end: Connec
         while True:
             files = calls.recv()
             signal.setitimer(signal.ITIMER_REAL, seconds + GRACE_SECONDS)
+            began = time.monotonic()
             try:
                 answer = (True, analyzer(files))
             except Exception as error:
                 answer = (False, str(error))
             signal.setitimer(signal.ITIMER_REAL, 0)
-            calls.send(answer)
+            calls.send((*answer, time.monotonic() - began))
     except (EOFError, OSError):
         os._exit(0)  # the parent is gone
 
@@ -56,22 +60,47 @@ class Supervised:
         self.factory, self.seconds = factory, seconds
         self.child: multiprocessing.Process | None = None
         self.calls: Connection | None = None
+        self.until = 0.0
+        self.seen: tuple | None = None  # when the call was last seen at work, and its processor time then
 
-    def __call__(self, files: pd.DataFrame) -> pd.DataFrame:
+    def begin(self, files: pd.DataFrame) -> None:
+        """Start a call; ``answer`` ends it."""
         if self.child is None:
             self._start()
+        self.seen = None
+        self.until = time.monotonic() + self.seconds
         try:
             self.calls.send(files)
-            if not self.calls.poll(self.seconds):
-                self.close()
-                raise AnalyzerTimeout(f"the analyzer took longer than {self.seconds:g} seconds")
-            worked, answer = self.calls.recv()
-        except (EOFError, OSError):
+        except OSError:
             raise AnalyzerCrash(self._ended()) from None
+
+    def answer(self) -> pd.DataFrame:
+        """What the call returned, if it has ended; otherwise it is given up."""
+        try:
+            worked, answer, took = self.calls.recv() if self.calls.poll() else (False, None, self.seconds + 1)
+        except (EOFError, OSError):
+            if time.monotonic() < self.until:
+                raise AnalyzerCrash(self._ended()) from None
+            worked, answer, took = False, None, self.seconds + 1
+        if took > self.seconds:
+            self.close()
+            raise AnalyzerTimeout(f"the analyzer took longer than {self.seconds:g} seconds")
         if not worked:
             raise AnalyzerFailure(answer)
         return answer
 
+    def waits(self) -> bool:
+        """Whether the call sleeps and has used no processor time for a while; never where the system does not tell."""
+        try:
+            with open(f"/proc/{self.child.pid}/stat") as stat:
+                state, *numbers = stat.read().rpartition(")")[2].split()
+        except OSError:
+            return False
+        now, used = time.monotonic(), (numbers[10], numbers[11])
+        if state not in "SD" or self.seen is None or self.seen[1] != used:
+            self.seen = now, used
+        return now - self.seen[0] >= PATIENCE_SECONDS
+
     def _start(self) -> None:
         fork = multiprocessing.get_context("fork")  # the factory need not be pickled again
         self.calls, theirs = fork.Pipe()
@@ -101,3 +130,44 @@ class Supervised:
             self.child.join()
             self.calls.close()
             self.child = self.calls = None
+
+
+def calls_at_once(
+    factory: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]], seconds: float, next_part: Callable[[], pd.DataFrame | None], at_once: int = AT_ONCE
+) -> Iterator[tuple[pd.DataFrame, pd.DataFrame | Exception]]:
+    """Call the analyzer for the parts that ``next_part`` gives, until it has none; yields each part with its answer or error.
+
+    One call is at work at a time. While calls only wait, as those that hang do, the next ones
+    are made in other processes, up to ``at_once`` of them; so calls that compute never
+    take processor time, and with it their limit, from each other.
+    """
+    running: dict[Supervised, pd.DataFrame] = {}
+    idle: list[Supervised] = []
+    try:
+        while True:
+            while len(running) < at_once and all(child.waits() for child in running):
+                part = next_part()
+                if part is None:
+                    break
+                child = idle.pop() if idle else Supervised(factory, seconds)
+                try:
+                    child.begin(part)
+                    running[child] = part
+                except Exception as error:
+                    idle.append(child)
+                    yield part, error
+            if not running:
+                return
+            left = min(child.until for child in running) - time.monotonic()
+            ended = wait([child.calls for child in running], max(0, min(PATIENCE_SECONDS, left)))
+            for child in [c for c in running if c.calls in ended or time.monotonic() >= c.until]:
+                part = running.pop(child)
+                idle.append(child)
+                try:
+                    outcome = child.answer()
+                except Exception as error:
+                    outcome = error
+                yield part, outcome
+    finally:
+        for child in [*running, *idle]:
+            child.close()

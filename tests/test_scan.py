@@ -199,3 +199,33 @@ def test_rules_for_one_language(spark, rows):
     assert rows(scan.rule_scan(files, rules), "hash", "rule") == [("h0", "L"), ("h0", "N"), ("h1", "L")]
     with pytest.raises(ValueError, match="lang"):
         scan.rule_scan(_files(spark, "1"), rules)
+
+
+def test_calls_that_hang_wait_side_by_side(spark, rows):
+    """One task, thirty files that hang for a second each, beside crashes and a long computation: right, and in much less than thirty seconds."""
+    words = {**dict.fromkeys(range(3, 123, 4), "hang"), 50: "exit", 70: "busy"}
+    files = _files(spark, *[f"{words.get(i, 'fine')} {100 + i}" for i in range(124)]).coalesce(1)
+
+    def factory():
+        plain = analyzers.line_pattern_analyzer("[0-9]{3,}", "N", "S")()
+
+        def analyzer(batch):
+            text = "".join(batch["content"])
+            if "exit" in text:
+                os._exit(3)
+            while "hang" in text:
+                time.sleep(0.2)
+            until = time.process_time() + (0.4 if "busy" in text else 0)
+            while time.process_time() < until:
+                pass
+            return plain(batch)
+
+        return analyzer
+
+    began = time.monotonic()
+    outcome = analyzers.analyze(files, factory, seconds=1.0).cache()
+    errors = rows(analyzers.analyzer_errors(outcome))
+    assert time.monotonic() - began < 20
+    slow = [(f"h{i}", "the analyzer took longer than 1 seconds") for i in range(3, 123, 4)]
+    assert errors == sorted([*slow, ("h50", "the analyzer ended with exit code 3")])
+    assert rows(analyzers.analyzer_findings(outcome), "hash") == sorted((f"h{i}",) for i in range(124) if words.get(i, "busy") == "busy")
