@@ -66,11 +66,15 @@ def contents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _document_files(spread_scan(table(spark, sf_dir, "documents")))
 
 
-def deliveries(rows: DataFrame, files: int = 4) -> Callable[[], DataFrame]:
-    """Write ``rows`` as several files; each call gives a stream that takes one file per micro-batch."""
+def deliveries(rows: DataFrame, batches: int = 4) -> Callable[[], DataFrame]:
+    """Write ``rows`` as several files; each call gives a stream that takes them in ``batches`` micro-batches.
+
+    There are at least as many files as the scan of ``rows`` has partitions, so none grows with the table.
+    """
     path = scratch_path(rows.sparkSession, "deliveries")
-    rows.repartition(files).write.parquet(path)
-    return lambda: rows.sparkSession.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    files = -(-rows.rdd.getNumPartitions() // batches)  # per batch
+    rows.repartition(batches * files).write.parquet(path)
+    return lambda: rows.sparkSession.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 def daily_trees(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from pyspark.sql import functions as F
 
+from historymine.bindings import views as V
 from historymine.operators import scan
 from historymine.sources import Rule
 from historymine.streaming import dedup_contents, ingest_reports, running_tally
-from historymine.streaming.jobs import latest_tally
+from historymine.streaming.jobs import latest_tally, run_available
 
 SCHEMA = "commit STRING, seq BIGINT"
 
@@ -106,3 +107,12 @@ def test_running_tally_equals_batch(spark, tmp_path, rows):
         running_tally(spark.readStream.schema(schema).parquet(inbox), rules, table, checkpoint)
     every = scan.rule_scan(spark.read.schema(schema).parquet(inbox), rules)
     assert rows(latest_tally(spark, table), "rule", "n") == rows(every.groupBy("rule").agg(F.count(F.lit(1)).alias("n")))
+
+
+def test_deliveries_grow_in_files_not_in_size(spark, tmp_path):
+    """A table of many partitions arrives in four micro-batches as ever, each of several files."""
+    seen = []
+    arriving = V.deliveries(spark.range(0, 600, 1, 22).toDF("n"))
+    run_available(arriving().withColumn("file", F.input_file_name()), lambda batch, _: seen.append(batch.agg(F.count_distinct("file"), F.count("n"), F.sum("n")).first()), str(tmp_path / "c"))
+    assert [r[0] for r in seen] == [6, 6, 6, 6]
+    assert (sum(r[1] for r in seen), sum(r[2] for r in seen)) == (600, 600 * 599 // 2)
