@@ -433,7 +433,7 @@ def commit_reports(spark, sf):
 @query
 def sink_reports(spark, sf):
     path = scratch_path(spark, "reports")
-    sinks.write_reports(_order_reports(spark, sf), path)
+    sinks.write_reports(_order_reports(spark, sf), path, compression="gzip")
     return _with_headers(spark.read.schema(S.COMMIT_REPORT_JSON).json(path))
 
 

@@ -7,9 +7,9 @@ import uuid
 from pyspark.sql import DataFrame, functions as F
 
 
-def write_reports(reports: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Commit documents as JSON, one per line; null fields are left out."""
-    reports.write.mode(mode).json(path)
+def write_reports(reports: DataFrame, path: str, mode: str = "errorifexists", compression: str = "none") -> None:
+    """Commit documents as JSON, one per line; null fields are left out. Names and rules repeat in every line, so ``gzip`` saves most of the space."""
+    reports.write.mode(mode).json(path, compression=compression)
 
 
 def write_errors(errors: DataFrame, path: str, mode: str = "errorifexists", with_seq: bool = False) -> None:

@@ -97,3 +97,13 @@ def test_trees_of_any_root_and_encoding(spark, tmp_path, rows, monkeypatch):
         assert rows(found, "commit", "path", "content") == [("c0", "src/A.java", "caf\ufffd 1\n"), ("c0", "src/B.java", "é")]
     raw = hashlib.sha1((tree / "A.java").read_bytes()).hexdigest()
     assert raw in {r.hash for r in sources.read_trees(spark, str(tmp_path / "trees")).collect()}
+
+
+def test_reports_are_written_small(spark, rows, tmp_path):
+    """Documents repeat their field names and rules in every line; on disk that costs a fraction of the text."""
+    violation = F.array(F.struct(F.lit("R").alias("rule"), F.lit("S").alias("ruleSet"), F.lit(1).alias("line"), F.lit("a message").alias("message")))
+    documents = spark.range(2000).select(F.concat(F.lit("c"), "id").alias("commit"), F.lit("f.java").alias("filename"), violation.alias("violations"))
+    sinks.write_reports(documents, str(tmp_path / "reports"), compression="gzip")
+    text = documents.select(F.sum(F.length(F.to_json(F.struct("*"))) + 1)).first()[0]
+    assert sum(f.stat().st_size for f in (tmp_path / "reports").iterdir()) < text / 4
+    assert rows(spark.read.schema(documents.schema).json(str(tmp_path / "reports"))) == rows(documents)
