@@ -30,6 +30,7 @@ def spread_join(
     spread_by: Sequence[str],
     how: str = "inner",
     rows_per_slice: int = ROWS_PER_SLICE,
+    within: DataFrame | None = None,
 ) -> DataFrame:
     """Join ``facts`` (many rows per key) to ``lookup`` (few rows per key).
 
@@ -37,10 +38,14 @@ def spread_join(
     the lookup rows of that key are repeated, once per slice. The slice is a
     function of the row, so a task that is run again places it alike. ``how``
     is ``inner`` or ``left``: the slices keep both exact. The keys are counted
-    in a job of their own; without a hot one the result is a plain join.
+    in a job of their own; without a hot one the result is a plain join. ``within``, a
+    stored table with no fewer rows than ``facts``, spares that job where the whole of
+    it is no more than a slice, for then no key can be hot; its rows are counted from file footers.
     """
     if how not in ("inner", "left"):
         raise ValueError(f"spread_join does not support how={how!r}")
+    if within is not None and within.count() <= rows_per_slice:
+        return facts.join(lookup, list(on), how)
     hot = hot_keys(facts, on, rows_per_slice)
     if hot.isEmpty():
         return facts.join(lookup, list(on), how)

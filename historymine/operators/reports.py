@@ -19,27 +19,27 @@ def count_per_commit(commits: DataFrame, rows: DataFrame, name: str, key: str =
 
 
 def findings_by_file(
-    files: DataFrame, findings: DataFrame, commit: str = "seq", rows_per_slice: int = ROWS_PER_SLICE
+    files: DataFrame, findings: DataFrame, commit: str = "seq", rows_per_slice: int = ROWS_PER_SLICE, within: DataFrame | None = None
 ) -> DataFrame:
-    """Carry content-level findings to every file that has the content: ``(commit, path, rule, ...)``."""
+    """Carry content-level findings to every file that has the content: ``(commit, path, rule, ...)``; ``within`` as in ``spread_join``."""
     keys = [commit, "path"]
-    joined = spread_join(files.select(*keys, "hash"), findings, ["hash"], keys, rows_per_slice=rows_per_slice)
+    joined = spread_join(files.select(*keys, "hash"), findings, ["hash"], keys, rows_per_slice=rows_per_slice, within=within)
     return joined.select(*keys, "rule", "ruleset", "line", "message")
 
 
-def fan_counts(files: DataFrame, tallies: DataFrame, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
+def fan_counts(files: DataFrame, tallies: DataFrame, rows_per_slice: int = ROWS_PER_SLICE, within: DataFrame | None = None) -> DataFrame:
     """``(seq, rule, findings, fresh, files, fresh_files)`` from file rows and content-level tallies.
 
     Files are counted by commit and content first, so the join moves numbers
     only; a content brings its tallies along as one array, bounded by the rule
     set. ``files`` and ``fresh_files`` count each file with findings at one of
-    its rules, so that their sum over the rules of a commit is right.
+    its rules, so that their sum over the rules of a commit is right. ``within`` is as in ``spread_join``.
     """
     copies = files.groupBy("seq", "hash").agg(
         F.count(F.lit(1)).alias("copies"), F.count_if(~F.col("is_hit")).alias("fresh_copies")
     )
     by_content = tallies.groupBy("hash").agg(F.sort_array(F.collect_list(F.struct("rule", "n"))).alias("tallies"))
-    joined = spread_join(copies, by_content, ["hash"], ["seq"], rows_per_slice=rows_per_slice)
+    joined = spread_join(copies, by_content, ["hash"], ["seq"], rows_per_slice=rows_per_slice, within=within)
     long = joined.select("seq", "copies", "fresh_copies", F.posexplode("tallies").alias("i", "t"))
     return long.groupBy("seq", F.col("t.rule").alias("rule")).agg(
         F.sum(F.col("copies") * F.col("t.n")).alias("findings"),

@@ -39,7 +39,7 @@ COMMITS_PER_BLOCK = 1024  # of the running sums per rule
 class MiningRun:
     """Results of a run; every field is a DataFrame, computed when it is used.
 
-    files      analyzed files ``(seq, path, hash, is_hit)``
+    files      analyzed files ``(seq, path, hash, is_hit)``, a stored table
     findings   ``(hash, rule, ruleset, line, message)`` of the contents scanned in this run
     by_rule    ``(seq, rule, findings, fresh, ...)`` per commit
     commits    one row of counts per commit, failed commits left out
@@ -86,12 +86,12 @@ class MiningRun:
             F.col("files_changed").alias("num_java_files"),
             F.coalesce("warnings_by_rule", F.create_map().cast("MAP<STRING,BIGINT>")).alias("warnings_by_rule"),
         )
-        files = spread_join(self.files, self.commits.select("seq", "commit"), ["seq"], ["path"])
+        files = spread_join(self.files, self.commits.select("seq", "commit"), ["seq"], ["path"], within=self.files)
         findings = self.findings if self.earlier is None else self.findings.unionByName(self.earlier)
         if self.metadata is None:
-            return commit_reports(headers, findings_by_file(files, findings, "commit"))
+            return commit_reports(headers, findings_by_file(files, findings, "commit", within=self.files))
         headers = headers.join(self.metadata.select("commit", *METADATA_FIELDS), "commit", "left")
-        return commit_reports(headers, findings_by_file(files, findings, "commit"), METADATA_FIELDS)
+        return commit_reports(headers, findings_by_file(files, findings, "commit", within=self.files), METADATA_FIELDS)
 
     def write(self, root: str, location: str) -> RunStore:
         """Add this run to the results below ``root``, see ``RunStore``; a later run wins where both have a commit."""
@@ -132,6 +132,11 @@ def _scan(
     return analyzer_findings(outcome), analyzer_errors(outcome)
 
 
+def _hashed(snapshots: DataFrame) -> DataFrame:
+    """``(seq, path, hash)``, stored: the contents are read once for their hashes."""
+    return materialize(with_hash(snapshots).select("seq", "path", "hash"), "trees")
+
+
 def _identity(rules: Iterable[Rule], analyzer: Callable[[], Analyzer] | None, analyzer_id: str | None) -> str:
     """What cache entries belong to."""
     if analyzer is None:
@@ -153,6 +158,7 @@ def mine_history(
     earlier_findings: DataFrame | None = None,
     metadata: DataFrame | None = None,
     done: DataFrame | None = None,
+    trees: DataFrame | None = None,
     analyzer: Callable[[], Analyzer] | None = None,
     analyzer_id: str | None = None,
     analyzer_seconds: float | None = ANALYZER_SECONDS,
@@ -165,6 +171,7 @@ def mine_history(
 
     ``cache`` holds results of earlier runs, ``done`` the commits they reported
     or failed on: those are skipped, and trees older than needed are not read.
+    ``trees`` is ``(seq, path, hash)`` of the snapshots, stored, where contents were read for their hashes before.
     ``earlier_findings`` are the findings by content that earlier runs stored; with
     them the documents of cached contents are complete. ``metadata`` (``report_metadata`` per
     commit) goes into the headers of the documents. New cache entries get
@@ -177,27 +184,30 @@ def mine_history(
     rules = list(rules)
     identity = _identity(rules, analyzer, analyzer_id)
     pending = log
-    newest = log.agg(F.max("seq").alias("seq")).scalar()
-    snapshots = snapshots.where(F.col("seq").between(0, newest))
+    needed = F.col("seq").between(0, log.agg(F.max("seq").alias("seq")).scalar())
     if done is not None:
         pending = materialize(log.join(done.select("commit"), "commit", "left_anti"), "pending")
-        oldest = pending.agg((F.min("seq") - 1).alias("seq")).scalar()
-        snapshots = snapshots.where(F.col("seq") >= oldest)
-    trees = with_hash(snapshots).select("seq", "path", "hash")
-    if "hash" not in snapshots.columns:
-        trees = materialize(trees, "trees")  # read the contents once for their hashes
+        needed = needed & (F.col("seq") >= pending.agg((F.min("seq") - 1).alias("seq")).scalar())
+    snapshots = snapshots.where(needed)
+    if trees is not None:
+        trees = trees.where(needed).select("seq", "path", "hash")
+    elif "hash" in snapshots.columns:
+        trees = snapshots.select("seq", "path", "hash")
+    else:
+        trees = _hashed(snapshots)
     snapshots = with_hash(snapshots)
 
     changes = select_changes(trees, log, suffix, renames).select("seq", "path", "hash")
     if done is not None:
-        changes = spread_join(changes, pending.select("seq"), ["seq"], ["path"])
+        changes = materialize(changes, "kept-changes")
+        changes = spread_join(changes, pending.select("seq"), ["seq"], ["path"], within=changes)
     selected = materialize(changes, "selected")
     misses = index = materialize(content_index(selected), "contents")
     known = None
     if cache is not None:
         known = materialize(known_entries(cache, identity, index), "known")
         misses = materialize(cache_misses(index, known), "misses")
-    files = mark_hits(selected, misses)
+    files = materialize(mark_hits(selected, misses), "files")
 
     scannable = snapshots.where(has_suffix("path", suffix)).select("seq", "path", "hash", "content", *(["lang"] if "lang" in snapshots.columns else []))
     found, failed = _scan(scannable, misses, rules, analyzer, analyzer_seconds)
@@ -219,7 +229,7 @@ def mine_history(
             columns = ["hash", "rule", "ruleset", "line", "message"]
             earlier = pick_rows(earlier_findings.select(*columns), known, ["hash"])
 
-    by_rule, reported = fan_counts(files, tallies), pending
+    by_rule, reported = fan_counts(files, tallies, within=files), pending
     if errors is not None:
         by_rule, reported = by_rule.join(errors, "seq", "left_anti"), pending.join(errors, "seq", "left_anti")
     by_rule = materialize(by_rule, "by-rule")
@@ -254,17 +264,25 @@ def mine_in_stages(
 
     A run that is lost loses its last stage: called again with the same ``store``,
     it goes on after the last finished one. A stage reads the trees of its own commits and
-    the one before them, and the stored cache. ``stages`` stops after so many.
+    the one before them, and the stored cache. ``stages`` stops after so many. The log is read once per
+    call, and so are contents without a hash, those of all commits that the call comes to.
     Later stages cost a listing of the earlier ones; ``store.compact_cache`` folds their caches.
     """
     rules = list(rules)
     identity = _identity(rules, analyzer, analyzer_id)
+    log = materialize(log, "log")
+    trees = options.pop("trees", None)
     ran = 0
     while stages is None or ran < stages:
         done = store.done()
-        upto = log.join(done, "commit", "left_anti").select("seq").orderBy("seq").limit(every).agg(F.max("seq")).first()[0]
+        ahead = log.join(done, "commit", "left_anti").select("seq")
+        upto = ahead.orderBy("seq").limit(every).agg(F.max("seq")).first()[0]
         if upto is None:
             break
+        if trees is None and "hash" not in snapshots.columns:
+            reached = ahead if stages is None else ahead.orderBy("seq").limit(stages * every)
+            oldest, newest = reached.agg(F.min("seq") - 1, F.max("seq")).first()
+            trees = _hashed(snapshots.where(F.col("seq").between(oldest, newest)))
         run = mine_history(
             log.where(F.col("seq") <= upto),
             snapshots,
@@ -273,6 +291,7 @@ def mine_in_stages(
             cache_version=store.next_position(),
             earlier_findings=store.findings(identity),
             done=done,
+            trees=trees,
             analyzer=analyzer,
             analyzer_id=analyzer_id,
             **options,
