@@ -34,6 +34,8 @@ from historymine.llm.common import map_rows, stored
 SPACES = re.compile(r"\s ")
 CUT = re.compile(r"(?<=\S) ")
 KEPT_UNITS, KEPT_CHARS = 150_000, 48  # units that a worker keeps before it forgets those not used lately, and the longest
+UNITS_AT_ONCE, UNITS_JOINED = 8192, 64  # aligned in one go, and in one string for the tokenizers
+PAIRS_OF_UNIT = 256  # a unit of more links is aligned by itself, where equal pairs are folded
 KNOWN_PAIRS = 1_000_000
 PAIRS_AT_ONCE = 1 << 21  # collected in a task before equal ones are folded
 _B_IDS = 1 << 16  # a pair is a * _B_IDS + b, an unsigned integer of 32 bits
@@ -60,6 +62,9 @@ class Aligner:
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i in b_ids for p in [self.b.id_to_piece(i)]]
         self.a_lengths, self.b_lengths = list(map(len, self.a_bytes)), list(map(len, self.b_bytes))
         self.names = list(map(str, range(max(len(self.a_bytes), len(self.b_bytes)))))
+        self.sizes = np.array(self.a_lengths), np.array(self.b_lengths)
+        self.named = [name + mark for mark in (",", "|", ";", "") for name in self.names]  # a token and what follows it in the text form
+        self.once = [np.ones(n, dtype="<i8").tobytes() for n in range(PAIRS_OF_UNIT + 1)]
         if any(" " in p.lstrip(" ") for p in (self.b.id_to_piece(i).replace("▁", " ") for i in b_ids)):
             raise ValueError("a piece of the second tokenizer holds a space after something else")
         if max(len(self.a_bytes), len(self.b_bytes)) > _B_IDS:
@@ -69,7 +74,7 @@ class Aligner:
 
     def text(self, text: str) -> tuple[int, int, int, int, str, bytes, bytes] | None:
         """``(n_a, n_b, n_groups, n_links, groups, pairs, links of each pair)`` of space + text; None if bytes differ."""
-        units = CUT.split(text) if SPACES.search(" " + text) else text.split(" ")  # each with a space before it
+        units = self._units(text)
         counted = Counter(units)
         known = self._known(counted)
         if False in known:
@@ -82,35 +87,127 @@ class Aligner:
         named = dict(zip(counted, groups))
         return total(n_a), total(n_b), total(n_groups), total(n_links), ";".join(map(named.__getitem__, units)), distinct.tobytes(), weights.tobytes()
 
-    def _known(self, wanted: Counter) -> list[tuple | bool]:
+    @staticmethod
+    def _units(text: str) -> list[str]:
+        """Each has a space before it."""
+        return CUT.split(text) if SPACES.search(" " + text) else text.split(" ")
+
+    def prepare(self, texts: list[str]) -> None:
+        """Align the new short units of some texts together, as many as are kept; ``text`` aligns those that are left."""
+        self._forget()
+        units, before, new = self.units, self.before, set()
+
+        def take() -> None:
+            several = list(new)
+            units.update(zip(several, self._aligned(several)))
+            new.clear()
+
+        for text in texts:
+            new.update([u for u in set(self._units(text)) if len(u) <= KEPT_CHARS and u not in units and u not in before])
+            if len(new) >= UNITS_AT_ONCE:
+                take()
+                if len(units) > KEPT_UNITS:
+                    return
+        take()
+
+    def _forget(self) -> None:
         if len(self.units) > KEPT_UNITS:  # what was not used since the last time is forgotten
             self.units, self.before = {}, self.units
+
+    def _known(self, wanted: Counter) -> list[tuple | bool]:
+        self._forget()
         units, before = self.units, self.before
         known = list(map(units.get, wanted))
         if None not in known:
             return known
-        new, places = [], []
-        for k, (u, m) in enumerate(zip(wanted, known)):
+        names, new, places = list(wanted), [], []
+        for k in [k for k, m in enumerate(known) if m is None]:
+            u = names[k]
+            known[k] = m = before.get(u)
             if m is None:
-                known[k] = m = before.get(u)
-                if m is None:
-                    new.append(u)
-                    places.append(k)
-                else:
-                    units[u] = m
-        if new:
-            a, b = self.a.encode_batch_fast([" " + u for u in new], add_special_tokens=False), self.b.encode(new, num_threads=1)
-            for k, u, of_a, of_b in zip(places, new, a, b):
-                known[k] = m = self._align(u, of_a.ids, of_b or self.space)  # a space alone gives no ids without its text before it
+                new.append(u)
+                places.append(k)
+            else:
+                units[u] = m
+        for at in range(0, len(new), UNITS_AT_ONCE):
+            several = new[at : at + UNITS_AT_ONCE]
+            for k, u, m in zip(places[at : at + UNITS_AT_ONCE], several, self._aligned(several)):
+                known[k] = m
                 if len(u) <= KEPT_CHARS:
                     units[u] = m
         return known
 
+    def _aligned(self, units: list[str]) -> list[tuple | bool]:
+        """What each unit adds to its text; False where its bytes differ."""
+        made: list[tuple | bool | None] = [None] * len(units)
+        short = [k for k, u in enumerate(units) if u and len(u) <= KEPT_CHARS and not u[-1].isspace()]
+        parts = [short[i : i + UNITS_JOINED] for i in range(0, len(short), UNITS_JOINED)]
+        texts = [" ".join([units[k] for k in part]) for part in parts]
+        a = [e.ids for e in self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+        b = self.b.encode(texts, num_threads=1)
+        same = [part for part in zip(parts, a, b, texts) if self._equal((" " + part[3]).encode(), part[1], part[2])]
+        if same:
+            places = [k for part in same for k in part[0]]
+            for k, m in zip(places, self._align_all([units[k] for k in places], [i for part in same for i in part[1]], [i for part in same for i in part[2]])):
+                made[k] = m
+        left = [k for k, m in enumerate(made) if m is None]
+        if left:
+            a, b = self.a.encode_batch_fast([" " + units[k] for k in left], add_special_tokens=False), self.b.encode([units[k] for k in left], num_threads=1)
+            for k, of_a, of_b in zip(left, a, b):
+                made[k] = self._align(units[k], of_a.ids, of_b or self.space)  # a space alone gives no ids without its text before it
+        return made
+
+    def _equal(self, data: bytes, a: list[int], b: list[int]) -> bool:
+        return b"".join(map(self.a_bytes.__getitem__, a)) == data == b"".join(map(self.b_bytes.__getitem__, b))
+
+    def _align_all(self, units: list[str], a_ids: list[int], b_ids: list[int]) -> list[tuple | None]:
+        """What each of several units adds to its text, from the tokens of all; None for a unit to be aligned by itself."""
+        a, b = np.array(a_ids), np.array(b_ids)
+        a_ends, b_ends = np.cumsum(self.sizes[0][a]), np.cumsum(self.sizes[1][b])
+        ends = np.cumsum([1 + len(u.encode()) for u in units])
+        at_a, at_b = np.zeros(ends[-1] + 1, dtype=bool), np.zeros(ends[-1] + 1, dtype=bool)
+        at_a[a_ends] = at_b[b_ends] = True
+        both = at_a & at_b
+        if not both[ends].all() or not self.sizes[0][a].all() or not self.sizes[1][b].all():
+            return [None] * len(units)
+        shared = np.cumsum(both)
+        a_group, b_group = shared[a_ends - 1], shared[b_ends - 1]  # shared ends before a token's own
+        of_a, of_b = np.bincount(a_group), np.bincount(b_group)  # tokens of each group
+        a_first, b_first = np.cumsum(of_a) - of_a, np.cumsum(of_b) - of_b
+        last_group = shared[ends]  # groups up to the end of each unit
+        upto = lambda counts: np.concatenate([[0], np.cumsum(counts)])[last_group]
+        own = lambda totals: np.diff(totals, prepend=0)
+        n_a, n_b, n_groups, n_links = own(upto(of_a)), own(upto(of_b)), own(last_group), own(upto(of_a * of_b))
+
+        last_a, last_b = np.append(a_group[1:] != a_group[:-1], True), np.append(b_group[1:] != b_group[:-1], True)
+        marks_b = np.where(last_b, 2, 0)
+        marks_b[upto(of_b) - 1] = 3
+        order = np.empty(len(a) + len(b), dtype=np.int64)
+        order[np.arange(len(a)) + b_first[a_group]] = a + len(self.names) * last_a
+        order[np.arange(len(b)) + (a_first + of_a)[b_group]] = b + len(self.names) * marks_b
+        named = list(map(self.named.__getitem__, order.tolist()))
+
+        few = n_links <= PAIRS_OF_UNIT
+        partners = np.where(np.repeat(few, n_groups), of_b, 0)[a_group]  # of each token of A
+        first = np.repeat(b_first[a_group] - (np.cumsum(partners) - partners), partners)
+        pairs = (np.repeat(a, partners) * _B_IDS + b[first + np.arange(len(first))]).astype("<u4").tobytes()
+        made: list[tuple | None] = []
+        token = pair = 0
+        for of_a, of_b, groups, links in zip(n_a.tolist(), n_b.tolist(), n_groups.tolist(), n_links.tolist()):
+            tokens = named[token : token + of_a + of_b]
+            token += of_a + of_b
+            if links > PAIRS_OF_UNIT:
+                made.append(None)
+                continue
+            made.append((of_a, of_b, groups, links, "".join(tokens), pairs[4 * pair : 4 * (pair + links)], self.once[links]))
+            pair += links
+        return made
+
     def _align(self, unit: str, a: list[int], b: list[int]) -> tuple | bool:
         """What a unit adds to its text; False if its bytes differ."""
-        data, a_bytes, b_bytes, names = (" " + unit).encode(), self.a_bytes, self.b_bytes, self.names
-        if b"".join([a_bytes[i] for i in a]) != data or b"".join([b_bytes[i] for i in b]) != data:
+        if not self._equal((" " + unit).encode(), a, b):
             return False
+        names = self.names
         a_lengths, b_lengths = self.a_lengths, self.b_lengths
         links: dict[int, int] = {}
         groups = []
@@ -172,6 +269,7 @@ def aligned_texts(docs: DataFrame, a_path: str, b_path: str, text_col: str = "te
                 groups = hashlib.sha256(made[4].encode()).hexdigest()
                 yield row[1], row[2], *made[:4], groups, *made[5:]
 
+        one.prepare = lambda rows: pair.prepare([row[0] for row in rows])
         return one
 
     schema = "digest binary, copies bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups string, pairs binary, links binary"

@@ -111,3 +111,31 @@ def test_a_worker_forgets_units(monkeypatch):
 
 def test_empty_table(spark):
     assert aligned(spark, []) == []
+
+
+def test_units_aligned_together_equal_units_alone(monkeypatch):
+    """op11: many units in one string and one array give what each gives alone, also where one is not reproduced or ends in white space."""
+    monkeypatch.setattr(alignment, "PAIRS_OF_UNIT", 64)
+    rng = np.random.default_rng(5)
+    units = sorted({"".join(rng.choice(PARTS, rng.integers(1, 7))) for _ in range(600)} | {"", "x" * 48, "𐍈" * 48, "㐀" * 47 + "a", "﻿w", "ﬁ"})
+    units = [u for u in units if " " not in u.lstrip(" ")]
+    together, alone = alignment.Aligner(*PATHS), alignment.Aligner(*PATHS)
+    folded = lambda m: m and (*m[:5], *[x.tolist() for x in alignment.folded(np.frombuffer(m[5], dtype="<u4"), np.frombuffer(m[6], dtype="<i8"))])
+    single = [alone._align(u, a.ids, b or alone.space) for u, a, b in zip(units, alone.a.encode_batch_fast([" " + u for u in units], add_special_tokens=False), alone.b.encode(units))]
+    assert [folded(m) for m in together._aligned(units)] == [folded(m) for m in single]
+    assert False in single and max(m[3] for m in single if m) > alignment.PAIRS_OF_UNIT
+
+
+def test_texts_of_a_batch_are_tokenized_in_few_strings(monkeypatch):
+    texts = [" ".join(f"w{n}x{k}" for k in range(50)) for n in range(20)]
+    together, alone, seen = alignment.Aligner(*PATHS), alignment.Aligner(*PATHS), []
+
+    class Counted:
+        def encode_batch_fast(self, strings, **options):
+            seen.extend(strings)
+            return alone.a.encode_batch_fast(strings, **options)
+
+    together.a = Counted()
+    together.prepare(texts)
+    assert [together.text(t) for t in texts] == [alone.text(t) for t in texts]
+    assert len(seen) <= 1000 // alignment.UNITS_JOINED + 1
