@@ -5,11 +5,13 @@ bytes, each a token of its own; a fold replaces, as long as there is one, the
 first adjacent pair of lowest rank by the token of that rank. The ranks are
 literals of the plan: a pair ``(a, b)`` has its token at place ``offset[a] + b`` of
 one array, where the rows of different ``a`` are shifted so that none overlap.
+Ranks stand above the bits of a position, so one minimum gives the lowest rank and
+the first pair that has it.
 
 Frequent words of the corpus are encoded once. They fall into ``SLOTS`` slots by
 hash, the ``PER_SLOT`` most frequent of each slot enter a literal table, and a word
 there has at most ``TABLE_BYTES`` bytes: the table's size has a bound by
-construction. Other words are encoded in the text that holds them.
+construction. A slot is searched from its end, where its most frequent word is. Other words are encoded in the text that holds them.
 
 Words beyond ``LONG_BYTES`` are folded in overlapping windows, which are joined
 where both neighbours have the same two adjacent tokens: a sequence whose adjacent
@@ -43,7 +45,8 @@ LONG_BYTES = 96
 WINDOW_BYTES = 64  # step of the windows of long words; each covers two steps
 SLOTS, PER_SLOT = 1 << 14, 16  # of the table of frequent words
 TABLE_BYTES = 24
-_ROW = 1 << 32
+_RANK = 1 << 31  # above the positions in a word
+_ROW = 1 << 47  # above the ranks, which are below 2^16
 _KEY, _VALUE = "\ue000", "\ue001"  # marks in the table; words that hold them do not enter it
 
 
@@ -53,7 +56,7 @@ class Ranks:
 
     pieces: tuple[bytes, ...]  # by id; ids without token are empty
     offsets: tuple[int, ...]  # by id of the left token
-    places: tuple[int, ...]  # left << 32 | rank, or 0
+    places: tuple[int, ...]  # (left + 1) * _ROW + rank * _RANK, or 0
     of_byte: tuple[int, ...]  # id of each byte
 
 
@@ -94,7 +97,7 @@ def read_ranks(path: str) -> Ranks:
         while places[offset + at].any():
             offset = int(rng.integers(3 * size))
         offsets[left] = offset
-        places[offset + at] = (left + 1) * _ROW + np.fromiter(row.values(), dtype=np.int64, count=len(row))
+        places[offset + at] = (left + 1) * _ROW + np.fromiter(row.values(), dtype=np.int64, count=len(row)) * _RANK
     return Ranks(tuple(pieces), tuple(offsets), tuple(places.tolist()), tuple(ranks[bytes([b])] for b in range(256)))
 
 
@@ -136,8 +139,8 @@ class Folds:
         return _all_bound(tables, lambda *tables: body(cls(n, *tables)))
 
     def _rank(self, left: Column, right: Column) -> Column:
-        """That of a pair of ids, or a number beyond all ranks."""
-        return F.abs(F.get(self.places, F.get(self.offsets, left) + right) - (left + F.lit(1)).cast("bigint") * F.lit(_ROW))
+        """That of a pair of ids in units of _RANK, or at least _ROW."""
+        return F.get(self.places, F.get(self.offsets, left) + right).bitwiseXOR(F.shiftleft((left + F.lit(1)).cast("bigint"), 47))
 
     def fold(self, data: Column, everywhere: bool = False) -> Column:
         """The ids of a binary value: the ranked merges folded over the array of its bytes.
@@ -151,17 +154,17 @@ class Folds:
                 pair = F.concat(F.get(self.chars, F.get(ids, k)), F.get(self.chars, F.get(ids, k + 1)))
                 after = self.ids(F.replace(self.string(ids), pair, F.get(self.chars, token)))
             else:
-                after = F.filter(F.transform(ids, lambda x, i: F.when(i == k, token).when(i != k + 1, x)), lambda x: x.isNotNull())
+                after = F.array_remove(F.transform(ids, lambda x, i: F.when(i == k, token).when(i == k + 1, F.lit(-1)).otherwise(x)), F.lit(-1))
             return F.struct(after.alias("ids"), (F.size(ids) > 2).alias("more"))
 
-        def first(ids: Column, found: Column, best: Column) -> Column:
-            at = bound(F.array_position(found, best).cast("int") - 1, lambda k: merged(ids, best.cast("int"), k))
-            return F.when(best < self.n, at).otherwise(F.struct(ids.alias("ids"), F.lit(False).alias("more")))
+        def first(ids: Column, best: Column) -> Column:
+            at = bound(best.bitwiseAND(F.lit(_RANK - 1)).cast("int"), lambda k: merged(ids, F.shiftright(best, 31).cast("int"), k))
+            return F.when(best < F.lit(_ROW), at).otherwise(F.struct(ids.alias("ids"), F.lit(False).alias("more")))
 
         def step(state: Column, _: Column) -> Column:
             ids = state["ids"]
-            found = F.transform(ids, lambda x, i: self._rank(x, F.get(ids, i + 1)))  # null after the last
-            return F.when(state["more"], bound(found, lambda found: bound(F.array_min(found), lambda best: first(ids, found, best)))).otherwise(state)
+            found = F.transform(ids, lambda x, i: self._rank(x, F.get(ids, i + 1)) + i)  # null after the last
+            return F.when(state["more"], bound(F.array_min(found), lambda best: first(ids, best))).otherwise(state)
 
         def over(ids: Column) -> Column:
             return F.aggregate(ids, F.struct(ids.alias("ids"), (F.size(ids) > 1).alias("more")), step, lambda state: state["ids"])
@@ -212,14 +215,14 @@ class Folds:
         """Ids of characters; not of an empty string."""
         return F.transform(F.split(tokens, ""), lambda c: F.ascii(c))
 
-    def decode(self, ids: Column) -> Column:
-        """The bytes of an array of ids: their pieces, concatenated."""
-        return F.unhex(F.array_join(F.transform(ids, lambda x: F.get(self.pieces, x)), ""))
+    def decode(self, chars: Column) -> Column:
+        """The bytes of an array of ids as characters: their pieces, concatenated."""
+        return F.unhex(F.array_join(F.transform(chars, lambda c: F.get(self.pieces, F.ascii(c))), ""))
 
 
 def units(text: Column) -> Column:
     """Parts of a text between places where words always end; no words of an empty one."""
-    return F.filter(F.split(text, CUT), lambda unit: unit != "")
+    return F.array_remove(F.split(text, CUT), "")
 
 
 def _words(unit: Column) -> Column:
@@ -231,7 +234,7 @@ def _slot(word: Column) -> Column:
 
 
 def frequent(texts: DataFrame, ranks: Ranks) -> list[str]:
-    """The table of frequent words: of every slot, its words and their tokens; at most SLOTS * PER_SLOT words of TABLE_BYTES bytes.
+    """The table of frequent words: of every slot, its words and their tokens, the most frequent last; at most SLOTS * PER_SLOT words of TABLE_BYTES bytes.
 
     Counts cover all texts: of units, and of the words in them.
     """
@@ -243,7 +246,8 @@ def frequent(texts: DataFrame, ranks: Ranks) -> list[str]:
     most = stored(summed.withColumn("rank", rank).where(F.col("rank") <= PER_SLOT).select("slot", "rank", "word"), "byte-bpe-frequent")
     tokens = Folds.over(ranks, lambda folds: F.array_join(F.transform(_words(F.col("word")), lambda w: folds.string(folds.fold(w.cast("binary")))), ""))
     entries = most.repartition("slot").select("slot", "rank", F.concat(F.lit(_KEY), "word", F.lit(_VALUE), tokens).alias("entry"))
-    slots = entries.groupBy("slot").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "entry"))), lambda e: e["entry"]), "").alias("entries"))
+    last_first = F.reverse(F.array_sort(F.collect_list(F.struct("rank", "entry"))))
+    slots = entries.groupBy("slot").agg(F.array_join(F.transform(last_first, lambda e: e["entry"]), "").alias("entries"))
     table = [""] * SLOTS
     for row in slots.toLocalIterator():
         table[row["slot"]] = row["entries"]
@@ -275,9 +279,11 @@ def encode(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: s
         return bound(F.array_join(F.transform(units(F.col("text")), of_unit), ""), lambda tokens: finished(folds, tokens))
 
     def finished(folds: Folds, tokens: Column) -> Column:
-        ids = F.encode(F.concat(F.array_join(F.split(tokens, ""), "\0"), F.lit("\0")), "UTF-16LE")
-        whole = F.struct(ids.alias("ids"), folds.decode(folds.ids(tokens)).alias("decoded"))
-        return F.when(tokens != "", whole).otherwise(F.struct(F.lit(b"").alias("ids"), F.lit(b"").alias("decoded")))
+        return F.when(tokens != "", bound(F.split(tokens, ""), lambda chars: whole(folds, chars))).otherwise(F.struct(F.lit(b"").alias("ids"), F.lit(b"").alias("decoded")))
+
+    def whole(folds: Folds, chars: Column) -> Column:
+        ids = F.encode(F.concat(F.array_join(chars, "\0"), F.lit("\0")), "UTF-16LE")
+        return F.struct(ids.alias("ids"), folds.decode(chars).alias("decoded"))
 
     table = _literal(frequent(rows, ranks), "array<string>")
     made = Folds.over(ranks, lambda folds: bound(table, lambda table: encoded(folds, table)))

@@ -52,6 +52,16 @@ def test_every_frequent_word_is_encoded_once(spark):
     assert len(table) == bytebpe.SLOTS and any(f"{bytebpe._KEY} words{bytebpe._VALUE}" in slot for slot in table)
 
 
+def test_most_frequent_word_of_a_slot_is_last(spark):
+    """Slots are searched from their end, so a frequent word does not cost a search of its whole slot."""
+    words = [f"w{i}" for i in range(4000)]
+    texts = spark.createDataFrame([(" ".join([w] * (1 + i % 7)),) for i, w in enumerate(words)], "text string")
+    slots = [slot.split(bytebpe._KEY)[1:] for slot in bytebpe.frequent(texts, bytebpe.read_ranks(PATH))]
+    counts = {f" {w}": i % 7 for i, w in enumerate(words)}
+    found = [[counts[w] for w in (entry.split(bytebpe._VALUE)[0] for entry in slot) if w in counts] for slot in slots]
+    assert any(len(set(n)) > 1 for n in found) and all(n == sorted(n) for n in found)
+
+
 def test_nulls_repeats_and_clashing_columns(spark):
     rows = [(1, None, "x", 1), (2, "", "x", 1), (None, "It's 12 o'clock", None, None), (3, "twice", "x", 1), (3, "twice", "x", 1), (3, "other", "", 0)]
     got = bytebpe.encode(spark.createDataFrame(rows, SCHEMA), PATH)
